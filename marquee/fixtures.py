@@ -65,8 +65,45 @@ FIXTURE_DEPS: dict[str, tuple[str, ...]] = {
     "fx_topic": ("fx_log",),
     "fx_user_factors": ("fx_ratings",),
     "fx_item_factors": ("fx_movies",),
+    "fx_meta": (),
+    "fx_times": (),
 }
 
+# Test mappings of our own (same portability rules as above).
+# fx_meta: text-typed movie metadata rows (the enrichment CSV) carrying the
+# messy values the loader must clean: N/A variants, blanks, fractional years,
+# list literals, bad brackets, trailing commas.
+FIXTURE_SQL["fx_meta"] = """
+select concat('tt', lpad(cast(p_partkey as string), 7, '0')) as movie_id,
+       concat(replace(p_name, ' ', '+'), '+', cast(p_partkey as string)) as movie_title_id,
+       p_name as title,
+       case p_partkey % 6 when 0 then 'N/A' when 1 then '  ' when 2 then concat(cast(1950 + p_size as string), '.5')
+            when 3 then 'n/a' else cast(1950 + p_size as string) end as year,
+       case when p_partkey % 9 = 0 then ' N/A ' else concat(cast(p_size % 10 as string), '.', cast(p_partkey % 10 as string)) end as rating,
+       case when p_partkey % 13 <> 0 then concat(p_type, ', ', replace(p_name, ' ', ', '),
+            case when p_partkey % 5 = 0 then ' ,' else '' end) end as genres,
+       concat('A ', p_name, ' story::', p_brand) as plot,
+       case p_partkey % 4 when 0 then concat('[''', cast(60 + p_size as string), ''']')
+            when 1 then cast(60 + p_size as string) when 2 then '[''x'']' else '[]' end as runtime,
+       concat(p_brand, ', Director ', cast(p_partkey % 10 as string)) as directors,
+       concat('Actor ', cast(p_partkey % 17 as string), ' , Actor ', cast(p_partkey % 19 as string)) as actors_text,
+       cast(p_size * 3 as string) as votes,
+       case p_partkey % 3 when 0 then '[''English'', ''French'']' when 1 then ' French ' else '[oops]' end as languages,
+       case p_partkey % 3 when 0 then '[''Canada'', ''United Kingdom'']' when 1 then 'USA' else '[oops' end as country,
+       concat(cast(1950 + p_size as string), '-0', cast(1 + p_partkey % 9 as string), '-1', cast(p_partkey % 9 as string)) as release_date,
+       concat('https://img/', cast(p_partkey as string), '.jpg') as poster
+from part"""
+
+# fx_times: event times rendered as text in the shapes a log may carry.
+FIXTURE_SQL["fx_times"] = """
+select event_id,
+       case event_id % 5 when 0 then substr(cast(ts as string), 1, 19)
+            when 1 then replace(substr(cast(ts as string), 1, 19), ' ', 'T')
+            when 2 then substr(cast(ts as string), 1, 10)
+            when 3 then substr(cast(ts as string), 1, 23)
+            else concat('bad-', cast(event_id as string)) end as time_text
+from events"""
+
 
 def _closure(names) -> list[str]:
     order: list[str] = []
@@ -121,6 +158,6 @@ class Tables:
         if name in BASE_TABLES or name in FIXTURE_SQL:
             return self.spark.table(name)
         if name in ("ratings", "movies", "watch", "log", "request", "topic",
-                    "user_factors", "item_factors"):
+                    "user_factors", "item_factors", "meta", "times"):
             return self.spark.table("fx_" + name)
         raise AttributeError(name)

@@ -80,10 +80,11 @@ def time_or_default(c, as_of) -> Column:
 def reject_reason(user, title, value, value_name: str) -> Column:
     """P-13: first failing required-field check, NULL when the row is accepted."""
     u, t, v = _c(user), _c(title), _c(value)
-    return (F.when(u.isNull() | (F.trim(u) == ""), F.lit("missing_user_id"))
+    # Presence is Python truthiness (empty text is missing, blanks are not).
+    return (F.when(u.isNull() | (u == ""), F.lit("missing_user_id"))
             .when(~u.rlike(INT_PATTERN), F.lit("invalid_user_id"))
-            .when(t.isNull() | (F.trim(t) == ""), F.lit("missing_title"))
-            .when(v.isNull() | (F.trim(v.cast("string")) == ""), F.lit(f"missing_{value_name}"))
+            .when(t.isNull() | (t == ""), F.lit("missing_title"))
+            .when(v.isNull() | (v.cast("string") == ""), F.lit(f"missing_{value_name}"))
             .when(~v.cast("string").rlike(INT_PATTERN), F.lit(f"invalid_{value_name}")))
 
 
