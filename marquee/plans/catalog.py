@@ -15,4 +15,4 @@ def all_oracles():
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["popularity_model"](spark, sf_dir)
+    return QUERIES["hybrid_cb_only"](spark, sf_dir)
