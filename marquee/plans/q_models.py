@@ -238,7 +238,7 @@ def q_similar_movies(spark, sf):
 _HYBRID_BASE = f"""{_CONTENT},
 {_PARAMS}, {_SCORED}, {_POPULAR},
 cnt AS (select user_id, count(rating) as n_rated from fx_ratings group by user_id),
-req AS (select c_custkey as user_id from customer union select user_id from fx_watch),
+req AS ({{REQ}}),
 known AS (select user_id from prof union select user_id from cnt),
 w AS (select r.user_id, case when k.user_id is not null then coalesce(c.n_rated, 0) else 0 end as n
       from req r left join known k on r.user_id = k.user_id left join cnt c on r.user_id = c.user_id),
@@ -249,11 +249,25 @@ wt AS (select user_id, n,
 
 _HYBRID_TAIL = """
 hr AS (select *, row_number() over (partition by user_id order by round(score, 6) desc, movie_id) as rk from hyb),
-top AS (select user_id, cast(rk as integer) as rank, movie_id, score, 'hybrid' as source from hr where rk <= 20),
+top AS (select user_id, cast(rk as integer) as rank, movie_id, score, 'hybrid' as source from hr where rk <= {{K}}),
 fb AS (select wt.user_id, p.rank, p.movie_id, p.popularity_score as score, 'popular' as source
-       from wt cross join popular p where p.rank <= 20 and wt.user_id not in (select user_id from top)),
+       from wt cross join popular p where p.rank <= {{K}} and wt.user_id not in (select user_id from top)),
 allr AS (select * from top union all select * from fb)"""
 
+REQ_ALL = "select c_custkey as user_id from customer union select user_id from fx_watch"
+_CB_ONLY = (",\nhyb AS (select s.user_id, s.movie_id, wt.beta * s.score as score from sc s join wt using (user_id) "
+            "where wt.beta * s.score > 0),")
+
+
+def hybrid_ctes(req: str = REQ_ALL, k: int = 20, with_cf: bool = False) -> str:
+    """Oracle CTEs ending in ``allr(user_id, rank, movie_id, score, source)``."""
+    body = _HYBRID_BASE + (_HYBRID_CF if with_cf else _CB_ONLY) + _HYBRID_TAIL
+    return body.replace("{{REQ}}", req).replace("{REQ}", req).replace("{{K}}", str(k))
+
+
+HYBRID_FIXTURES = ("fx_movies", "fx_watch", "fx_ratings")
+CF_FIXTURES = HYBRID_FIXTURES + ("fx_user_factors", "fx_item_factors")
+
 _HYBRID_SELECT = ("select a.user_id, a.rank, a.movie_id, coalesce(m.movie_title_id, concat('Unknown Title (', "
                   "cast(a.movie_id as varchar), ')')) as title, round(a.score, 6) as score, a.source "
                   "from allr a left join fx_movies m using (movie_id)")
@@ -267,9 +281,7 @@ def _hybrid_inputs(spark, sf):
     return t, users, profiles, vectors, counts, popular
 
 
-@query("hybrid_cb_only", cte("fx_movies", "fx_watch", "fx_ratings", extra=_HYBRID_BASE +
-       ",\nhyb AS (select s.user_id, s.movie_id, wt.beta * s.score as score from sc s join wt using (user_id) "
-       "where wt.beta * s.score > 0)," + _HYBRID_TAIL) + _HYBRID_SELECT)
+@query("hybrid_cb_only", cte(*HYBRID_FIXTURES, extra=hybrid_ctes()) + _HYBRID_SELECT)
 def q_hybrid_cb_only(spark, sf):
     t, users, profiles, vectors, counts, popular = _hybrid_inputs(spark, sf)
     return hybrid.hybrid_recommend(users, profiles, vectors, counts, popular, t.movies,
@@ -286,22 +298,21 @@ hyb AS (select b.user_id, b.movie_id, wt.alpha * b.cf + wt.beta * b.cb as score
         where wt.alpha * b.cf + wt.beta * b.cb > 0),"""
 
 
-@query("hybrid_recommend", cte("fx_movies", "fx_watch", "fx_ratings", "fx_user_factors", "fx_item_factors",
-                               extra=_HYBRID_BASE + _HYBRID_CF + _HYBRID_TAIL) + _HYBRID_SELECT)
+@query("hybrid_recommend", cte(*CF_FIXTURES, extra=hybrid_ctes(with_cf=True)) + _HYBRID_SELECT)
 def q_hybrid_recommend(spark, sf):
     t, users, profiles, vectors, counts, popular = _hybrid_inputs(spark, sf)
     return hybrid.hybrid_recommend(users, profiles, vectors, counts, popular, t.movies,
                                    pop.movies_rated(t.movies), t.user_factors, t.item_factors)
 
 
-@query("hybrid_weights", cte("fx_movies", "fx_watch", "fx_ratings", extra=_HYBRID_BASE) +
+@query("hybrid_weights", cte(*HYBRID_FIXTURES, extra=hybrid_ctes()) +
        "select user_id, cast(n as bigint) as n_rated, alpha, beta from wt")
 def q_hybrid_weights(spark, sf):
     t, users, profiles, vectors, counts, popular = _hybrid_inputs(spark, sf)
     return hybrid.hybrid_weights(users, profiles, counts)
 
 
-@query("known_users", cte("fx_movies", "fx_watch", "fx_ratings", extra=_HYBRID_BASE) + "select user_id from known")
+@query("known_users", cte(*HYBRID_FIXTURES, extra=hybrid_ctes()) + "select user_id from known")
 def q_known_users(spark, sf):
     t, users, profiles, vectors, counts, popular = _hybrid_inputs(spark, sf)
     return hybrid.known_users(profiles, counts)
@@ -317,9 +328,7 @@ def q_title_map(spark, sf):
     return hybrid.title_map(Tables(spark, sf).movies)
 
 
-@query("popularity_fallback", cte("fx_movies", "fx_watch", "fx_ratings", extra=_HYBRID_BASE +
-       ",\nhyb AS (select s.user_id, s.movie_id, wt.beta * s.score as score from sc s join wt using (user_id) "
-       "where wt.beta * s.score > 0)," + _HYBRID_TAIL) +
+@query("popularity_fallback", cte(*HYBRID_FIXTURES, extra=hybrid_ctes()) +
        "select user_id, rank, movie_id, round(score, 6) as score from fb")
 def q_popularity_fallback(spark, sf):
     t, users, profiles, vectors, counts, popular = _hybrid_inputs(spark, sf)
