@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_eval, q_ingest, q_models  # noqa: F401
+from . import q_eval, q_ingest, q_models, q_ops  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
