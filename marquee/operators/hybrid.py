@@ -161,6 +161,17 @@ def similar_movies(vectors: DataFrame, universe: DataFrame, n: int = SIMILAR_TOP
 
 
 # ----------------------------------------------------------------- hybrid
+def hybrid_scores(cf: DataFrame, cb: DataFrame, weights: DataFrame) -> DataFrame:
+    """J-15: align CF ``(user, movie, cf_score)`` and CB ``(user, movie, score)``
+    by a full outer join on the pair, missing side 0, ``α·cf + β·cb``, keep > 0."""
+    both = (cf.select("user_id", "movie_id", F.col("cf_score").alias("cf"))
+            .join(cb.select("user_id", "movie_id", F.col("score").alias("cb")), ["user_id", "movie_id"], "full")
+            .fillna(0.0, ["cf", "cb"]))
+    s = F.col("alpha") * F.col("cf") + F.col("beta") * F.col("cb")
+    return both.join(weights.select("user_id", "alpha", "beta"), "user_id").select(
+        "user_id", "movie_id", s.alias("score")).where(F.col("score") > 0)
+
+
 def popularity_fallback(users: DataFrame, scored_users: DataFrame, popular: DataFrame,
                         n: int = RECS_TOP_N) -> DataFrame:
     """M-09: requested users without any positive score get the popular top-n,

@@ -323,3 +323,69 @@ def q_except_users(spark, sf):
     t = Tables(spark, sf)
     _, profiles, _, _ = qm._content_inputs(spark, sf)
     return _holdout(t).select("user_id").subtract(profiles.select("user_id"))
+
+
+# ---------------------------------------------------------------- scalar helpers on real rows
+from ..functions.scalar import clip_prediction, title_or_unknown  # noqa: E402
+from ..operators import collaborative as cf  # noqa: E402
+from ..operators import dimensions  # noqa: E402
+from ..functions import parsing  # noqa: E402
+from . import q_ingest as qi  # noqa: E402
+
+
+@query("clip_prediction", cte("fx_ratings", "fx_watch", "fx_user_factors", "fx_item_factors", extra=_HOLDOUT) + """
+select h.user_id, h.movie_id, least(greatest(coalesce(p.cf, 3.0), 1.0), 5.0) as prediction
+from (select distinct user_id, movie_id from holdout) h left join
+     (select u.user_id, v.movie_id, sum(u.value * v.value) as cf from fx_user_factors u join fx_item_factors v using (dim)
+      where u.user_id in (select user_id from fx_watch) group by 1, 2) p
+     on p.user_id = h.user_id and p.movie_id = h.movie_id""")
+def q_clip_prediction(spark, sf):
+    """P-27: CF predictions (factors known only for users with watch events)
+    defaulted to 3.0 and clipped to [1, 5]."""
+    t = Tables(spark, sf)
+    pairs = _holdout(t).select("user_id", "movie_id").distinct()
+    uf = t.user_factors.join(t.watch.select("user_id").distinct(), "user_id", "left_semi")
+    p = cf.cf_scores(pairs, uf, t.item_factors)
+    return (pairs.join(p, ["user_id", "movie_id"], "left")
+            .select("user_id", "movie_id", clip_prediction("cf_score").alias("prediction")))
+
+
+@query("title_or_unknown", cte("fx_movies", "fx_log", extra=qi._PARSED_KEYS)
+       + ", ids AS (select movie_id from fx_movies union all select movie_id from newk) "
+         "select ids.movie_id, coalesce(m.movie_title_id, concat('Unknown Title (', cast(ids.movie_id as varchar), ')')) "
+         "as title from ids left join fx_movies m using (movie_id)")
+def q_title_or_unknown(spark, sf):
+    """P-28: titles for catalogue ids and for ids created from the log (new
+    movies have no title row yet → ``Unknown Title (<id>)``)."""
+    t = Tables(spark, sf)
+    log = t.log
+    facts = parsing.parse_watch(log).select("movie_title_id").unionByName(parsing.parse_rate(log).select("movie_title_id"))
+    new = dimensions.new_movie_keys(facts, t.movies.select("movie_id", "movie_title_id"))
+    ids = t.movies.select("movie_id").unionByName(new.select("movie_id"))
+    titled = ids.join(hybrid.title_map(t.movies), "movie_id", "left")
+    return titled.select("movie_id", title_or_unknown(F.col("title"), F.col("movie_id")).alias("title"))
+
+
+@query("hybrid_scores", cte(*qm.CF_FIXTURES, extra=_HOLDOUT + ",\n" + qm.hybrid_ctes(
+    "select distinct user_id from holdout", with_cf=False)) + """
+, hpairs AS (select distinct user_id, movie_id from holdout),
+cfp AS (select p.user_id, p.movie_id, sum(u.value * v.value) as cf from hpairs p join fx_user_factors u on u.user_id = p.user_id
+        join fx_item_factors v on v.movie_id = p.movie_id and v.dim = u.dim group by 1, 2),
+cbp AS (select p.user_id, p.movie_id, sc.score as cb from hpairs p join sc on sc.user_id = p.user_id and sc.movie_id = p.movie_id)
+select b.user_id, b.movie_id, round(wt.alpha * b.cf + wt.beta * b.cb, 6) as score from (
+  select coalesce(cfp.user_id, cbp.user_id) as user_id, coalesce(cfp.movie_id, cbp.movie_id) as movie_id,
+         coalesce(cfp.cf, 0.0) as cf, coalesce(cbp.cb, 0.0) as cb
+  from cfp full outer join cbp on cfp.user_id = cbp.user_id and cfp.movie_id = cbp.movie_id) b
+join wt using (user_id) where wt.alpha * b.cf + wt.beta * b.cb > 0""")
+def q_hybrid_scores(spark, sf):
+    """J-15 on requested (user, movie) pairs (the holdout): CF and CB aligned
+    by a full outer join, missing side 0, ``α·cf + β·cb``, keep > 0."""
+    t = Tables(spark, sf)
+    pairs = _holdout(t).select("user_id", "movie_id").distinct()
+    _, _, profiles, vectors, counts, _ = qm._hybrid_inputs(spark, sf)
+    cfp = cf.cf_scores(pairs, t.user_factors, t.item_factors)
+    from ..operators import content as ct
+    cbp = ct.cb_scores(profiles.join(pairs.select("user_id").distinct(), "user_id", "left_semi"), vectors) \
+        .join(pairs, ["user_id", "movie_id"], "left_semi")
+    w = hybrid.hybrid_weights(pairs.select("user_id"), profiles, counts)
+    return hybrid.hybrid_scores(cfp, cbp, w).select("user_id", "movie_id", F.round("score", 6).alias("score"))

@@ -335,3 +335,31 @@ def q_popularity_fallback(spark, sf):
     scored = profiles.select("user_id").distinct()   # every profiled user has a positive score
     fb = hybrid.popularity_fallback(users, scored, popular)
     return fb.select("user_id", "rank", "movie_id", F.round("score", 6).alias("score"))
+
+
+# ====================================================================== generic top-N and dense vectors
+@query("top_n_per_user", cte("fx_ratings") + """
+select user_id, cast(rk as integer) as rank, movie_id, r from (
+  select user_id, movie_id, r, row_number() over (partition by user_id order by round(r, 6) desc, movie_id) as rk
+  from (select user_id, movie_id, cast(sum(rating) as double) as r from fx_ratings where rating is not null
+        group by user_id, movie_id)) where rk <= 3""")
+def q_top_n_per_user(spark, sf):
+    """W-03: per-user top 3 cells by summed rating, ties by id (group-limited)."""
+    from ..operators.collaborative import user_item_matrix
+    cells = user_item_matrix(Tables(spark, sf).ratings)
+    return scoring.top_n_per_key(cells, "user_id", "r", "movie_id", 3).select("user_id", "rank", "movie_id", "r")
+
+
+@query("similar_vectors", """
+select query_id, cast(rk as integer) as rank, vec_id, round(score, 6) as score from (
+  select a.vec_id as query_id, b.vec_id, list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) as score,
+         row_number() over (partition by a.vec_id order by round(list_dot_product(cast(a.embedding as double[]),
+                                                                 cast(b.embedding as double[])), 6) desc, b.vec_id) as rk
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id) where rk <= 5""")
+def q_similar_vectors(spark, sf):
+    """M-03 dense form over the embeddings table: 5 nearest others by dot
+    product (self excluded, ties by id), blocked matrix products."""
+    e = Tables(spark, sf).embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    top = scoring.topk_dot(e.select(F.col("vec_id").alias("query_id"), "vec"), "query_id",
+                           e.withColumn("tie", F.col("vec_id")), "vec_id", "tie", 5, exclude_self=True)
+    return top.select("query_id", "rank", F.col("item_id").alias("vec_id"), F.round("score", 6).alias("score"))
