@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genres import genres_from_array, watch_weight
+from ..session import ensure_checkpoint_dir
 from .popularity import movies_rated
 
 WEIGHT_DP = 6
@@ -84,24 +85,51 @@ def movie_vectors(movies: DataFrame, vocab: DataFrame) -> DataFrame:
     return mg.select("movie_id", "genre", (F.lit(1.0) / n).alias("weight"))
 
 
-def content_model(watch: DataFrame, movies: DataFrame):
-    """M-02: (profiles, vectors, vocabulary) from watch rows with genres."""
+def content_model(watch: DataFrame, movies: DataFrame, materialize: bool = True):
+    """M-02: (profiles, vectors, vocabulary) from watch rows with genres.
+
+    The trained model is materialised with ``checkpoint()`` into the shared
+    checkpoint folder (the reference pickled it): every later step — the
+    vocabulary and candidate blocks read on the driver, the scoring job —
+    reads these files instead of re-running the aggregation, and a lost
+    executor does not send recomputation back to the raw watch log.
+    """
     wg = watch_with_genres(watch, movies)
     vocab = genre_vocab(wg, movies)
-    return user_profiles(wg, movies), movie_vectors(movies, vocab), vocab
+    profiles, vectors = user_profiles(wg, movies), movie_vectors(movies, vocab)
+    if materialize:
+        ensure_checkpoint_dir(watch.sparkSession)
+        profiles, vectors = profiles.checkpoint(), vectors.checkpoint()
+        vocab = vectors.select("genre").union(profiles.select("genre")).distinct()
+    return profiles, vectors, vocab
 
 
 def cb_scores(profiles: DataFrame, vectors: DataFrame) -> DataFrame:
-    """J-13: every (user, movie) pair with a shared genre and its dot product.
+    """J-13: every (user, movie) pair with a positive dot product (all other
+    pairs score 0).
 
-    The output is the pair set itself (all other pairs score 0), so a join on
-    genre is the plan; for top-N use :mod:`marquee.operators.scoring`, which
-    never materialises pairs.
+    Movies with the same genre set share a vector, so users are scored once
+    per signature with blocked matrix products (no (user, movie, genre)
+    triples are ever formed), and each positive (user, signature) score is
+    then expanded to the signature's movies — that expansion is the output.
     """
-    p = profiles.select("user_id", "genre", F.col("weight").alias("wu"))
-    v = vectors.select("movie_id", "genre", F.col("weight").alias("wm"))
-    return (p.join(v, "genre").groupBy("user_id", "movie_id")
-            .agg(F.sum(F.col("wu") * F.col("wm")).alias("score")))
+    from . import scoring   # local import: scoring imports nothing from here
+
+    sig_vec, members = signatures(vectors)
+    vocab = vectors.select("genre").union(profiles.select("genre")).distinct()
+    idx, dim = scoring.vocabulary_index(vocab)
+    if idx is None or dim == 0:
+        p = profiles.select("user_id", "genre", F.col("weight").alias("wu"))
+        v = vectors.select("movie_id", "genre", F.col("weight").alias("wm"))
+        return (p.join(v, "genre").groupBy("user_id", "movie_id")
+                .agg(F.sum(F.col("wu") * F.col("wm")).alias("score")))
+    q = scoring.to_dense(profiles, "user_id", "genre", "weight", idx, dim)
+    items = scoring.to_dense(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight",
+                             idx, dim).withColumn("tie", F.col("sig_id"))
+    per_sig = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", None, positive_only=True, dim=dim)
+    sig_of = sig_vec.select("sig", F.col("min_movie_id").alias("item_id")).distinct()
+    return (per_sig.join(sig_of, "item_id").join(members, "sig")
+            .select("user_id", "movie_id", "score"))
 
 
 def signatures(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -86,7 +86,7 @@ def content_top_n(profiles: DataFrame, vectors: DataFrame, universe: DataFrame,
         q = scoring.to_dense(profiles, "user_id", "genre", "weight", idx, dim)
         items = scoring.to_dense(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight",
                                  idx, dim).withColumn("tie", F.col("sig_id"))
-        top_sig = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", n, positive_only=True)
+        top_sig = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", n, positive_only=True, dim=dim)
         sig_of = sig_vec.select("sig", F.col("min_movie_id").alias("item_id")).distinct()
         top_sig = top_sig.join(sig_of, "item_id")
     else:
@@ -136,7 +136,7 @@ def similar_movies(vectors: DataFrame, universe: DataFrame, n: int = SIMILAR_TOP
     sig_items = scoring.to_dense(sig_vec, "min_movie_id", "genre", "weight", idx, dim) \
         .withColumnRenamed("min_movie_id", "sig_id").withColumn("tie", F.col("sig_id"))
     q = sig_items.select(F.col("sig_id").alias("q_sig"), "vec")
-    top_sig = scoring.topk_dot(q, "q_sig", sig_items, "sig_id", "tie", k, positive_only=True)
+    top_sig = scoring.topk_dot(q, "q_sig", sig_items, "sig_id", "tie", k, positive_only=True, dim=dim)
     sig_key = sig_vec.select("sig", "min_movie_id").distinct()
     low = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("movie_id"))) \
         .where(F.col("_r") <= k).drop("_r")
@@ -229,7 +229,7 @@ def _hybrid_with_factors(w, profiles, vectors, user_factors, item_factors, unive
     itv = vectors.join(uni, "movie_id", "left_semi").join(F.broadcast(g_idx), "genre") \
         .select("movie_id", "gi", F.col("weight").alias("w"))
     items = _dense_from_index(itf.unionByName(itv), "movie_id", dim).withColumn("tie", F.col("movie_id"))
-    top = scoring.topk_dot(q, "user_id", items, "movie_id", "tie", n, positive_only=True)
+    top = scoring.topk_dot(q, "user_id", items, "movie_id", "tie", n, positive_only=True, dim=dim)
     return top.select("user_id", "rank", F.col("item_id").alias("movie_id"), "score")
 
 

@@ -75,7 +75,7 @@ def _block_topk(q_id: str, bc, k: int, positive_only: bool, exclude_self: bool):
             q = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             s = q @ mat.T
             r = np.round(s, SCORE_DP)
-            out_q, out_i, out_s = [], [], []
+            out_q, out_i, out_s, out_t = [], [], [], []
             qids = pdf[q_id].to_numpy()
             for row in range(s.shape[0]):
                 valid = np.ones(len(ids), dtype=bool)
@@ -86,6 +86,13 @@ def _block_topk(q_id: str, bc, k: int, positive_only: bool, exclude_self: bool):
                 cand = np.nonzero(valid)[0]
                 if cand.size == 0:
                     continue
+                if k is None:                                  # every valid candidate
+                    sel = cand
+                    out_q.append(np.full(sel.size, qids[row]))
+                    out_i.append(ids[sel])
+                    out_s.append(s[row, sel])
+                    out_t.append(ties[sel])
+                    continue
                 if cand.size > k:
                     # k-th best rounded score; keep everything at or above it
                     # (ties included), then order exactly by (score desc, tie asc).
@@ -96,37 +103,46 @@ def _block_topk(q_id: str, bc, k: int, positive_only: bool, exclude_self: bool):
                 out_q.append(np.full(sel.size, qids[row]))
                 out_i.append(ids[sel])
                 out_s.append(s[row, sel])
+                out_t.append(ties[sel])
             if out_q:
                 yield pd.DataFrame({q_id: np.concatenate(out_q), "item_id": np.concatenate(out_i),
-                                    "score": np.concatenate(out_s)})
+                                    "score": np.concatenate(out_s), "_tie": np.concatenate(out_t)})
     return score
 
 
-def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: str, k: int,
-             positive_only: bool = False, exclude_self: bool = False) -> DataFrame:
+def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: str, k: int | None,
+             positive_only: bool = False, exclude_self: bool = False, dim: int | None = None) -> DataFrame:
     """Top ``k`` items per query by ``queries.vec · items.vec``.
 
     ``queries``: ``(q_id, vec)``; ``items``: ``(i_id, tie, vec)`` with the same
-    vector length.  Returns ``(q_id, item_id, score, rank)``.
+    vector length.  Returns ``(q_id, item_id, score, rank)``; with ``k=None``
+    every (valid) candidate is returned, unranked.
     """
     spark = queries.sparkSession
     q_type = dict(queries.dtypes)[q_id]
-    n_items = items.count()
-    schema = f"{q_id} {q_type}, item_id bigint, score double"
-    if n_items == 0:
-        return spark.createDataFrame([], schema + ", rank int")
-    dim = len(items.select("vec").first()[0])
+    schema = f"{q_id} {q_type}, item_id bigint, score double, _tie bigint"
+    # Block size from the vector length, read off one row; the first block is
+    # fetched with one bounded collect (block_rows + 1 rows tells whether more exist).
+    if dim is None:
+        got = items.select(F.size("vec")).limit(1).collect()
+        if not got:
+            return spark.createDataFrame([], schema + ", rank int").drop("_tie")
+        dim = got[0][0]
     block_rows = max(1, ITEM_BLOCK_BYTES // (8 * max(dim, 1)))
-    n_blocks = (n_items + block_rows - 1) // block_rows
-    if n_blocks == 1:
-        blocks = [items]
+    head = items.select(i_id, tie, "vec").limit(block_rows + 1).collect()
+    if not head:
+        return spark.createDataFrame([], schema + ", rank int").drop("_tie")
+    if len(head) <= block_rows:                       # the whole candidate side fits one block
+        blocks = [head]
     else:
         indexed = ordered_index(items.select(i_id, tie, "vec"), [i_id], "_bi")
+        n_items = indexed.count()
         blocks = [indexed.where((F.col("_bi") >= b * block_rows) & (F.col("_bi") < (b + 1) * block_rows))
-                  for b in range(n_blocks)]
+                  for b in range((n_items + block_rows - 1) // block_rows)]
     parts = []
     for blk in blocks:
-        rows = blk.select(i_id, tie, "vec").collect()       # ≤ block_rows rows by construction
+        # ≤ block_rows rows by construction
+        rows = blk if isinstance(blk, list) else blk.select(i_id, tie, "vec").collect()
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         ties = np.array([r[1] for r in rows], dtype=np.int64)
         mat = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), dim)
@@ -136,8 +152,9 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    tie_map = items.select(F.col(i_id).alias("item_id"), F.col(tie).alias("_tie"))
-    return top_n_per_key(merged.join(tie_map, "item_id"), q_id, "score", "_tie", k).drop("_tie")
+    if k is None:
+        return merged.drop("_tie")
+    return top_n_per_key(merged, q_id, "score", "_tie", k).drop("_tie")
 
 
 def topk_long_form(q_long: DataFrame, q_id: str, i_long: DataFrame, i_id: str, tie: str,
