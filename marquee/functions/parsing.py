@@ -40,17 +40,27 @@ def safe_int(text) -> Column:
 
 def iso_time(text) -> Column:
     """Strict ISO-8601 parse (date, optional one-char separator and time,
-    3- or 6-digit fraction, optional offset which is dropped) → TIMESTAMP_NTZ."""
-    t = _c(text)
-    g = [F.regexp_extract(t, ISO_TIME_PATTERN, i) for i in range(6)]
-
-    def part(x):
-        return F.coalesce(F.nullif(x, F.lit("")), F.lit("00"))
+    3- or 6-digit fraction, optional offset which is dropped) → TIMESTAMP_NTZ.
 
-    canon = F.concat(g[1], F.lit(" "), part(g[2]), F.lit(":"), part(g[3]), F.lit(":"),
-                     part(g[4]),
-                     F.when(g[5] != "", F.concat(F.lit("."), g[5])).otherwise(F.lit("")))
-    return F.when(t.rlike(ISO_TIME_PATTERN), canon.try_cast("timestamp_ntz"))
+    One pattern test, then the accepted shapes are told apart by length and
+    padded to ``yyyy-MM-dd HH:mm:ss[.f]`` with substrings (no capture groups).
+    """
+    t = _c(text)
+    core = F.regexp_replace(t, r"[+-]\d{2}:\d{2}$", "")
+    n = F.length(core)
+
+    def part(pos, need):
+        return F.when(n >= need, F.substring(core, pos, 2)).otherwise(F.lit("00"))
+
+    canon = F.concat(F.substring(core, 1, 10), F.lit(" "), part(12, 13), F.lit(":"), part(15, 16), F.lit(":"),
+                     part(18, 19), F.when(n > 19, F.substring(core, 20, 7)).otherwise(F.lit("")))
+    # Fast path for the usual full shape (seconds present, no offset): only the
+    # separator needs replacing.
+    tn = F.length(t)
+    full = (tn.isin(19, 23, 26) & (F.substring(t, 14, 1) == ":") & (F.substring(t, 17, 1) == ":"))
+    fast = F.concat(F.substring(t, 1, 10), F.lit(" "), F.substring(t, 12, 15))
+    return F.when(t.rlike(ISO_TIME_PATTERN),
+                  F.when(full, fast).otherwise(canon).try_cast("timestamp_ntz"))
 
 
 def message_kind(line) -> Column:
