@@ -39,7 +39,6 @@ def store_batch(batch: DataFrame, batch_id: int, out_dir: str, seed_movies: Data
                 tee_dir: str | None = None) -> dict[str, int]:
     """K-04 body for one micro-batch; returns counts per kind (ST-06)."""
     spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     lines = batch.select("line").persist()
     try:
         if tee_dir:                                     # K-10 / ST-04 raw tee, one folder per batch
@@ -56,14 +55,16 @@ def store_batch(batch: DataFrame, batch_id: int, out_dir: str, seed_movies: Data
         counts = {}
         for name, df in (("watch_history", w_out), ("ratings", r_out)):
             df = df.withColumn("batch_id", F.lit(batch_id))
-            df.write.mode("overwrite").partitionBy("batch_id").parquet(f"{out_dir}/{name}")
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+                .partitionBy("batch_id").parquet(f"{out_dir}/{name}")
             counts[name] = spark.read.parquet(f"{out_dir}/{name}").where(F.col("batch_id") == batch_id).count()
         # dimension rows last: a replay before this point re-derives the same ids
         new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .partitionBy("batch_id").parquet(f"{out_dir}/movies")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/movies")
         spark.createDataFrame([(batch_id, counts["watch_history"], counts["ratings"])],
                               "batch_id long, n_watch long, n_rate long") \
-            .write.mode("overwrite").partitionBy("batch_id").parquet(f"{out_dir}/batch_counts")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(f"{out_dir}/batch_counts")
         new.unpersist()
         return counts
     finally:
