@@ -71,8 +71,11 @@ def offline_rmse(test: DataFrame, predictions: DataFrame | None = None, min_rows
 
 
 def user_movie_sets(interactions: DataFrame) -> DataFrame:
-    """A-11: set of movies per user, sorted for comparison."""
-    return interactions.groupBy("user_id").agg(F.sort_array(F.collect_set("movie_id")).alias("movies"))
+    """A-11: the set of movies per user, kept as distinct (user, movie) rows
+    with the set size: a heavy user's set is never gathered into one array."""
+    pairs = interactions.select("user_id", "movie_id").distinct()
+    sizes = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_movies"))
+    return pairs.join(sizes, "user_id")
 
 
 def popularity_accuracy(top: DataFrame, interactions: DataFrame, k: int = EVAL_K) -> DataFrame:

@@ -30,3 +30,23 @@ def ordered_index(df: DataFrame, order: list[Column | str], name: str = "idx") -
     return (with_pos.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_mid") - F.col("_first"))
             .drop("_pid", "_mid", "_off", "_first"))
+
+
+def exact_percentiles(df: DataFrame, col: str, ps: list[float]) -> list[float | None]:
+    """Exact percentiles with linear interpolation (``numpy.percentile`` /
+    ``percentile_cont``), computed without gathering values anywhere: the
+    column is globally indexed by :func:`ordered_index`, and only the ≤ 2·len(ps)
+    rows at the interpolation positions are read back."""
+    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n = vals.count()
+    if n == 0:
+        return [None for _ in ps]
+    wanted = {}
+    for p in ps:
+        pos = p * (n - 1)
+        lo = int(pos // 1)
+        wanted[p] = (pos, lo, min(lo + 1, n - 1))
+    need = sorted({i for _, lo, hi in wanted.values() for i in (lo, hi)})
+    rows = ordered_index(vals, ["v"], "_i").where(F.col("_i").isin(need)).select("_i", "v").collect()
+    at = {r["_i"]: r["v"] for r in rows}
+    return [at[lo] + (pos - lo) * (at[hi] - at[lo]) for pos, lo, hi in (wanted[p] for p in ps)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import exact_percentiles
+
 # List length and the vote-count quantile used as prior weight.
 POPULAR_TOP_N = 50
 VOTES_QUANTILE = 0.90
@@ -20,18 +22,20 @@ def movies_rated(movies: DataFrame, limit: int | None = None) -> DataFrame:
     return out
 
 
-def popularity_params(movies: DataFrame) -> DataFrame:
-    """A-03: one row (C = mean rating, m = 90th percentile of votes, linear
-    interpolation).  ``percentile`` keeps a value→count map, so its buffer grows
-    with the number of distinct vote counts, not with rows."""
+def _params(movies: DataFrame) -> tuple[float, float]:
+    """C = mean rating (one partial aggregate) and m = exact 90th percentile of
+    votes with linear interpolation (distributed global index, no value
+    gathering)."""
     rated = movies.dropna(subset=["rating", "votes"])
-    return rated.agg(F.avg("rating").alias("mean_rating"),
-                     F.percentile(F.col("votes").cast("double"), F.lit(VOTES_QUANTILE)).alias("min_votes"))
+    mean = rated.agg(F.avg("rating")).first()[0]
+    (m,) = exact_percentiles(rated, "votes", [VOTES_QUANTILE])
+    return mean, m
 
 
-def _params(movies: DataFrame) -> tuple[float, float]:
-    row = popularity_params(movies).first()  # one row by construction
-    return row["mean_rating"], row["min_votes"]
+def popularity_params(movies: DataFrame) -> DataFrame:
+    """A-03: one row (mean_rating, min_votes)."""
+    mean, m = _params(movies)
+    return movies.sparkSession.createDataFrame([(mean, m)], "mean_rating double, min_votes double")
 
 
 def bayesian_score(movies: DataFrame, mean_rating=None, min_votes=None) -> DataFrame:

@@ -24,8 +24,10 @@ from .ordering import ordered_index
 SCORE_DP = 6
 # Candidate block size shipped to executors (bytes of float64 matrix).
 ITEM_BLOCK_BYTES = 64 * 1024 * 1024
-# Largest dense dimension accepted for the vectorised path.
-MAX_DENSE_DIM = 65536
+# Largest dense dimension accepted for the vectorised path (beyond it the
+# sparse long-form join is used), and rows scored per matrix product.
+MAX_DENSE_DIM = 2048
+QUERY_CHUNK_BYTES = 32 * 1024 * 1024
 
 
 def rank_window(part_col: str, score_col: str, tie_col: str) -> Window:
@@ -72,44 +74,45 @@ def _block_topk(q_id: str, bc, k: int, positive_only: bool, exclude_self: bool):
         for pdf in batches:
             if len(pdf) == 0 or len(ids) == 0:
                 continue
-            q = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            s = q @ mat.T
-            r = np.round(s, SCORE_DP)
             out_q, out_i, out_s, out_t = [], [], [], []
-            qids = pdf[q_id].to_numpy()
-            for row in range(s.shape[0]):
-                valid = np.ones(len(ids), dtype=bool)
-                if positive_only:
-                    valid &= s[row] > 0
-                if exclude_self:
-                    valid &= ids != qids[row]
-                cand = np.nonzero(valid)[0]
-                if cand.size == 0:
-                    continue
-                if k is None:                                  # every valid candidate
-                    sel = cand
-                    out_q.append(np.full(sel.size, qids[row]))
-                    out_i.append(ids[sel])
-                    out_s.append(s[row, sel])
-                    out_t.append(ties[sel])
-                    continue
-                if cand.size > k:
-                    # k-th best rounded score; keep everything at or above it
-                    # (ties included), then order exactly by (score desc, tie asc).
-                    kth = np.partition(-r[row, cand], k - 1)[k - 1]
-                    cand = cand[-r[row, cand] <= kth]
-                order = np.lexsort((ties[cand], -r[row, cand]))[:k]
-                sel = cand[order]
-                out_q.append(np.full(sel.size, qids[row]))
-                out_i.append(ids[sel])
-                out_s.append(s[row, sel])
-                out_t.append(ties[sel])
+            step = max(1, QUERY_CHUNK_BYTES // (8 * max(mat.shape[0], mat.shape[1], 1)))
+            for start in range(0, len(pdf), step):
+                chunk = pdf.iloc[start:start + step]
+                q = np.stack(chunk["vec"].to_numpy()).astype(np.float64)
+                s = q @ mat.T
+                r = np.round(s, SCORE_DP)
+                qids = chunk[q_id].to_numpy()
+                _select(s, r, qids, ids, ties, k, positive_only, exclude_self, out_q, out_i, out_s, out_t)
             if out_q:
                 yield pd.DataFrame({q_id: np.concatenate(out_q), "item_id": np.concatenate(out_i),
                                     "score": np.concatenate(out_s), "_tie": np.concatenate(out_t)})
     return score
 
 
+def _select(s, r, qids, ids, ties, k, positive_only, exclude_self, out_q, out_i, out_s, out_t):
+    """Per query row: valid candidates, then the k best by (rounded score desc, tie asc)."""
+    for row in range(s.shape[0]):
+        valid = np.ones(len(ids), dtype=bool)
+        if positive_only:
+            valid &= s[row] > 0
+        if exclude_self:
+            valid &= ids != qids[row]
+        cand = np.nonzero(valid)[0]
+        if cand.size == 0:
+            continue
+        if k is not None:
+            if cand.size > k:
+                # k-th best rounded score; keep everything at or above it
+                # (ties included), then order exactly by (score desc, tie asc).
+                kth = np.partition(-r[row, cand], k - 1)[k - 1]
+                cand = cand[-r[row, cand] <= kth]
+            cand = cand[np.lexsort((ties[cand], -r[row, cand]))[:k]]
+        out_q.append(np.full(cand.size, qids[row]))
+        out_i.append(ids[cand])
+        out_s.append(s[row, cand])
+        out_t.append(ties[cand])
+
+
 def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: str, k: int | None,
              positive_only: bool = False, exclude_self: bool = False, dim: int | None = None) -> DataFrame:
     """Top ``k`` items per query by ``queries.vec · items.vec``.

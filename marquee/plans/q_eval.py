@@ -193,12 +193,10 @@ def q_rec_hits(spark, sf):
 
 
 @query("user_movie_sets", cte("fx_ratings") +
-       "select user_id, array_to_string(list_sort(list_distinct(list(movie_id))), ',') "
-       "as movies from fx_ratings group by user_id")
+       "select p.user_id, p.movie_id, s.n_movies from (select distinct user_id, movie_id from fx_ratings) p "
+       "join (select user_id, count(distinct movie_id) as n_movies from fx_ratings group by user_id) s using (user_id)")
 def q_user_movie_sets(spark, sf):
-    r = Tables(spark, sf).ratings
-    sets = ev.user_movie_sets(r)
-    return sets.select("user_id", F.concat_ws(",", F.col("movies").cast("array<string>")).alias("movies"))
+    return ev.user_movie_sets(Tables(spark, sf).ratings)
 
 
 _POP = f"{qm._RATED}, {qm._PARAMS}, {qm._SCORED}, {qm._POPULAR}"
