@@ -47,3 +47,22 @@ def enrich_titles(titles: DataFrame, metadata_source: DataFrame, col: str = "mov
                                           F.col("title_src").alias("title"), "year", "rating", "genres", "plot"))
     unmatched = titles.join(src.select(F.col("lookup_title").alias(col)), col, "left_anti")
     return rows, unmatched
+
+
+def write_unique_titles(rows: DataFrame, path: str) -> str:
+    """K-07: distinct titles to a headed CSV."""
+    unique_titles(rows).write.mode("overwrite").option("header", "true").csv(path)
+    return path
+
+
+def write_unprocessed(unique: DataFrame, metadata: DataFrame, path: str) -> str:
+    """K-08: unprocessed title rows with their original columns."""
+    unprocessed_titles(unique, metadata).write.mode("overwrite").option("header", "true").csv(path)
+    return path
+
+
+def append_metadata(rows: DataFrame, path: str, resume: bool = True) -> str:
+    """K-09: enriched metadata rows appended (resume-safe: callers pass only
+    :func:`titles_to_fetch` output) or the file rewritten."""
+    rows.write.mode("append" if resume else "overwrite").option("header", "true").csv(path)
+    return path

@@ -229,17 +229,20 @@ def q_cf_accuracy(spark, sf):
     return ev.cf_accuracy(recs, t.watch, 10)
 
 
-_FIRST100 = _FIRST.replace("{N}", "100")
+_TEST_USERS = "firsts AS (select distinct user_id from holdout)"
 _GLOBAL_RECS = "grecs AS (select f.user_id, p.rank, p.movie_id from firsts f cross join popular p where p.rank <= 10)"
+_TEST_SET = _HOLDOUT + ",\n" + _TEST_USERS
 
 
 def _first100_and_recs(t):
-    test = ev.first_n_users(t.ratings, R_ORDER, 100)
+    """Test rows = the temporal holdout (every user in it); recommendations =
+    the global popular top 10 for each of those users."""
+    test = _holdout(t)
     recs = hybrid.get_recs(test.select("user_id"), pop.popular_movies(t.movies), 10, "global")
     return test, recs
 
 
-@query("get_recs", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_FIRST100}, {_GLOBAL_RECS}") +
+@query("get_recs", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_TEST_SET}, {_GLOBAL_RECS}") +
        "select user_id, cast(rank as integer) as rank, movie_id from grecs")
 def q_get_recs(spark, sf):
     t = Tables(spark, sf)
@@ -247,10 +250,10 @@ def q_get_recs(spark, sf):
     return recs.select("user_id", F.col("rank").cast("int").alias("rank"), "movie_id")
 
 
-@query("hr_at_k", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_FIRST100}, {_GLOBAL_RECS}") + """
+@query("hr_at_k", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_TEST_SET}, {_GLOBAL_RECS}") + """
 select avg(case when h.user_id is not null then 1.0 else 0.0 end) as hr_at_k, count(*) as n_users
 from (select distinct user_id from grecs) u left join
-     (select distinct g.user_id from grecs g join fx_ratings r on g.user_id = r.user_id and g.movie_id = r.movie_id) h
+     (select distinct g.user_id from grecs g join holdout r on g.user_id = r.user_id and g.movie_id = r.movie_id) h
      on u.user_id = h.user_id""")
 def q_hr_at_k(spark, sf):
     t = Tables(spark, sf)
@@ -258,9 +261,9 @@ def q_hr_at_k(spark, sf):
     return ev.hr_at_k(recs, test)
 
 
-@query("precision_at_k", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_FIRST100}, {_GLOBAL_RECS}") + """
+@query("precision_at_k", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_TEST_SET}, {_GLOBAL_RECS}") + """
 select coalesce(avg(hits / 10.0), 0.0) as precision_at_k, count(*) as n_users
-from (select g.user_id, sum(case when exists (select 1 from fx_ratings r where r.user_id = g.user_id
+from (select g.user_id, sum(case when exists (select 1 from holdout r where r.user_id = g.user_id
                                            and r.movie_id = g.movie_id) then 1 else 0 end) as hits
       from grecs g group by g.user_id)""")
 def q_precision_at_k(spark, sf):
@@ -269,17 +272,18 @@ def q_precision_at_k(spark, sf):
     return ev.precision_at_k(recs, test, 10)
 
 
-@query("rec_coverage", cte("fx_movies", "fx_watch", "fx_ratings", extra=f"{qm._CONTENT}, {_FIRST100}") + """
+@query("rec_coverage", cte("fx_movies", "fx_watch", "fx_ratings", extra=f"{qm._CONTENT}, {_TEST_SET}") + """
 select (select count(*) from firsts) as n_test_users,
        (select count(distinct user_id) from prof) as n_model_users,
        (select count(*) from firsts where user_id not in (select user_id from prof)) as n_missing_users,
        (select count(*) from firsts where user_id not in (select user_id from prof)) as n_empty_lists""")
 def q_rec_coverage(spark, sf):
-    """A-26 for the per-user content model: users without a profile get no list."""
+    """A-26 for the per-user content model over every test (holdout) user:
+    users without a profile get no list."""
     t = Tables(spark, sf)
-    test = ev.first_n_users(t.ratings, R_ORDER, 100)
+    test = _holdout(t)
     _, profiles, vectors, _ = qm._content_inputs(spark, sf)
-    recs = hybrid.content_recs(profiles.join(test, "user_id", "left_semi"), vectors,
+    recs = hybrid.content_recs(profiles.join(test.select("user_id").distinct(), "user_id", "left_semi"), vectors,
                                pop.movies_rated(t.movies), t.movies)
     return ev.rec_coverage(test, profiles, recs)
 
@@ -305,13 +309,13 @@ def q_union_chunks(spark, sf):
             .unionByName(t.watch.select(F.lit("watch").alias("kind"), "user_id", "movie_id", "updated_at")))
 
 
-@query("intersect_hits", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_FIRST100}, {_GLOBAL_RECS}") +
-       "select user_id, movie_id from grecs intersect select user_id, movie_id from fx_ratings")
+@query("intersect_hits", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_TEST_SET}, {_GLOBAL_RECS}") +
+       "select user_id, movie_id from grecs intersect select user_id, movie_id from holdout")
 def q_intersect_hits(spark, sf):
-    """U-03: recommended ∩ actually rated, per user."""
+    """U-03: recommended ∩ actually rated (test rows), per user."""
     t = Tables(spark, sf)
-    _, recs = _first100_and_recs(t)
-    return recs.select("user_id", "movie_id").intersect(t.ratings.select("user_id", "movie_id"))
+    test, recs = _first100_and_recs(t)
+    return recs.select("user_id", "movie_id").intersect(test.select("user_id", "movie_id"))
 
 
 @query("except_users", cte("fx_movies", "fx_watch", "fx_ratings", extra=f"{qm._CONTENT}, {_HOLDOUT}") +

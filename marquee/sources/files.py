@@ -71,3 +71,8 @@ def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """T-06: the first rows of a source."""
+    return df.limit(n)

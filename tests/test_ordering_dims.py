@@ -25,3 +25,24 @@ def test_new_movie_keys_follow_max_id(spark):
     facts = spark.createDataFrame([("b",), ("a",), ("x",), ("a",)], "movie_title_id string")
     got = sorted((r.movie_title_id, r.movie_id) for r in dimensions.new_movie_keys(facts, movies).collect())
     assert got == [("a", 11), ("b", 12)]
+
+
+def test_create_tables_and_insert_record(spark, tmp_path):
+    from marquee.sources import catalog
+    made = catalog.create_tables(spark, str(tmp_path / "wh"))
+    assert set(made) == {"movies", "users", "ratings", "watch_history"}
+    assert spark.table("ratings").columns == ["rating_id", "user_id", "movie_id", "rating", "updated_at"]
+    catalog.create_tables(spark, str(tmp_path / "wh"))           # idempotent
+    movies = spark.createDataFrame([(1, "a+1")], "movie_id long, movie_title_id string")
+    import datetime as dt
+    path = str(tmp_path / "facts")
+    n = catalog.insert_record(spark, {"user_id": 7, "movie_title_id": "b+2", "rating": 4,
+                                      "updated_at": dt.datetime(2025, 1, 1)},
+                              "user_id long, movie_title_id string, rating int, updated_at timestamp_ntz",
+                              movies, path, "rating")
+    assert n == 1 and spark.read.parquet(path).first().movie_id == 2
+    bad = catalog.insert_record(spark, {"user_id": None, "movie_title_id": "b+2", "rating": 4,
+                                        "updated_at": dt.datetime(2025, 1, 1)},
+                                "user_id long, movie_title_id string, rating int, updated_at timestamp_ntz",
+                                movies, path, "rating")
+    assert bad == 0
