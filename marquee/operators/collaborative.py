@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from .ordering import ordered_index
 
 # Latent dimensions, regularisation λ, learning rate η, seed,
@@ -94,8 +94,8 @@ def cf_train_incremental(ratings: DataFrame, order: list[str], batch_rows: int =
     """M-07 option: fold :func:`factor_update` over time-ordered slices of
     ``batch_rows`` ratings.  The first slice initialises factors (and with
     ``skip_first`` is not learned from, as in the reference, D-03).  Each
-    step's output is checkpointed to the shared folder so lineage stays short
-    and a lost executor recomputes one step, not the whole fold.
+    step's output is written to the shared checkpoint folder so lineage stays
+    short and a lost executor recomputes one step, not the whole fold.
     """
     ensure_checkpoint_dir(ratings.sparkSession)
     rated = ratings.where(F.col("rating").isNotNull())
@@ -105,12 +105,12 @@ def cf_train_incremental(ratings: DataFrame, order: list[str], batch_rows: int =
     if max_batches is not None:
         n_slices = min(n_slices, max_batches)
     first = indexed.where(F.col("_slice") == 0)
-    users = factor_init(first, "user_id", k, seed).checkpoint()
-    items = factor_init(first, "movie_id", k, seed).checkpoint()
+    users = materialize(factor_init(first, "user_id", k, seed), "user-factors")
+    items = materialize(factor_init(first, "movie_id", k, seed), "item-factors")
     for b in range(0 if not skip_first else 1, n_slices):
         sl = indexed.where(F.col("_slice") == b)
         users, items = factor_update(sl, users, items, k, seed=seed)
-        users, items = users.checkpoint(), items.checkpoint()
+        users, items = materialize(users, "user-factors"), materialize(items, "item-factors")
     return users, items
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genres import genres_from_array, watch_weight
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .popularity import movies_rated
 
 WEIGHT_DP = 6
@@ -85,11 +85,11 @@ def movie_vectors(movies: DataFrame, vocab: DataFrame) -> DataFrame:
     return mg.select("movie_id", "genre", (F.lit(1.0) / n).alias("weight"))
 
 
-def content_model(watch: DataFrame, movies: DataFrame, materialize: bool = True):
+def content_model(watch: DataFrame, movies: DataFrame, write_model: bool = True):
     """M-02: (profiles, vectors, vocabulary) from watch rows with genres.
 
-    The trained model is materialised with ``checkpoint()`` into the shared
-    checkpoint folder (the reference pickled it): every later step — the
+    The trained model is written once into the shared checkpoint folder (the
+    reference pickled it): every later step — the
     vocabulary and candidate blocks read on the driver, the scoring job —
     reads these files instead of re-running the aggregation, and a lost
     executor does not send recomputation back to the raw watch log.
@@ -97,9 +97,8 @@ def content_model(watch: DataFrame, movies: DataFrame, materialize: bool = True)
     wg = watch_with_genres(watch, movies)
     vocab = genre_vocab(wg, movies)
     profiles, vectors = user_profiles(wg, movies), movie_vectors(movies, vocab)
-    if materialize:
-        ensure_checkpoint_dir(watch.sparkSession)
-        profiles, vectors = profiles.checkpoint(), vectors.checkpoint()
+    if write_model:
+        profiles, vectors = materialize(profiles, "profiles"), materialize(vectors, "vectors")
         vocab = vectors.select("genre").union(profiles.select("genre")).distinct()
     return profiles, vectors, vocab
 

@@ -2,7 +2,7 @@
 
 ``row_number()`` over an unpartitioned window and ``offset`` on a big input
 both funnel every row into one task.  ``ordered_index`` instead range-sorts,
-cuts lineage with ``checkpoint()`` so partition contents are fixed, counts rows
+writes the tagged rows once so partition contents are fixed, counts rows
 per partition (one row per partition), and adds each partition's starting
 offset to the row's position inside it.
 """
@@ -12,16 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def ordered_index(df: DataFrame, order: list[Column | str], name: str = "idx") -> DataFrame:
     """Add a 0-based, gap-free position ``name`` following ``order`` (total order
-    expected: include tie-break columns)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(*order).checkpoint(eager=True)
-    with_pos = ordered.select("*", F.spark_partition_id().alias("_pid"),
-                              F.monotonically_increasing_id().alias("_mid"))
+    expected: include tie-break columns).
+
+    The range-sorted rows are tagged with their partition id and in-partition
+    position in the same pass and written once to the shared checkpoint
+    folder; per-partition counts (one row per partition) give each
+    partition's starting offset.
+    """
+    tagged = df.orderBy(*order).select("*", F.spark_partition_id().alias("_pid"),
+                                       F.monotonically_increasing_id().alias("_mid"))
+    with_pos = materialize(tagged, "ordered")
     counts = with_pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     # One row per partition: bounded by the partition count, safe to broadcast.
     offsets = counts.select("_pid", "_first",

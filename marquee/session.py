@@ -52,3 +52,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder under the shared checkpoint dir for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint
+    folder and reading it back.
+
+    Unlike ``RDD.checkpoint`` this computes the plan once (no second pass to
+    save), keeps column pruning and filter pushdown for readers, and survives
+    executor loss because the files live on shared storage.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
