@@ -173,12 +173,13 @@ def hybrid_scores(cf: DataFrame, cb: DataFrame, weights: DataFrame) -> DataFrame
 
 
 def popularity_fallback(users: DataFrame, scored_users: DataFrame, popular: DataFrame,
-                        n: int = RECS_TOP_N) -> DataFrame:
+                        n: int = RECS_TOP_N, extra: tuple[str, ...] = ()) -> DataFrame:
     """M-09: requested users without any positive score get the popular top-n,
     in order.  The popular list is bounded by n and attached as a literal."""
     missing = users.select("user_id").distinct().join(scored_users.select("user_id").distinct(), "user_id",
                                                       "left_anti")
-    top = popular.where(F.col("rank") <= n).select("rank", "movie_id", F.col("popularity_score").alias("score"))
+    top = popular.where(F.col("rank") <= n).select("rank", "movie_id", F.col("popularity_score").alias("score"),
+                                                   *extra)
     return attach_list(missing, top, n)
 
 
@@ -203,11 +204,15 @@ def hybrid_recommend(users: DataFrame, profiles: DataFrame, vectors: DataFrame,
             "user_id", "rank", "movie_id", "score")
     else:
         top = _hybrid_with_factors(w, profiles, vectors, user_factors, item_factors, universe, n)
-    fallback = popularity_fallback(w, top, popular, n)
-    out = (top.select("user_id", "rank", "movie_id", "score", F.lit("hybrid").alias("source"))
-           .unionByName(fallback.select("user_id", "rank", "movie_id", "score", F.lit("popular").alias("source"))))
-    return name_movies(out, movies).select("user_id", "rank", "movie_id", "title",
-                                           F.round("score", scoring.SCORE_DP).alias("score"), "source")
+    # The fallback list is the same N movies for every user: name them before
+    # the list is attached, so no join is keyed on those N hot movie ids.
+    named_popular = name_movies(popular.where(F.col("rank") <= n), movies)
+    fallback = popularity_fallback(w, top, named_popular, n, extra=("title",))
+    hyb = name_movies(top, movies).select("user_id", "rank", "movie_id", "title", "score",
+                                          F.lit("hybrid").alias("source"))
+    fb = fallback.select("user_id", "rank", "movie_id", "title", "score", F.lit("popular").alias("source"))
+    return hyb.unionByName(fb).select("user_id", "rank", "movie_id", "title",
+                                      F.round("score", scoring.SCORE_DP).alias("score"), "source")
 
 
 def _hybrid_with_factors(w, profiles, vectors, user_factors, item_factors, universe, n):
