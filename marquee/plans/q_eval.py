@@ -12,6 +12,11 @@ from ..sources import tables as tb
 from . import q_models as qm
 from .registry import query
 
+def _round6(df):
+    """Round every floating-point column to 6 dp (sums merge in any order)."""
+    return df.select([F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
 R_ORDER = ["updated_at", "l_orderkey", "l_linenumber", "movie_id", "l_suppkey", "l_extendedprice"]
 R_ORDER_SQL = ", ".join(R_ORDER)
 RATINGS_CUTOFF = "2000-06-01 00:00:00"
@@ -166,20 +171,20 @@ def _eval_recs(t, k):
 
 @query("offline_hit_rate", cte(*qm.HYBRID_FIXTURES, extra=_HOLDOUT + ",\n" + qm.hybrid_ctes(_EVAL_USERS, 30)) + """
 select cast(count(*) as bigint) as n_users, cast(count(h.user_id) as bigint) as n_hits,
-       case when count(*) > 0 then count(h.user_id) / count(*) else 0.0 end as hit_rate
+       round(case when count(*) > 0 then count(h.user_id) / count(*) else 0.0 end, 6) as hit_rate
 from (""" + _EVAL_USERS + """) u left join (select distinct a.user_id from allr a join holdout t
       on a.user_id = t.user_id and a.movie_id = t.movie_id) h on u.user_id = h.user_id""")
 def q_offline_hit_rate(spark, sf):
     t = Tables(spark, sf)
     test, recs = _eval_recs(t, ev.HIT_RATE_K)
-    return ev.offline_hit_rate(recs, test)
+    return _round6(ev.offline_hit_rate(recs, test))
 
 
 @query("offline_rmse", cte("fx_ratings", extra=_HOLDOUT) +
-       "select sqrt(avg(power(cast(rating as double) - 3.0, 2))) as rmse, count(*) as n_ratings from holdout "
+       "select round(sqrt(avg(power(cast(rating as double) - 3.0, 2))), 6) as rmse, count(*) as n_ratings from holdout "
        "where user_id in (" + _EVAL_USERS + ")")
 def q_offline_rmse(spark, sf):
-    return ev.offline_rmse(_holdout(Tables(spark, sf)))
+    return _round6(ev.offline_rmse(_holdout(Tables(spark, sf))))
 
 
 @query("rec_hits", cte(*qm.HYBRID_FIXTURES, extra=_HOLDOUT + ",\n" + qm.hybrid_ctes()) +
@@ -203,19 +208,20 @@ _POP = f"{qm._RATED}, {qm._PARAMS}, {qm._SCORED}, {qm._POPULAR}"
 
 
 @query("popularity_accuracy", cte("fx_movies", extra=_POP) + """
-select avg(case when hits > 0 then 1.0 else 0.0 end) as hit_rate, avg(hits / 10.0) as precision_at_k,
-       count(*) as n_users
+select round(avg(case when hits > 0 then 1.0 else 0.0 end), 6) as hit_rate,
+       round(avg(hits / 10.0), 6) as precision_at_k, count(*) as n_users
 from (select u.user_id, count(p.movie_id) as hits
       from (select distinct user_id, movie_id from fx_ratings where rating is not null) u
       left join (select movie_id from popular where rank <= 10) p using (movie_id) group by u.user_id)""")
 def q_popularity_accuracy(spark, sf):
     t = Tables(spark, sf)
-    return ev.popularity_accuracy(pop.popular_movies(t.movies), t.ratings.where(F.col("rating").isNotNull()), 10)
+    return _round6(ev.popularity_accuracy(pop.popular_movies(t.movies),
+                                          t.ratings.where(F.col("rating").isNotNull()), 10))
 
 
 @query("cf_accuracy", cte(*qm.HYBRID_FIXTURES, extra=qm.hybrid_ctes(k=10)) + """
-select avg(case when hits > 0 then 1.0 else 0.0 end) as hit_rate, sum(hits) / (10.0 * count(*)) as precision_at_k,
-       count(*) as n_users
+select round(avg(case when hits > 0 then 1.0 else 0.0 end), 6) as hit_rate,
+       round(sum(hits) / (10.0 * count(*)), 6) as precision_at_k, count(*) as n_users
 from (select u.user_id, count(w.movie_id) as hits from (select distinct user_id from allr) u
       left join (select distinct user_id, movie_id from allr) r on r.user_id = u.user_id
       left join (select user_id, movie_id from fx_watch where watched_minutes >= 1) w
@@ -226,7 +232,7 @@ def q_cf_accuracy(spark, sf):
     _, users, profiles, vectors, counts, popular = qm._hybrid_inputs(spark, sf)
     recs = hybrid.hybrid_recommend(users, profiles, vectors, counts, popular, t.movies,
                                    pop.movies_rated(t.movies), n=10)
-    return ev.cf_accuracy(recs, t.watch, 10)
+    return _round6(ev.cf_accuracy(recs, t.watch, 10))
 
 
 _TEST_USERS = "firsts AS (select distinct user_id from holdout)"
@@ -251,25 +257,25 @@ def q_get_recs(spark, sf):
 
 
 @query("hr_at_k", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_TEST_SET}, {_GLOBAL_RECS}") + """
-select avg(case when h.user_id is not null then 1.0 else 0.0 end) as hr_at_k, count(*) as n_users
+select round(avg(case when h.user_id is not null then 1.0 else 0.0 end), 6) as hr_at_k, count(*) as n_users
 from (select distinct user_id from grecs) u left join
      (select distinct g.user_id from grecs g join holdout r on g.user_id = r.user_id and g.movie_id = r.movie_id) h
      on u.user_id = h.user_id""")
 def q_hr_at_k(spark, sf):
     t = Tables(spark, sf)
     test, recs = _first100_and_recs(t)
-    return ev.hr_at_k(recs, test)
+    return _round6(ev.hr_at_k(recs, test))
 
 
 @query("precision_at_k", cte("fx_movies", "fx_ratings", extra=f"{_POP}, {_TEST_SET}, {_GLOBAL_RECS}") + """
-select coalesce(avg(hits / 10.0), 0.0) as precision_at_k, count(*) as n_users
+select round(coalesce(avg(hits / 10.0), 0.0), 6) as precision_at_k, count(*) as n_users
 from (select g.user_id, sum(case when exists (select 1 from holdout r where r.user_id = g.user_id
                                            and r.movie_id = g.movie_id) then 1 else 0 end) as hits
       from grecs g group by g.user_id)""")
 def q_precision_at_k(spark, sf):
     t = Tables(spark, sf)
     test, recs = _first100_and_recs(t)
-    return ev.precision_at_k(recs, test, 10)
+    return _round6(ev.precision_at_k(recs, test, 10))
 
 
 @query("rec_coverage", cte("fx_movies", "fx_watch", "fx_ratings", extra=f"{qm._CONTENT}, {_TEST_SET}") + """
@@ -336,7 +342,7 @@ from . import q_ingest as qi  # noqa: E402
 
 
 @query("clip_prediction", cte("fx_ratings", "fx_watch", "fx_user_factors", "fx_item_factors", extra=_HOLDOUT) + """
-select h.user_id, h.movie_id, least(greatest(coalesce(p.cf, 3.0), 1.0), 5.0) as prediction
+select h.user_id, h.movie_id, round(least(greatest(coalesce(p.cf, 3.0), 1.0), 5.0), 6) as prediction
 from (select distinct user_id, movie_id from holdout) h left join
      (select u.user_id, v.movie_id, sum(u.value * v.value) as cf from fx_user_factors u join fx_item_factors v using (dim)
       where u.user_id in (select user_id from fx_watch) group by 1, 2) p
@@ -349,7 +355,7 @@ def q_clip_prediction(spark, sf):
     uf = t.user_factors.join(t.watch.select("user_id").distinct(), "user_id", "left_semi")
     p = cf.cf_scores(pairs, uf, t.item_factors)
     return (pairs.join(p, ["user_id", "movie_id"], "left")
-            .select("user_id", "movie_id", clip_prediction("cf_score").alias("prediction")))
+            .select("user_id", "movie_id", F.round(clip_prediction("cf_score"), 6).alias("prediction")))
 
 
 @query("title_or_unknown", cte("fx_movies", "fx_log", extra=qi._PARSED_KEYS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..fixtures import Tables, cte
 from ..operators import popularity as pop
 from .registry import query
@@ -20,9 +22,11 @@ def q_movies_rated(spark, sf):
     return pop.movies_rated(Tables(spark, sf).movies)
 
 
-@query("popularity_params", cte("fx_movies", extra=f"{_RATED}, {_PARAMS}") + "select * from params")
+@query("popularity_params", cte("fx_movies", extra=f"{_RATED}, {_PARAMS}") +
+       "select round(mean_rating, 6) as mean_rating, round(min_votes, 6) as min_votes from params")
 def q_popularity_params(spark, sf):
-    return pop.popularity_params(Tables(spark, sf).movies)
+    p = pop.popularity_params(Tables(spark, sf).movies)
+    return p.select(F.round("mean_rating", 6).alias("mean_rating"), F.round("min_votes", 6).alias("min_votes"))
 
 
 @query("bayesian_score", cte("fx_movies", extra=f"{_RATED}, {_PARAMS}, {_SCORED}") + "select * from scored")
