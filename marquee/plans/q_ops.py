@@ -209,7 +209,7 @@ PROBE_USERS = (1, 2)
 select model, n_recs, n_recs > 0 as generated from (
   select 'popularity' as model, count(*) as n_recs from popular where rank <= 20
   union all select 'content_based', count(*) from ranked where rk <= 20 and user_id in {PROBE_USERS})
-union all select 'all_valid', sum(n_recs), bool_and(n_recs > 0) from (
+union all select 'all_valid', cast(sum(n_recs) as bigint), bool_and(n_recs > 0) from (
   select count(*) as n_recs from popular where rank <= 20
   union all select count(*) from ranked where rk <= 20 and user_id in {PROBE_USERS})""")
 def q_validate_models(spark, sf):
