@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import ordered_index
 
 SCORE_DP = 6
@@ -150,8 +151,15 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
         ties = np.array([r[1] for r in rows], dtype=np.int64)
         mat = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), dim)
         bc = spark.sparkContext.broadcast((ids, ties, mat))
-        parts.append(queries.select(q_id, "vec")
-                     .mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self), schema))
+        part = (queries.select(q_id, "vec")
+                .mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self), schema))
+        if len(blocks) > 1:
+            # Several blocks: score one block at a time, write its per-query
+            # winners (≤ k per query) to the checkpoint folder, and release the
+            # block, so only one candidate block is ever held in memory.
+            part = materialize(part, "topk-block")
+            bc.destroy()
+        parts.append(part)
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
