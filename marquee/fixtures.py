@@ -164,7 +164,7 @@ class Tables:
                 df = spark.sql(FIXTURE_SQL[n])
                 if n in MATERIALIZED:
                     path = scratch_path(spark, n)
-                    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+                    files = max(1, spark.sparkContext.defaultParallelism)   # one scan task per core
                     df.repartition(files).write.parquet(path)
                     df = spark.read.parquet(path)
                 df.createOrReplaceTempView(n)
