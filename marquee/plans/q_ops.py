@@ -15,7 +15,7 @@ from ..operators import popularity as pop
 from ..operators import quality, titles
 from ..operators import hybrid
 from ..session import scratch_path
-from ..sources import artifacts, kafka, loaders
+from ..sources import artifacts, kafka
 from ..streaming import ingest
 from ..functions.cleaning import FLOAT_PATTERN
 from . import export

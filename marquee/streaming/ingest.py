@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..functions import parsing
 from ..operators import dimensions
 from ..operators.metrics import error_type
@@ -118,4 +117,4 @@ def start_request_counters(lines: DataFrame, out_dir: str, checkpoint: str, avai
 
 
 __all__ = ["store_batch", "file_source", "start_ingest", "read_ingested", "request_counter_stream",
-           "start_request_counters", "schemas"]
+           "start_request_counters"]

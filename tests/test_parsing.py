@@ -1,8 +1,6 @@
 """Log parsers against the hand-written edge rows (FIXTURES §3)."""
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from marquee.functions import parsing
 
 
