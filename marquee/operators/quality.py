@@ -38,3 +38,11 @@ def validate_models(popular: DataFrame, content_lists: DataFrame, probe_users: l
     overall = both.agg(F.bool_and("generated").alias("generated"), F.sum("n_recs").alias("n_recs")) \
         .select(F.lit("all_valid").alias("model"), "n_recs", "generated")
     return both.unionByName(overall)
+
+
+def require_valid(validation: DataFrame) -> None:
+    """The CI gate of A-25: raise when the overall row says not all models
+    produced recommendations (the reference exited non-zero)."""
+    row = validation.where(F.col("model") == "all_valid").select("generated").first()
+    if row is None or not row["generated"]:
+        raise RuntimeError("model validation failed")

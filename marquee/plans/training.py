@@ -34,11 +34,12 @@ class TrainResult:
 
 def train_all(movies: DataFrame, ratings: DataFrame, watch: DataFrame, out_dir: str,
               rating_order: list[str], use_als: bool = False, cf_rank: int = cf.N_COMPONENTS,
-              cf_batches: int | None = None) -> TrainResult:
+              cf_batches: int | None = None, export_tables: dict[str, DataFrame] | None = None) -> TrainResult:
     """Run the three trainings in sequence on the given tables.
 
     Collaborative training folds the incremental update over time slices by
     default (the reference's method); ``use_als`` switches to MLlib ALS.
+    With ``export_tables`` the run ends with the combined table export (K-11).
     """
     spark = movies.sparkSession
     runs = []
@@ -79,6 +80,9 @@ def train_all(movies: DataFrame, ratings: DataFrame, watch: DataFrame, out_dir:
     for r in runs[1:]:
         run_df = run_df.unionByName(r)
     artifacts.append_run(run_df, f"{out_dir}/model_runs")
+    if export_tables:
+        from .export import export_all_tables
+        export_all_tables(export_tables, f"{out_dir}/export")
     return TrainResult(spark.read.parquet(p_uri), spark.read.parquet(pr_uri), spark.read.parquet(v_uri),
                        spark.read.parquet(u_uri), spark.read.parquet(i_uri), spark.read.parquet(c_uri),
                        spark.read.parquet(f"{out_dir}/model_runs"))
