@@ -131,12 +131,13 @@ def cte(*names: str, extra: str = "") -> str:
 
 
 # Mapped views that stand for the stored domain tables (ratings, movies, watch
-# history, the raw log, the request log).  They are written once per session as
+# history, the raw log, the request log) and stored model factors.  They are written once per session as
 # Parquet under the shared checkpoint folder, in evenly sized files
 # (round-robin, so a hot key cannot make one huge file), and read back: scans
 # keep column pruning and filter pushdown, run one task per file, and queries
 # do not redo the mapping join.  The remaining views are cheap projections.
-MATERIALIZED = ("fx_ratings", "fx_movies", "fx_watch", "fx_log", "fx_request")
+MATERIALIZED = ("fx_ratings", "fx_movies", "fx_watch", "fx_log", "fx_request",
+                "fx_user_factors", "fx_item_factors")
 
 
 class Tables:
@@ -146,39 +147,54 @@ class Tables:
     lazily planned DataFrame, so nothing is read until an action runs.
     """
 
-    _registered: dict[tuple[int, str], bool] = {}
+    _registered: dict[tuple[int, str], set] = {}
     load_seconds: dict[str, float] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        key = (id(spark), self.sf_dir)
-        if not Tables._registered.get(key):
-            import time
-
-            from .session import scratch_path
-            t0 = time.time()
+        self._key = (id(spark), self.sf_dir)
+        if self._key not in Tables._registered:
             for t in BASE_TABLES:
                 spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
             for n in _closure(FIXTURE_SQL):
-                df = spark.sql(FIXTURE_SQL[n])
-                if n in MATERIALIZED:
-                    path = scratch_path(spark, n)
-                    files = max(1, spark.sparkContext.defaultParallelism)   # one scan task per core
-                    df.repartition(files).write.parquet(path)
-                    df = spark.read.parquet(path)
-                df.createOrReplaceTempView(n)
+                spark.sql(FIXTURE_SQL[n]).createOrReplaceTempView(n)
             Tables._registered.clear()
-            Tables._registered[key] = True
-            Tables.load_seconds[self.sf_dir] = time.time() - t0
+            Tables._registered[self._key] = set()
+
+    def _stored(self, name: str) -> DataFrame:
+        """A materialised mapped table: written on first use in this session
+        (its inputs first), then read from Parquet."""
+        done = Tables._registered[self._key]
+        if name not in done:
+            import time
+
+            from .session import scratch_path
+            for dep in FIXTURE_DEPS[name]:
+                if dep in MATERIALIZED:
+                    self._stored(dep)
+            t0 = time.time()
+            path = scratch_path(self.spark, name)
+            files = max(1, self.spark.sparkContext.defaultParallelism)   # one scan task per core
+            self.spark.sql(FIXTURE_SQL[name]).repartition(files).write.parquet(path)
+            self.spark.read.parquet(path).createOrReplaceTempView(name)
+            done.add(name)
+            Tables.load_seconds[name] = time.time() - t0
+        return self.spark.table(name)
+
+    def materialize_all(self) -> None:
+        for n in MATERIALIZED:
+            self._stored(n)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in BASE_TABLES or name in FIXTURE_SQL:
-            return self.spark.table(name)
         if name in ("ratings", "movies", "watch", "log", "request", "topic",
                     "user_factors", "item_factors", "meta", "times"):
-            return self.spark.table("fx_" + name)
+            name = "fx_" + name
+        if name in MATERIALIZED:
+            return self._stored(name)
+        if name in BASE_TABLES or name in FIXTURE_SQL:
+            return self.spark.table(name)
         raise AttributeError(name)

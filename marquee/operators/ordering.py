@@ -9,6 +9,8 @@ offset to the row's position inside it.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +39,50 @@ def ordered_index(df: DataFrame, order: list[Column | str], name: str = "idx") -
             .drop("_pid", "_mid", "_off", "_first"))
 
 
+# Largest value→count histogram read back to the driver by exact_percentiles.
+HISTOGRAM_LIMIT = 200_000
+
+
 def exact_percentiles(df: DataFrame, col: str, ps: list[float]) -> list[float | None]:
     """Exact percentiles with linear interpolation (``numpy.percentile`` /
-    ``percentile_cont``), computed without gathering values anywhere: the
-    column is globally indexed by :func:`ordered_index`, and only the ≤ 2·len(ps)
-    rows at the interpolation positions are read back."""
+    ``percentile_cont``).
+
+    First a distributed value→count histogram (partial aggregate); when it has
+    at most ``HISTOGRAM_LIMIT`` distinct values (checked with a bounded read)
+    the positions are located in it directly.  Otherwise the column is
+    globally indexed by :func:`ordered_index` and only the ≤ 2·len(ps) rows at
+    the interpolation positions are read back.  Values are never gathered.
+    """
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return [None for _ in ps]
-    wanted = {}
+    hist = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    rows = hist.limit(HISTOGRAM_LIMIT + 1).collect()
+    if len(rows) <= HISTOGRAM_LIMIT:
+        pairs = sorted((r["v"], r["c"]) for r in rows)
+        n = sum(c for _, c in pairs)
+        if n == 0:
+            return [None for _ in ps]
+        ends, acc = [], 0
+        for _, c in pairs:
+            acc += c
+            ends.append(acc)                  # rows with index < acc have value ≤ this one
+
+        def at(i):
+            return pairs[bisect.bisect_right(ends, i)][0]
+    else:
+        n = vals.count()
+        need_all = set()
+        for p in ps:
+            pos = p * (n - 1)
+            need_all.update({int(pos // 1), min(int(pos // 1) + 1, n - 1)})
+        got = ordered_index(vals, ["v"], "_i").where(F.col("_i").isin(sorted(need_all))).select("_i", "v").collect()
+        table = {r["_i"]: r["v"] for r in got}
+
+        def at(i):
+            return table[i]
+    out = []
     for p in ps:
         pos = p * (n - 1)
         lo = int(pos // 1)
-        wanted[p] = (pos, lo, min(lo + 1, n - 1))
-    need = sorted({i for _, lo, hi in wanted.values() for i in (lo, hi)})
-    rows = ordered_index(vals, ["v"], "_i").where(F.col("_i").isin(need)).select("_i", "v").collect()
-    at = {r["_i"]: r["v"] for r in rows}
-    return [at[lo] + (pos - lo) * (at[hi] - at[lo]) for pos, lo, hi in (wanted[p] for p in ps)]
+        hi = min(lo + 1, n - 1)
+        out.append(at(lo) + (pos - lo) * (at(hi) - at(lo)))
+    return out

@@ -46,3 +46,16 @@ def test_create_tables_and_insert_record(spark, tmp_path):
                                 "user_id long, movie_title_id string, rating int, updated_at timestamp_ntz",
                                 movies, path, "rating")
     assert bad == 0
+
+
+def test_exact_percentiles_both_paths_match_numpy(spark, monkeypatch):
+    import numpy as np
+    from marquee.operators import ordering
+    rng = np.random.default_rng(3)
+    vals = np.round(rng.exponential(50, 2000), 1)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    ps = [0.0, 0.5, 0.9, 0.99, 1.0]
+    want = np.percentile(vals, [p * 100 for p in ps])
+    assert np.allclose(ordering.exact_percentiles(df, "x", ps), want)          # histogram path
+    monkeypatch.setattr(ordering, "HISTOGRAM_LIMIT", 10)
+    assert np.allclose(ordering.exact_percentiles(df, "x", ps), want)          # global-index path
