@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hybrid_alpha_beta, title_or_unknown
+from ..session import materialize
 from . import content, scoring
 
 RECS_TOP_N = 20
@@ -99,6 +100,7 @@ def content_top_n(profiles: DataFrame, vectors: DataFrame, universe: DataFrame,
     positive = (top_sig.select("user_id", "sig", "score").join(low, "sig")
                 .select("user_id", "movie_id", "score"))
     if not positive_only:
+        positive = materialize(positive, "content-positive")      # read twice below
         positive = _fill_with_zeros(positive, profiles.select("user_id").distinct(), universe, n)
     return scoring.top_n_per_key(positive, "user_id", "score", "movie_id", n)
 
@@ -147,6 +149,7 @@ def similar_movies(vectors: DataFrame, universe: DataFrame, n: int = SIMILAR_TOP
             .join(q_members, "q_sig")
             .where(F.col("movie_id") != F.col("query_movie_id"))
             .select("query_movie_id", "movie_id", "score"))
+    cand = materialize(cand, "similar-candidates")                # read three times below
     all_movies = universe.select(F.col("movie_id").alias("query_movie_id")).distinct()
     lowest = universe.select("movie_id").distinct().orderBy("movie_id").limit(2 * n + 1)
     counts = cand.groupBy("query_movie_id").agg(F.count(F.lit(1)).alias("_np"))
@@ -204,6 +207,9 @@ def hybrid_recommend(users: DataFrame, profiles: DataFrame, vectors: DataFrame,
             "user_id", "rank", "movie_id", "score")
     else:
         top = _hybrid_with_factors(w, profiles, vectors, user_factors, item_factors, universe, n)
+    # The lists (≤ n rows per user) feed both the output and the fallback's
+    # anti-join: write them once instead of scoring twice.
+    top = materialize(top, "hybrid-top")
     # The fallback list is the same N movies for every user: name them before
     # the list is attached, so no join is keyed on those N hot movie ids.
     named_popular = name_movies(popular.where(F.col("rank") <= n), movies)

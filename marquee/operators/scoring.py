@@ -143,6 +143,11 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
         n_items = indexed.count()
         blocks = [indexed.where((F.col("_bi") >= b * block_rows) & (F.col("_bi") < (b + 1) * block_rows))
                   for b in range((n_items + block_rows - 1) // block_rows)]
+    # Scoring is CPU-bound per query row while the vectors are small in bytes,
+    # so AQE would coalesce them into very few tasks: spread the queries over
+    # an explicit number of partitions (one vector per query, so no hot key).
+    n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q_in = queries.select(q_id, "vec").repartition(n_parts, q_id)
     parts = []
     for blk in blocks:
         # ≤ block_rows rows by construction
@@ -151,8 +156,7 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
         ties = np.array([r[1] for r in rows], dtype=np.int64)
         mat = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), dim)
         bc = spark.sparkContext.broadcast((ids, ties, mat))
-        part = (queries.select(q_id, "vec")
-                .mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self), schema))
+        part = (q_in.mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self), schema))
         if len(blocks) > 1:
             # Several blocks: score one block at a time, write its per-query
             # winners (≤ k per query) to the checkpoint folder, and release the
