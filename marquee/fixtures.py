@@ -138,6 +138,9 @@ def cte(*names: str, extra: str = "") -> str:
 # do not redo the mapping join.  The remaining views are cheap projections.
 MATERIALIZED = ("fx_ratings", "fx_movies", "fx_watch", "fx_log", "fx_request",
                 "fx_user_factors", "fx_item_factors")
+# Of those, the ones produced by row-wise mapping of a single input (the rest
+# already come out of an aggregate / shuffle with many partitions).
+SPREAD = ("fx_ratings", "fx_watch", "fx_log", "fx_request")
 
 
 class Tables:
@@ -175,8 +178,10 @@ class Tables:
                     self._stored(dep)
             t0 = time.time()
             path = scratch_path(self.spark, name)
-            files = max(1, self.spark.sparkContext.defaultParallelism)   # one scan task per core
-            self.spark.sql(FIXTURE_SQL[name]).repartition(files).write.parquet(path)
+            df = self.spark.sql(FIXTURE_SQL[name])
+            if name in SPREAD:
+                df = df.repartition(max(1, self.spark.sparkContext.defaultParallelism))  # one scan task per core
+            df.write.parquet(path)
             self.spark.read.parquet(path).createOrReplaceTempView(name)
             done.add(name)
             Tables.load_seconds[name] = time.time() - t0

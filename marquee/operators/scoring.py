@@ -91,27 +91,32 @@ def _block_topk(q_id: str, bc, k: int, positive_only: bool, exclude_self: bool):
 
 
 def _select(s, r, qids, ids, ties, k, positive_only, exclude_self, out_q, out_i, out_s, out_t):
-    """Per query row: valid candidates, then the k best by (rounded score desc, tie asc)."""
-    for row in range(s.shape[0]):
-        valid = np.ones(len(ids), dtype=bool)
-        if positive_only:
-            valid &= s[row] > 0
-        if exclude_self:
-            valid &= ids != qids[row]
-        cand = np.nonzero(valid)[0]
-        if cand.size == 0:
-            continue
-        if k is not None:
-            if cand.size > k:
-                # k-th best rounded score; keep everything at or above it
-                # (ties included), then order exactly by (score desc, tie asc).
-                kth = np.partition(-r[row, cand], k - 1)[k - 1]
-                cand = cand[-r[row, cand] <= kth]
-            cand = cand[np.lexsort((ties[cand], -r[row, cand]))[:k]]
-        out_q.append(np.full(cand.size, qids[row]))
-        out_i.append(ids[cand])
-        out_s.append(s[row, cand])
-        out_t.append(ties[cand])
+    """Vectorised over a chunk of query rows: valid candidates, then the k best
+    per row by (rounded score desc, tie asc).  Rows are cut at the k-th best
+    rounded score first (ties kept), then ordered exactly and ranked."""
+    valid = np.ones(s.shape, dtype=bool)
+    if positive_only:
+        valid &= s > 0
+    if exclude_self:
+        valid &= ids[None, :] != qids[:, None]
+    if k is not None and s.shape[1] > k:
+        rr = np.where(valid, r, -np.inf)
+        kth = -np.partition(-rr, k - 1, axis=1)[:, k - 1]
+        valid &= rr >= kth[:, None]
+    rows, cols = np.nonzero(valid)
+    if rows.size == 0:
+        return
+    if k is not None:
+        order = np.lexsort((ties[cols], -r[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+        rank = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
+        keep = rank < k
+        rows, cols = rows[keep], cols[keep]
+    out_q.append(qids[rows])
+    out_i.append(ids[cols])
+    out_s.append(s[rows, cols])
+    out_t.append(ties[cols])
 
 
 def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: str, k: int | None,

@@ -45,3 +45,17 @@ def test_topk_multi_block_and_self_exclusion(spark, monkeypatch):
     monkeypatch.setattr(scoring, "ITEM_BLOCK_BYTES", 8 * 4 * 6)      # 6 items per block → 5 blocks
     got = _run(spark, vecs, vecs, 4, exclude_self=True)
     assert got == _brute(vecs, vecs, 4, exclude_self=True)
+
+
+def test_topk_k_larger_than_catalogue_and_all_mode(spark):
+    rng = np.random.default_rng(5)
+    q = [(i, rng.integers(-1, 2, 3)) for i in range(10)]
+    items = [(i, rng.integers(-1, 2, 3)) for i in range(4)]
+    want = {k_: v for k_, v in _brute(q, items, 9, positive_only=True, exclude_self=True).items() if v}
+    assert _run(spark, q, items, 9, positive_only=True, exclude_self=True) == want
+    qdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in q], "qid long, vec array<double>")
+    idf = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in items],
+                                "iid long, tie long, vec array<double>")
+    every = scoring.topk_dot(qdf, "qid", idf, "iid", "tie", None, positive_only=True).collect()
+    assert sorted((r.qid, r.item_id) for r in every) == sorted(
+        (qi, ii) for qi, qv in q for ii, iv in items if float(np.dot(qv, iv)) > 0)
