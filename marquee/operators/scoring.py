@@ -50,7 +50,11 @@ def vocabulary_index(vocab: DataFrame, col: str = "genre", limit: int = MAX_DENS
     if len(rows) > limit:
         return None, len(rows)
     spark = vocab.sparkSession
-    idx = spark.createDataFrame([(r[0], i) for i, r in enumerate(rows)], f"{col} string, gi int")
+    if not rows:
+        return spark.createDataFrame([], f"{col} string, gi int"), 0
+    # a literal array exploded JVM-side (no Python-backed RDD for ≤ limit rows)
+    lit = F.array(*[F.lit(r[0]) for r in rows])
+    idx = spark.range(1).select(F.posexplode(lit).alias("gi", col)).select(col, F.col("gi").cast("int").alias("gi"))
     return idx, len(rows)
 
 
@@ -149,10 +153,12 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
         blocks = [indexed.where((F.col("_bi") >= b * block_rows) & (F.col("_bi") < (b + 1) * block_rows))
                   for b in range((n_items + block_rows - 1) // block_rows)]
     # Scoring is CPU-bound per query row while the vectors are small in bytes,
-    # so AQE would coalesce them into very few tasks: spread the queries over
-    # an explicit number of partitions (one vector per query, so no hot key).
+    # so AQE would coalesce them into very few tasks.  A round-robin
+    # repartition to an explicit count is kept as is by AQE (a hash
+    # repartition on the key would merge into the upstream aggregate's
+    # coalescable exchange); one vector per query, so no hot key either way.
     n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    q_in = queries.select(q_id, "vec").repartition(n_parts, q_id)
+    q_in = queries.select(q_id, "vec").repartition(n_parts)
     parts = []
     for blk in blocks:
         # ≤ block_rows rows by construction
