@@ -83,22 +83,28 @@ def content_top_n(profiles: DataFrame, vectors: DataFrame, universe: DataFrame,
     """
     sig_vec, members = content.signatures(vectors)
     idx, dim = _dense_inputs(profiles, vectors)
+    # n lowest ids per signature (group-limited window: a huge signature keeps n rows per task)
+    low = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("movie_id"))) \
+        .where(F.col("_r") <= n).drop("_r")
     if idx is not None and dim > 0:
+        # each signature carries its <= n lowest member ids, so the scorer
+        # expands signatures to movies inside the task (no expansion join)
+        member_lists = low.groupBy("sig").agg(F.sort_array(F.collect_list("movie_id")).alias("members"))
         q = scoring.to_dense(profiles, "user_id", "genre", "weight", idx, dim)
-        items = scoring.to_dense(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight",
-                                 idx, dim).withColumn("tie", F.col("sig_id"))
-        top_sig = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", n, positive_only=True, dim=dim)
-        sig_of = sig_vec.select("sig", F.col("min_movie_id").alias("item_id")).distinct()
-        top_sig = top_sig.join(sig_of, "item_id")
+        items = (scoring.to_dense(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight",
+                                  idx, dim)
+                 .join(sig_vec.select("sig", F.col("min_movie_id").alias("sig_id")).distinct(), "sig_id")
+                 .join(member_lists, "sig")
+                 .select("sig_id", F.col("sig_id").alias("tie"), "vec", "members"))
+        top = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", n, positive_only=True, dim=dim,
+                               members="members")
+        positive = top.select("user_id", F.col("item_id").alias("movie_id"), "score")
     else:
         lf = sig_vec.select("sig", "genre", "weight", "min_movie_id")
         top_sig = (scoring.topk_long_form(profiles, "user_id", lf, "min_movie_id", "min_movie_id", "genre", n)
                    .join(lf.select("sig", F.col("min_movie_id").alias("item_id")).distinct(), "item_id"))
-    # n lowest ids per signature (group-limited window: a huge signature keeps n rows per task)
-    low = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("movie_id"))) \
-        .where(F.col("_r") <= n).drop("_r")
-    positive = (top_sig.select("user_id", "sig", "score").join(low, "sig")
-                .select("user_id", "movie_id", "score"))
+        positive = (top_sig.select("user_id", "sig", "score").join(low, "sig")
+                    .select("user_id", "movie_id", "score"))
     if not positive_only:
         positive = materialize(positive, "content-positive")      # read twice below
         positive = _fill_with_zeros(positive, profiles.select("user_id").distinct(), universe, n)

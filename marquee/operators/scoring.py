@@ -73,9 +73,9 @@ def to_dense(long_df: DataFrame, id_col: str, key_col: str, weight_col: str, ind
     return grouped.select(id_col, vec.alias("vec"))
 
 
-def _block_topk(q_id: str, bc, k: int, positive_only: bool, exclude_self: bool):
+def _block_topk(q_id: str, bc, k: int | None, positive_only: bool, exclude_self: bool):
     def score(batches):
-        ids, ties, mat = bc.value
+        ids, ties, mat, mem = bc.value
         for pdf in batches:
             if len(pdf) == 0 or len(ids) == 0:
                 continue
@@ -87,14 +87,32 @@ def _block_topk(q_id: str, bc, k: int, positive_only: bool, exclude_self: bool):
                 s = q @ mat.T
                 r = np.round(s, SCORE_DP)
                 qids = chunk[q_id].to_numpy()
-                _select(s, r, qids, ids, ties, k, positive_only, exclude_self, out_q, out_i, out_s, out_t)
+                rows, cols = _pick(s, r, qids, ids, ties, k, positive_only, exclude_self)
+                if rows.size == 0:
+                    continue
+                if mem is None:
+                    out_q.append(qids[rows])
+                    out_i.append(ids[cols])
+                    out_s.append(s[rows, cols])
+                    out_t.append(ties[cols])
+                else:
+                    _expand(rows, cols, s, r, qids, mem, k, out_q, out_i, out_s, out_t)
             if out_q:
                 yield pd.DataFrame({q_id: np.concatenate(out_q), "item_id": np.concatenate(out_i),
                                     "score": np.concatenate(out_s), "_tie": np.concatenate(out_t)})
     return score
 
 
-def _select(s, r, qids, ids, ties, k, positive_only, exclude_self, out_q, out_i, out_s, out_t):
+def _first_k_per_row(rows, keys, k):
+    """Indices ordering by (row, *keys reversed by lexsort) keeping k per row."""
+    order = np.lexsort(tuple(keys) + (rows,))
+    srows = rows[order]
+    first = np.r_[0, np.flatnonzero(np.diff(srows)) + 1]
+    rank = np.arange(srows.size) - np.repeat(first, np.diff(np.r_[first, srows.size]))
+    return order[rank < k]
+
+
+def _pick(s, r, qids, ids, ties, k, positive_only, exclude_self):
     """Vectorised over a chunk of query rows: valid candidates, then the k best
     per row by (rounded score desc, tie asc).  Rows are cut at the k-th best
     rounded score first (ties kept), then ordered exactly and ranked."""
@@ -108,28 +126,46 @@ def _select(s, r, qids, ids, ties, k, positive_only, exclude_self, out_q, out_i,
         kth = -np.partition(-rr, k - 1, axis=1)[:, k - 1]
         valid &= rr >= kth[:, None]
     rows, cols = np.nonzero(valid)
-    if rows.size == 0:
-        return
-    if k is not None:
-        order = np.lexsort((ties[cols], -r[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-        rank = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
-        keep = rank < k
+    if rows.size and k is not None:
+        keep = _first_k_per_row(rows, (ties[cols], -r[rows, cols]), k)
         rows, cols = rows[keep], cols[keep]
-    out_q.append(qids[rows])
-    out_i.append(ids[cols])
-    out_s.append(s[rows, cols])
-    out_t.append(ties[cols])
+    return rows, cols
+
+
+def _expand(rows, cols, s, r, qids, mem, k, out_q, out_i, out_s, out_t):
+    """Candidates are groups (signatures) of items sharing one score: expand
+    each picked group to its member ids (padded matrix, -1 = empty) and keep
+    the k best items per query row by (rounded score desc, item id asc)."""
+    mm = mem[cols]
+    mask = mm >= 0
+    lens = mask.sum(axis=1)
+    rows2 = np.repeat(rows, lens)
+    ids2 = mm[mask]
+    s2 = np.repeat(s[rows, cols], lens)
+    r2 = np.repeat(r[rows, cols], lens)
+    if k is not None and rows2.size:
+        keep = _first_k_per_row(rows2, (ids2, -r2), k)
+        rows2, ids2, s2 = rows2[keep], ids2[keep], s2[keep]
+    out_q.append(qids[rows2])
+    out_i.append(ids2)
+    out_s.append(s2)
+    out_t.append(ids2)
 
 
 def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: str, k: int | None,
-             positive_only: bool = False, exclude_self: bool = False, dim: int | None = None) -> DataFrame:
+             positive_only: bool = False, exclude_self: bool = False, dim: int | None = None,
+             members: str | None = None) -> DataFrame:
     """Top ``k`` items per query by ``queries.vec · items.vec``.
 
     ``queries``: ``(q_id, vec)``; ``items``: ``(i_id, tie, vec)`` with the same
     vector length.  Returns ``(q_id, item_id, score, rank)``; with ``k=None``
     every (valid) candidate is returned, unranked.
+
+    With ``members`` (an ``array<bigint>`` column of ascending ids, at most
+    ``k`` per item) each candidate stands for a group of items sharing its
+    vector: the k best groups per query (by score desc, ``tie`` asc) are
+    expanded inside the task and the result is the k best *member* ids, ties
+    by id, so no join is needed to expand groups.
     """
     spark = queries.sparkSession
     q_type = dict(queries.dtypes)[q_id]
@@ -141,14 +177,16 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
         if not got:
             return spark.createDataFrame([], schema + ", rank int").drop("_tie")
         dim = got[0][0]
-    block_rows = max(1, ITEM_BLOCK_BYTES // (8 * max(dim, 1)))
-    head = items.select(i_id, tie, "vec").limit(block_rows + 1).collect()
+    cols = [i_id, tie, "vec"] + ([members] if members else [])
+    width = dim + (k if members and k else 0)
+    block_rows = max(1, ITEM_BLOCK_BYTES // (8 * max(width, 1)))
+    head = items.select(*cols).limit(block_rows + 1).collect()
     if not head:
         return spark.createDataFrame([], schema + ", rank int").drop("_tie")
     if len(head) <= block_rows:                       # the whole candidate side fits one block
         blocks = [head]
     else:
-        indexed = ordered_index(items.select(i_id, tie, "vec"), [i_id], "_bi")
+        indexed = ordered_index(items.select(*cols), [i_id], "_bi")
         n_items = indexed.count()
         blocks = [indexed.where((F.col("_bi") >= b * block_rows) & (F.col("_bi") < (b + 1) * block_rows))
                   for b in range((n_items + block_rows - 1) // block_rows)]
@@ -162,11 +200,17 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     parts = []
     for blk in blocks:
         # ≤ block_rows rows by construction
-        rows = blk if isinstance(blk, list) else blk.select(i_id, tie, "vec").collect()
+        rows = blk if isinstance(blk, list) else blk.select(*cols).collect()
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         ties = np.array([r[1] for r in rows], dtype=np.int64)
         mat = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-        bc = spark.sparkContext.broadcast((ids, ties, mat))
+        mem = None
+        if members:
+            width_m = max(1, max(len(r[3]) for r in rows))
+            mem = np.full((len(rows), width_m), -1, dtype=np.int64)
+            for j, r in enumerate(rows):
+                mem[j, :len(r[3])] = r[3]
+        bc = spark.sparkContext.broadcast((ids, ties, mat, mem))
         part = (q_in.mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self), schema))
         if len(blocks) > 1:
             # Several blocks: score one block at a time, write its per-query

@@ -59,3 +59,27 @@ def test_topk_k_larger_than_catalogue_and_all_mode(spark):
     every = scoring.topk_dot(qdf, "qid", idf, "iid", "tie", None, positive_only=True).collect()
     assert sorted((r.qid, r.item_id) for r in every) == sorted(
         (qi, ii) for qi, qv in q for ii, iv in items if float(np.dot(qv, iv)) > 0)
+
+
+def test_group_expansion_matches_item_level_brute_force(spark):
+    """Items sharing a vector are scored once per group and expanded to their
+    ids inside the task; the result equals ranking every item."""
+    rng = np.random.default_rng(9)
+    groups = {g: rng.integers(0, 3, 4) for g in range(6)}
+    item_group = {i: int(rng.integers(0, 6)) for i in range(40)}
+    items = [(i, groups[g]) for i, g in item_group.items()]
+    q = [(u, rng.integers(0, 3, 4)) for u in range(25)]
+    k = 5
+    want = {u: v for u, v in _brute(q, items, k, positive_only=True).items() if v}
+    members = {}
+    for i, g in sorted(item_group.items()):
+        members.setdefault(g, []).append(i)
+    rows = [(min(m), min(m), [float(x) for x in groups[g]], m[:k]) for g, m in members.items()]
+    idf = spark.createDataFrame(rows, "iid long, tie long, vec array<double>, members array<bigint>")
+    qdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in q], "qid long, vec array<double>")
+    res = scoring.topk_dot(qdf, "qid", idf, "iid", "tie", k, positive_only=True, members="members") \
+        .orderBy("qid", "rank").collect()
+    got = {}
+    for r in res:
+        got.setdefault(r.qid, []).append(r.item_id)
+    assert got == want
