@@ -140,21 +140,21 @@ def similar_movies(vectors: DataFrame, universe: DataFrame, n: int = SIMILAR_TOP
     vector dot product (self excluded by id, ties by id, zero scorers fill)."""
     sig_vec, members = content.signatures(vectors)
     idx, dim = scoring.vocabulary_index(sig_vec.select("genre"))
-    k = n + 1
-    sig_items = scoring.to_dense(sig_vec, "min_movie_id", "genre", "weight", idx, dim) \
-        .withColumnRenamed("min_movie_id", "sig_id").withColumn("tie", F.col("sig_id"))
-    q = sig_items.select(F.col("sig_id").alias("q_sig"), "vec")
-    top_sig = scoring.topk_dot(q, "q_sig", sig_items, "sig_id", "tie", k, positive_only=True, dim=dim)
-    sig_key = sig_vec.select("sig", "min_movie_id").distinct()
+    k = n + 1          # one more signature / member than needed: the query movie itself drops out
+    sig_key = sig_vec.select("sig", F.col("min_movie_id").alias("sig_id")).distinct()
+    sig_dense = scoring.to_dense(sig_vec, "min_movie_id", "genre", "weight", idx, dim) \
+        .withColumnRenamed("min_movie_id", "sig_id")
     low = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("movie_id"))) \
         .where(F.col("_r") <= k).drop("_r")
-    q_members = members.join(sig_key, "sig").select(F.col("movie_id").alias("query_movie_id"),
-                                                    F.col("min_movie_id").alias("q_sig"))
-    cand = (top_sig.join(sig_key.withColumnRenamed("min_movie_id", "item_id"), "item_id")
-            .join(low, "sig")
-            .join(q_members, "q_sig")
-            .where(F.col("movie_id") != F.col("query_movie_id"))
-            .select("query_movie_id", "movie_id", "score"))
+    member_lists = low.groupBy("sig").agg(F.sort_array(F.collect_list("movie_id")).alias("members"))
+    items = (sig_dense.join(sig_key, "sig_id").join(member_lists, "sig")
+             .select("sig_id", F.col("sig_id").alias("tie"), "vec", "members"))
+    # every movie with a vector asks with its signature's vector
+    queries = (members.join(sig_key, "sig").join(sig_dense, "sig_id")
+               .select(F.col("movie_id").alias("query_movie_id"), "vec"))
+    top = scoring.topk_dot(queries, "query_movie_id", items, "sig_id", "tie", k, positive_only=True,
+                           exclude_self=True, dim=dim, members="members", keep=n)
+    cand = top.select("query_movie_id", F.col("item_id").alias("movie_id"), "score")
     cand = materialize(cand, "similar-candidates")                # read three times below
     all_movies = universe.select(F.col("movie_id").alias("query_movie_id")).distinct()
     lowest = universe.select("movie_id").distinct().orderBy("movie_id").limit(2 * n + 1)

@@ -73,7 +73,7 @@ def to_dense(long_df: DataFrame, id_col: str, key_col: str, weight_col: str, ind
     return grouped.select(id_col, vec.alias("vec"))
 
 
-def _block_topk(q_id: str, bc, k: int | None, positive_only: bool, exclude_self: bool):
+def _block_topk(q_id: str, bc, k: int | None, positive_only: bool, exclude_self: bool, keep: int | None):
     def score(batches):
         ids, ties, mat, mem = bc.value
         for pdf in batches:
@@ -87,7 +87,7 @@ def _block_topk(q_id: str, bc, k: int | None, positive_only: bool, exclude_self:
                 s = q @ mat.T
                 r = np.round(s, SCORE_DP)
                 qids = chunk[q_id].to_numpy()
-                rows, cols = _pick(s, r, qids, ids, ties, k, positive_only, exclude_self)
+                rows, cols = _pick(s, r, qids, ids, ties, k, positive_only, exclude_self and mem is None)
                 if rows.size == 0:
                     continue
                 if mem is None:
@@ -96,7 +96,7 @@ def _block_topk(q_id: str, bc, k: int | None, positive_only: bool, exclude_self:
                     out_s.append(s[rows, cols])
                     out_t.append(ties[cols])
                 else:
-                    _expand(rows, cols, s, r, qids, mem, k, out_q, out_i, out_s, out_t)
+                    _expand(rows, cols, s, r, qids, mem, keep, exclude_self, out_q, out_i, out_s, out_t)
             if out_q:
                 yield pd.DataFrame({q_id: np.concatenate(out_q), "item_id": np.concatenate(out_i),
                                     "score": np.concatenate(out_s), "_tie": np.concatenate(out_t)})
@@ -132,12 +132,15 @@ def _pick(s, r, qids, ids, ties, k, positive_only, exclude_self):
     return rows, cols
 
 
-def _expand(rows, cols, s, r, qids, mem, k, out_q, out_i, out_s, out_t):
+def _expand(rows, cols, s, r, qids, mem, k, exclude_self, out_q, out_i, out_s, out_t):
     """Candidates are groups (signatures) of items sharing one score: expand
-    each picked group to its member ids (padded matrix, -1 = empty) and keep
-    the k best items per query row by (rounded score desc, item id asc)."""
+    each picked group to its member ids (padded matrix, -1 = empty), drop the
+    query's own id when asked, and keep the k best items per query row by
+    (rounded score desc, item id asc)."""
     mm = mem[cols]
     mask = mm >= 0
+    if exclude_self:
+        mask &= mm != qids[rows][:, None]
     lens = mask.sum(axis=1)
     rows2 = np.repeat(rows, lens)
     ids2 = mm[mask]
@@ -154,7 +157,7 @@ def _expand(rows, cols, s, r, qids, mem, k, out_q, out_i, out_s, out_t):
 
 def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: str, k: int | None,
              positive_only: bool = False, exclude_self: bool = False, dim: int | None = None,
-             members: str | None = None) -> DataFrame:
+             members: str | None = None, keep: int | None = None) -> DataFrame:
     """Top ``k`` items per query by ``queries.vec · items.vec``.
 
     ``queries``: ``(q_id, vec)``; ``items``: ``(i_id, tie, vec)`` with the same
@@ -164,9 +167,11 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     With ``members`` (an ``array<bigint>`` column of ascending ids, at most
     ``k`` per item) each candidate stands for a group of items sharing its
     vector: the k best groups per query (by score desc, ``tie`` asc) are
-    expanded inside the task and the result is the k best *member* ids, ties
-    by id, so no join is needed to expand groups.
+    expanded inside the task and the result is the ``keep`` (default k) best
+    *member* ids, ties by id, so no join is needed to expand groups; there
+    ``exclude_self`` compares the query id with member ids.
     """
+    keep = k if keep is None else keep
     spark = queries.sparkSession
     q_type = dict(queries.dtypes)[q_id]
     schema = f"{q_id} {q_type}, item_id bigint, score double, _tie bigint"
@@ -211,7 +216,7 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
             for j, r in enumerate(rows):
                 mem[j, :len(r[3])] = r[3]
         bc = spark.sparkContext.broadcast((ids, ties, mat, mem))
-        part = (q_in.mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self), schema))
+        part = (q_in.mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self, keep), schema))
         if len(blocks) > 1:
             # Several blocks: score one block at a time, write its per-query
             # winners (≤ k per query) to the checkpoint folder, and release the
@@ -224,7 +229,7 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
         merged = merged.unionByName(p)
     if k is None:
         return merged.drop("_tie")
-    return top_n_per_key(merged, q_id, "score", "_tie", k).drop("_tie")
+    return top_n_per_key(merged, q_id, "score", "_tie", keep if members else k).drop("_tie")
 
 
 def topk_long_form(q_long: DataFrame, q_id: str, i_long: DataFrame, i_id: str, tie: str,
