@@ -62,3 +62,19 @@ def latest_artifacts(runs: DataFrame) -> DataFrame:
     """S-14: newest artefact URI per model (missing models simply absent)."""
     w = F.max_by("artifact_uri", "run_at")
     return runs.groupBy("model").agg(w.alias("artifact_uri"), F.max("run_at").alias("run_at"))
+
+
+def save_als(model, path: str) -> str:
+    """K-12 for the MLlib model: ``ALSModel.write().overwrite().save``."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_als(path: str):
+    """S-13 for the MLlib model: ``ALSModel.load`` with a rank check on the factors."""
+    from pyspark.ml.recommendation import ALSModel
+
+    model = ALSModel.load(path)
+    if model.rank <= 0 or "features" not in model.userFactors.columns:
+        raise ValueError(f"{path} is not a usable ALS model")
+    return model
