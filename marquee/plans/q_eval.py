@@ -26,7 +26,7 @@ R_TIE = tuple(R_ORDER[1:])
 
 # ---------------------------------------------------------------- access
 @query("movies_page", cte("fx_movies") + "select movie_id, title, rating, votes, genres from fx_movies "
-       "where rating is not null and votes is not null order by movie_id limit 1000 offset 1000")
+       "where rating is not null and votes is not null order by movie_id limit 1000 offset 1000", text_arrays=("genres",))
 def q_movies_page(spark, sf):
     return tb.movies_page(Tables(spark, sf).movies, limit=1000, offset=1000)
 
@@ -43,7 +43,7 @@ def q_sql_params(spark, sf):
 @query("watch_chunk", cte("fx_movies", "fx_watch") +
        "select w.user_id, w.movie_id, w.watched_minutes, m.title, m.genres, w.watch_id from fx_watch w "
        "join fx_movies m using (movie_id) where m.genres is not null order by w.updated_at, w.watch_id "
-       "limit 2000 offset 1000")
+       "limit 2000 offset 1000", text_arrays=("genres",))
 def q_watch_chunk(spark, sf):
     t = Tables(spark, sf)
     return tb.watch_chunk(t.watch, t.movies, limit=2000, offset=1000)
@@ -51,8 +51,8 @@ def q_watch_chunk(spark, sf):
 
 @query("ratings_chunk", cte("fx_movies", "fx_ratings") +
        "select r.user_id, r.movie_id, r.rating, m.title, m.genres, r.updated_at, "
-       + ", ".join(f"r.{c}" for c in R_TIE) + " from fx_ratings r join fx_movies m using (movie_id) "
-       "where r.rating is not null order by " + ", ".join(f"r.{c}" for c in R_ORDER) + " limit 5000 offset 10000")
+       + ", ".join(f"r.{c}" for c in R_TIE if c != "movie_id") + " from fx_ratings r join fx_movies m using (movie_id) "
+       "where r.rating is not null order by " + ", ".join(f"r.{c}" for c in R_ORDER) + " limit 5000 offset 10000", text_arrays=("genres",))
 def q_ratings_chunk(spark, sf):
     t = Tables(spark, sf)
     return tb.ratings_chunk(t.ratings, t.movies, limit=5000, offset=10000, tie=R_TIE)
@@ -61,7 +61,7 @@ def q_ratings_chunk(spark, sf):
 def _eval_ratings_sql(op):
     return (cte("fx_movies", "fx_ratings") +
             "select r.user_id, r.movie_id, m.title as movie_title, r.rating, r.updated_at, "
-            + ", ".join(f"r.{c}" for c in R_TIE) + " from fx_ratings r join fx_movies m using (movie_id) "
+            + ", ".join(f"r.{c}" for c in R_TIE if c != "movie_id") + " from fx_ratings r join fx_movies m using (movie_id) "
             f"where r.rating is not null and r.updated_at {op} timestamp '{RATINGS_CUTOFF}'")
 
 
@@ -84,13 +84,13 @@ def _eval_watch_sql(op):
             f"where w.watched_minutes is not null and w.updated_at {op} timestamp '{WATCH_CUTOFF}'")
 
 
-@query("eval_watch_train", _eval_watch_sql("<="))
+@query("eval_watch_train", _eval_watch_sql("<="), text_arrays=("genres",))
 def q_eval_watch_train(spark, sf):
     t = Tables(spark, sf)
     return tb.eval_watch(t.watch, t.movies, WATCH_CUTOFF, "train")
 
 
-@query("eval_watch_test", _eval_watch_sql(">"))
+@query("eval_watch_test", _eval_watch_sql(">"), text_arrays=("genres",))
 def q_eval_watch_test(spark, sf):
     t = Tables(spark, sf)
     return tb.eval_watch(t.watch, t.movies, WATCH_CUTOFF, "test")
@@ -103,7 +103,7 @@ def q_count_ratings(spark, sf):
 
 @query("training_caps", cte("fx_movies", "fx_watch") +
        "select w.user_id, w.movie_id, w.watched_minutes, m.title, m.genres, w.watch_id from fx_watch w "
-       "join fx_movies m using (movie_id) where m.genres is not null order by w.updated_at, w.watch_id limit 11000")
+       "join fx_movies m using (movie_id) where m.genres is not null order by w.updated_at, w.watch_id limit 11000", text_arrays=("genres",))
 def q_training_caps(spark, sf):
     """T-04 with the reference's configured cap on content-model watch input
     (pages of 1,000 until offset > 10,000: 11,000 rows, oldest first)."""

@@ -17,7 +17,7 @@ _POPULAR = ("popular AS (select cast(row_number() over (order by popularity_scor
 
 
 @query("movies_rated", cte("fx_movies") + "select movie_id, title, rating, votes, genres from fx_movies "
-       "where rating is not null and votes is not null")
+       "where rating is not null and votes is not null", text_arrays=("genres",))
 def q_movies_rated(spark, sf):
     return pop.movies_rated(Tables(spark, sf).movies)
 

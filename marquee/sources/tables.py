@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 DEFAULT_CUTOFF = "2025-03-01 00:00:00"
 
 
+def _unique(*cols: str) -> list[str]:
+    """Column list without repeats (a tie-break may already be an output column)."""
+    return list(dict.fromkeys(cols))
+
+
 def page(df: DataFrame, order: list[Column | str], limit: int | None = None, offset: int = 0) -> DataFrame:
     """T-03: total-order page (``None`` limit = to the end, D-10).
 
@@ -54,7 +59,7 @@ def ratings_chunk(ratings: DataFrame, movies: DataFrame, limit=None, offset=0,
     """J-02: ratings ⋈ movies (rating present), time order, paged."""
     j = ratings.where(F.col("rating").isNotNull()).join(movies.select("movie_id", "title", "genres"), "movie_id")
     return page(j, ["updated_at", *tie], limit, offset).select(
-        "user_id", "movie_id", "rating", "title", "genres", "updated_at", *tie)
+        *_unique("user_id", "movie_id", "rating", "title", "genres", "updated_at", *tie))
 
 
 def _split(col: str, cutoff: str, mode: str) -> Column:
@@ -72,7 +77,7 @@ def eval_ratings(ratings: DataFrame, movies: DataFrame, cutoff: str = DEFAULT_CU
     r = ratings.where(F.col("rating").isNotNull() & _split("updated_at", cutoff, mode))
     j = r.join(movies.select("movie_id", F.col("title").alias("movie_title")), "movie_id")
     return page(j, ["updated_at", *tie], limit, offset).select(
-        "user_id", "movie_id", "movie_title", "rating", "updated_at", *tie)
+        *_unique("user_id", "movie_id", "movie_title", "rating", "updated_at", *tie))
 
 
 def eval_watch(watch: DataFrame, movies: DataFrame, cutoff: str = DEFAULT_CUTOFF, mode: str = "train",
