@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables, cte
+from ..functions import parsing
+from ..functions.scalar import clip_prediction, title_or_unknown
+from ..operators import collaborative as cf
+from ..operators import dimensions
 from ..operators import evaluation as ev
 from ..operators import hybrid
 from ..operators import popularity as pop
 from ..sources import tables as tb
+from . import q_ingest as qi
 from . import q_models as qm
 from .registry import query
 
+
 def _round6(df):
     """Round every floating-point column to 6 dp (sums merge in any order)."""
     return df.select([F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
@@ -334,11 +340,6 @@ def q_except_users(spark, sf):
 
 
 # ---------------------------------------------------------------- scalar helpers on real rows
-from ..functions.scalar import clip_prediction, title_or_unknown  # noqa: E402
-from ..operators import collaborative as cf  # noqa: E402
-from ..operators import dimensions  # noqa: E402
-from ..functions import parsing  # noqa: E402
-from . import q_ingest as qi  # noqa: E402
 
 
 @query("clip_prediction", cte("fx_ratings", "fx_watch", "fx_user_factors", "fx_item_factors", extra=_HOLDOUT) + """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables, cte
+from ..functions import genres as G
+from ..operators import content, hybrid, scoring
 from ..operators import popularity as pop
 from .registry import query
 
@@ -61,10 +63,7 @@ def q_popular_details(spark, sf):
 
 
 # ====================================================================== content model
-from pyspark.sql import functions as F  # noqa: E402
 
-from ..functions import genres as G  # noqa: E402
-from ..operators import content, hybrid, scoring  # noqa: E402
 
 _STD = "translate(lower(trim({x})), ' -', '__')"
 _CONTENT = f"""
