@@ -44,3 +44,12 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "user_id" in df.columns
+
+
+@pytest.mark.parametrize("name", ["content_recs", "hybrid_recommend", "similar_movies", "similar_vectors"])
+def test_many_candidate_blocks_still_match_oracle(spark, con, name, monkeypatch):
+    """Force the scorer's multi-block path (one block at a time, per-block
+    winners merged) and compare with the same oracle."""
+    from marquee.operators import scoring
+    monkeypatch.setattr(scoring, "ITEM_BLOCK_BYTES", 1024)
+    test_query_matches_oracle(spark, con, name)
