@@ -51,5 +51,5 @@ def test_many_candidate_blocks_still_match_oracle(spark, con, name, monkeypatch)
     """Force the scorer's multi-block path (one block at a time, per-block
     winners merged) and compare with the same oracle."""
     from marquee.operators import scoring
-    monkeypatch.setattr(scoring, "ITEM_BLOCK_BYTES", 1024)
+    monkeypatch.setattr(scoring, "ITEM_BLOCK_BYTES", 8192)
     test_query_matches_oracle(spark, con, name)
