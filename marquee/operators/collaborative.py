@@ -36,16 +36,30 @@ def user_item_matrix(ratings: DataFrame) -> DataFrame:
             .groupBy("user_id", "movie_id").agg(F.sum("rating").cast("double").alias("r")))
 
 
+# Modulus (2^31 - 1), multiplier and offsets of the per-(id, dim) generator.
+PM_MODULUS = 2147483647
+PM_MULTIPLIER = 48271
+MIX_OFFSETS = (12345, 67890)
+
+
 def _uniform(id_col: str, salt: int, seed: int):
-    h = F.xxhash64(F.col(id_col), F.col("dim"), F.lit(seed), F.lit(salt))
-    # 53 random bits → (0, 1)
-    return (F.pmod(h, F.lit(2 ** 53)).cast("double") + 0.5) / float(2 ** 53)
+    """Uniform (0, 1) from (id, dim, seed, salt) by plain 63-bit-safe integer
+    arithmetic: a linear seed, then two rounds of squaring (non-linear mixing)
+    and a Park–Miller step, all modulo 2^31 - 1.  Any engine reproduces the
+    same draw, at any partitioning and on a task retry."""
+    m = F.lit(PM_MODULUS)
+    x = F.pmod(F.col(id_col) * 31 + F.col("dim").cast("long") * 1000003 + F.lit(seed * 7919 + salt * 104729), m)
+    for off in MIX_OFFSETS:
+        x = F.pmod(x * x + off, m)
+        x = F.pmod(x * PM_MULTIPLIER, m)
+    return (x.cast("double") + 0.5) / float(PM_MODULUS)
 
 
 def factor_init(ids: DataFrame, id_col: str, k: int = N_COMPONENTS, seed: int = SEED,
                 std: float = INIT_STD) -> DataFrame:
     """M-05: normal(0, std) factors, one value per (id, dim), drawn by Box–Muller
-    from a hash of (id, dim, seed): the same at any partitioning or scale."""
+    from a deterministic function of (id, dim, seed): the same at any
+    partitioning or scale, and on a task retry."""
     base = ids.select(id_col).distinct().select(id_col, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("dim"))
     z = F.sqrt(-2.0 * F.log(_uniform(id_col, 1, seed))) * F.cos(2.0 * math.pi * _uniform(id_col, 2, seed))
     return base.select(id_col, "dim", (z * std).alias("value"))

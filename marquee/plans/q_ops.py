@@ -39,10 +39,22 @@ def q_user_item_matrix(spark, sf):
     return cf.user_item_matrix(Tables(spark, sf).ratings)
 
 
-@query("factor_init")
+def _uniform_sql(salt: int) -> str:
+    m = cf.PM_MODULUS
+    x = f"(((user_id * 31 + dim * 1000003 + {cf.SEED * 7919 + salt * 104729}) % {m} + {m}) % {m})"
+    for off in cf.MIX_OFFSETS:
+        x = f"((({x} * {x} + {off}) % {m}) * {cf.PM_MULTIPLIER} % {m})"
+    return f"(({x} + 0.5) / {m}.0)"
+
+
+@query("factor_init", cte("fx_ratings") + f"""
+select user_id, cast(dim as integer) as dim,
+       round(sqrt(-2.0 * ln({_uniform_sql(1)})) * cos(2.0 * pi() * {_uniform_sql(2)}) * 0.1, 6) as value
+from (select distinct user_id from fx_ratings) u cross join (select cast(range as bigint) as dim from range(0, 50)) d""")
 def q_factor_init(spark, sf):
-    """M-05: 50 hash-seeded normal factors per rating user (rows-only check)."""
-    return cf.factor_init(Tables(spark, sf).ratings, "user_id")
+    """M-05: 50 seeded normal factors per rating user."""
+    f = cf.factor_init(Tables(spark, sf).ratings, "user_id")
+    return f.select("user_id", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
 
 
 _UPDATE = f"""
