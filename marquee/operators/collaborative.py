@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seeded import seeded_uniform
 from ..session import ensure_checkpoint_dir, materialize
 from .ordering import ordered_index
 
@@ -36,23 +37,9 @@ def user_item_matrix(ratings: DataFrame) -> DataFrame:
             .groupBy("user_id", "movie_id").agg(F.sum("rating").cast("double").alias("r")))
 
 
-# Modulus (2^31 - 1), multiplier and offsets of the per-(id, dim) generator.
-PM_MODULUS = 2147483647
-PM_MULTIPLIER = 48271
-MIX_OFFSETS = (12345, 67890)
-
-
 def _uniform(id_col: str, salt: int, seed: int):
-    """Uniform (0, 1) from (id, dim, seed, salt) by plain 63-bit-safe integer
-    arithmetic: a linear seed, then two rounds of squaring (non-linear mixing)
-    and a Park–Miller step, all modulo 2^31 - 1.  Any engine reproduces the
-    same draw, at any partitioning and on a task retry."""
-    m = F.lit(PM_MODULUS)
-    x = F.pmod(F.col(id_col) * 31 + F.col("dim").cast("long") * 1000003 + F.lit(seed * 7919 + salt * 104729), m)
-    for off in MIX_OFFSETS:
-        x = F.pmod(x * x + off, m)
-        x = F.pmod(x * PM_MULTIPLIER, m)
-    return (x.cast("double") + 0.5) / float(PM_MODULUS)
+    """Uniform (0, 1) per (id, dim): engine-neutral seeded draw."""
+    return seeded_uniform(F.col(id_col), F.col("dim"), seed, salt)
 
 
 def factor_init(ids: DataFrame, id_col: str, k: int = N_COMPONENTS, seed: int = SEED,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_prediction
+from ..functions.seeded import seeded_int
 from .ordering import ordered_index
 
 # Fixed values of the offline evaluation.
@@ -148,10 +149,13 @@ def first_n_users(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def sample_users(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """T-08: deterministic pseudo-random sample of ``n`` distinct users
-    (hash order with a seed, independent of partitioning)."""
+    """T-08: seeded pseudo-random sample of ``n`` distinct users without
+    replacement: users ordered by a seeded draw (ties by id), first n kept —
+    ``TakeOrderedAndProject`` keeps n rows per task, independent of
+    partitioning."""
     users = rows.select("user_id").distinct()
-    return users.orderBy(F.xxhash64(F.col("user_id"), F.lit(seed)), "user_id").limit(n)
+    key = seeded_int(F.col("user_id"), F.lit(0), seed)
+    return users.orderBy(key, "user_id").limit(n)
 
 
 def watch_truth(ratings: DataFrame, watch: DataFrame, min_minutes: int = WATCH_TRUTH_MIN_MINUTES) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Tables, cte
 from ..functions import parsing
 from ..functions.scalar import clip_prediction, title_or_unknown
+from ..functions.seeded import seeded_int_sql
 from ..operators import collaborative as cf
 from ..operators import dimensions
 from ..operators import evaluation as ev
@@ -156,9 +157,10 @@ def q_rows_of_sampled_users(spark, sf):
                                                     "l_orderkey", "l_linenumber")
 
 
-@query("sample_users")
+@query("sample_users", cte("fx_ratings") + "select user_id from (select distinct user_id from fx_ratings) "
+       f"order by {seeded_int_sql('user_id', '0', 42)}, user_id limit 100")
 def q_sample_users(spark, sf):
-    """T-08: seeded hash sample (deterministic; rows-only check)."""
+    """T-08: seeded sample of 100 users (seed 42)."""
     return ev.sample_users(Tables(spark, sf).ratings, 100, 42)
 
 

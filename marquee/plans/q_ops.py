@@ -18,6 +18,7 @@ from ..session import scratch_path
 from ..sources import artifacts, kafka
 from ..streaming import ingest
 from ..functions.cleaning import FLOAT_PATTERN
+from ..functions.seeded import seeded_uniform_sql
 from . import export
 from . import q_eval as qe
 from . import q_ingest as qi
@@ -40,11 +41,7 @@ def q_user_item_matrix(spark, sf):
 
 
 def _uniform_sql(salt: int) -> str:
-    m = cf.PM_MODULUS
-    x = f"(((user_id * 31 + dim * 1000003 + {cf.SEED * 7919 + salt * 104729}) % {m} + {m}) % {m})"
-    for off in cf.MIX_OFFSETS:
-        x = f"((({x} * {x} + {off}) % {m}) * {cf.PM_MULTIPLIER} % {m})"
-    return f"(({x} + 0.5) / {m}.0)"
+    return seeded_uniform_sql("user_id", "dim", cf.SEED, salt)
 
 
 @query("factor_init", cte("fx_ratings") + f"""
