@@ -236,12 +236,10 @@ def _reason_sql(value: str) -> str:
     return r + "end)"
 
 
-# Text rows whose fields exercise every validation branch: the parsed CSV rows
-# (valid), plus recommendation-request lines read as watch rows (bad minutes).
-_FACT_ROWS_SPARK_NOTE = "rows from the 3-column log CSV reading of every line"
-
-
 def _fact_rows(spark, sf, kind):
+    """Text fact rows from the 3-column log CSV reading of every line: the
+    matching lines give valid rows, the other kinds exercise the reject
+    branches (missing title, bad minutes or rating)."""
     log = Tables(spark, sf).log
     rows = parsing.lines_to_log_rows(log, keep=["event_id"])
     val = "rating" if kind == "ratings" else "watched_minutes"
