@@ -53,3 +53,24 @@ def test_load_accepted_plus_rejected_is_input(spark):
     load = loaders.load_fact_csv(rows, "ratings", t.movies.select("movie_id", "movie_title_id"),
                                  t.ratings.select("user_id").distinct(), "2025-03-01 00:00:00")
     assert load.accepted.count() + load.rejected.count() == rows.count()
+
+
+def test_incremental_cf_is_partitioning_independent(spark):
+    """The CF fold has no exact oracle; its draws and updates must not depend
+    on how Spark partitions the work."""
+    from marquee.operators import collaborative as cf
+    from marquee.plans.q_eval import R_ORDER
+    t = Tables(spark, SF)
+
+    def run(parts):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            users, items = cf.cf_train_incremental(t.ratings, R_ORDER, batch_rows=1500, k=8)
+            return {(r.user_id, r.dim): round(r.value, 9) for r in users.collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+
+    a, b = run(8), run(3)
+    assert a.keys() == b.keys() and len(a) > 0
+    assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
