@@ -31,10 +31,6 @@ MAX_DENSE_DIM = 2048
 QUERY_CHUNK_BYTES = 32 * 1024 * 1024
 
 
-def rank_window(part_col: str, score_col: str, tie_col: str) -> Window:
-    return Window.partitionBy(part_col).orderBy(F.desc(F.round(score_col, SCORE_DP)), F.asc(tie_col))
-
-
 def top_n_per_key(df: DataFrame, key: str, score_col: str, tie_col: str, n: int,
                   rank_col: str = "rank") -> DataFrame:
     """W-03: ``row_number() ≤ n`` per key; planned with WindowGroupLimit, so
@@ -59,11 +55,11 @@ def vocabulary_index(vocab: DataFrame, col: str = "genre", limit: int = MAX_DENS
 
 
 def to_dense(long_df: DataFrame, id_col: str, key_col: str, weight_col: str, index: DataFrame,
-             dim: int, scale=None) -> DataFrame:
+             dim: int) -> DataFrame:
     """Long ``(id, key, weight)`` → ``(id, vec array<double>)`` of length ``dim``.
 
-    ``index`` has at most ``MAX_DENSE_DIM`` rows (checked), so it is broadcast.
-    ``scale`` optionally multiplies each vector by a per-id column expression.
+    ``index`` has at most ``MAX_DENSE_DIM`` rows (checked), so it is broadcast;
+    each id gathers at most ``dim`` entries.
     """
     j = long_df.join(F.broadcast(index.withColumnRenamed(index.columns[0], key_col)), key_col)
     grouped = j.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("gi", F.col(weight_col).cast("double"))))
