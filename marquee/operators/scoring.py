@@ -22,6 +22,16 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .ordering import ordered_index
 
+# The per-batch scoring functions below run in Python workers.  Pickle them by
+# value so executors need no copy of this package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):   # older cloudpickle: ship the package instead
+    pass
+
 SCORE_DP = 6
 # Candidate block size shipped to executors (bytes of float64 matrix).
 ITEM_BLOCK_BYTES = 64 * 1024 * 1024
