@@ -140,6 +140,7 @@ def similar_movies(vectors: DataFrame, universe: DataFrame, n: int = SIMILAR_TOP
     vector dot product (self excluded by id, ties by id, zero scorers fill)."""
     sig_vec, members = content.signatures(vectors)
     idx, dim = scoring.vocabulary_index(sig_vec.select("genre"))
+    scoring.require_dense(idx, dim, "similar_movies")
     k = n + 1          # one more signature / member than needed: the query movie itself drops out
     sig_key = sig_vec.select("sig", F.col("min_movie_id").alias("sig_id")).distinct()
     sig_dense = scoring.to_dense(sig_vec, "min_movie_id", "genre", "weight", idx, dim) \
@@ -231,6 +232,7 @@ def _hybrid_with_factors(w, profiles, vectors, user_factors, item_factors, unive
     n_dims = item_factors.agg(F.max("dim")).first()[0]
     n_dims = 0 if n_dims is None else int(n_dims) + 1
     idx, g = _dense_inputs(profiles, vectors)
+    scoring.require_dense(idx, g, "hybrid_recommend with factors")
     g_idx = idx.withColumn("gi", F.col("gi") + F.lit(n_dims))
     dim = n_dims + g
     # user side: α·U (dims 0..k-1) and β·profile (dims k..)

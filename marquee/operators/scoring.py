@@ -49,9 +49,11 @@ def top_n_per_key(df: DataFrame, key: str, score_col: str, tie_col: str, n: int,
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
-def vocabulary_index(vocab: DataFrame, col: str = "genre", limit: int = MAX_DENSE_DIM):
+def vocabulary_index(vocab: DataFrame, col: str = "genre", limit: int | None = None):
     """Sorted vocabulary → (DataFrame(col, gi), size) or (None, size) when the
-    vocabulary is larger than ``limit`` (callers then use the long-form path)."""
+    vocabulary is larger than ``limit`` (default ``MAX_DENSE_DIM``; callers
+    then use the long-form path or stop with a clear error)."""
+    limit = MAX_DENSE_DIM if limit is None else limit
     rows = vocab.select(col).distinct().orderBy(col).limit(limit + 1).collect()
     if len(rows) > limit:
         return None, len(rows)
@@ -238,6 +240,14 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     return top_n_per_key(merged, q_id, "score", "_tie", keep if members else k).drop("_tie")
 
 
+def require_dense(idx, dim: int, what: str) -> None:
+    """Operators without a sparse path stop here when the vocabulary is too
+    wide for dense vectors (rather than building huge per-row arrays)."""
+    if idx is None:
+        raise ValueError(f"{what}: vocabulary of more than {MAX_DENSE_DIM} keys; "
+                         f"raise scoring.MAX_DENSE_DIM if executors can hold such vectors")
+
+
 def topk_long_form(q_long: DataFrame, q_id: str, i_long: DataFrame, i_id: str, tie: str,
                    key: str, k: int, positive_only: bool = True) -> DataFrame:
     """Fallback for vocabularies too large for dense vectors: sparse join on the

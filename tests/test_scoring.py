@@ -86,13 +86,14 @@ def test_group_expansion_matches_item_level_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("block_bytes", [64 * 1024 * 1024, 256])
-def test_content_lists_match_brute_force_with_many_ties(spark, monkeypatch, block_bytes):
+@pytest.mark.parametrize("block_bytes,dense_limit", [(64 * 1024 * 1024, 2048), (256, 2048), (256, 2)])
+def test_content_lists_match_brute_force_with_many_ties(spark, monkeypatch, block_bytes, dense_limit):
     """Signature scoring + in-task expansion + zero fill equal a plain sort of
     every (user, movie) score, on data built to have many equal scores (also
     with tiny candidate blocks, one signature or two per block)."""
     from marquee.operators import hybrid
     monkeypatch.setattr(scoring, "ITEM_BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(scoring, "MAX_DENSE_DIM", dense_limit)      # 2: sparse long-form path
     rng = np.random.default_rng(21)
     vocab = ["a", "b", "c", "d"]
     movies = []
