@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genres import genres_from_array, watch_weight
-from ..session import materialize
+from ..session import materialize_many
 from .popularity import movies_rated
 
 WEIGHT_DP = 6
@@ -98,7 +98,7 @@ def content_model(watch: DataFrame, movies: DataFrame, write_model: bool = True)
     vocab = genre_vocab(wg, movies)
     profiles, vectors = user_profiles(wg, movies), movie_vectors(movies, vocab)
     if write_model:
-        profiles, vectors = materialize(profiles, "profiles"), materialize(vectors, "vectors")
+        profiles, vectors = materialize_many([(profiles, "profiles"), (vectors, "vectors")])
         vocab = vectors.select("genre").union(profiles.select("genre")).distinct()
     return profiles, vectors, vocab
 

@@ -65,3 +65,12 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize_many(named: list[tuple[object, str]]) -> list:
+    """:func:`materialize` for independent frames, written by concurrent
+    Spark jobs (one driver thread each) instead of one after another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, len(named))) as pool:
+        return list(pool.map(lambda dn: materialize(dn[0], dn[1]), named))
