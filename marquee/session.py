@@ -37,17 +37,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is respected as is.
-    Only when it is unset (tests, local runs) do we create a scratch folder.
+    On a cluster that setting must point at storage all executors share; it is
+    respected as is, and a missing setting is an error there (a folder of one
+    machine would hold only the rows written on that machine).  Only a local
+    master without the setting (tests, the bench) gets a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        require_local(spark.sparkContext.master)
         current = tempfile.mkdtemp(prefix="marquee-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if _checkpoint_dirs.get(spark.sparkContext.applicationId) != current:
+        spark.sparkContext.setCheckpointDir(current)
+        _checkpoint_dirs[spark.sparkContext.applicationId] = current
     return current
 
 
+_checkpoint_dirs: dict[str, str] = {}
+
+
+def require_local(master: str) -> None:
+    """Raise unless ``master`` runs every task in this process."""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share (master is {master})")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder under the shared checkpoint dir for written tables."""
     base = ensure_checkpoint_dir(spark)
