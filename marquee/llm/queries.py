@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, packing, warc
+from . import block_naming, bpe, licenses, packing, quality, topk, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -57,3 +57,53 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ints = topk.integers(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(ints, ints.where("vec_id % 20 = 0"), 20)
+
+
+ORACLE["op6_norm_buckets"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+      from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20"""
+
+
+@query
+def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_oracle() -> str:
+    rows = ", ".join(f"({k}, '{name}', {len(g)}, [{', '.join(repr(x) for x in g)}])"
+                     for k, (name, g) in enumerate((n, licenses.bigrams(t)) for n, t in licenses.TEMPLATES.items()))
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with t(k, license, n, grams) as (values {rows}),
+l as (select rowid_, doc_id, str_split(txt, chr(10)) as lines, txt from
+      (select row_number() over () as rowid_, doc_id, {lower} as txt from documents)),
+u as (select rowid_, unnest(range(len(lines))) as unit, unnest(lines) as unit_text from l
+      union all select rowid_, -1, txt from l where len(lines) > 1),
+w as (select rowid_, unit, regexp_extract_all(unit_text, '[a-z0-9]+') as w from u),
+b as (select rowid_, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
+m as (select rowid_, unit, k, license, 2 * len(list_intersect(g, grams)) / (len(g) + n)::double as dice
+      from b join t on 2 * least(len(g), n) * 100 >= {licenses.THRESHOLD} * (len(g) + n)),
+h as (select rowid_, unit, arg_min(license, (-dice, k)) as license, max(dice) as dice, arg_min(k, (-dice, k)) as k
+      from m where dice >= {licenses.THRESHOLD} / 100.0 group by all),
+d as (select rowid_, count(*) as n_matches, arg_min(license, (-dice, k, case when unit < 0 then 1e12 else unit end)) as license, max(dice) as dice,
+      arg_min(unit, (-dice, k, case when unit < 0 then 1e12 else unit end)) as unit from h group by all)
+select doc_id, coalesce(n_matches, 0)::bigint as n_matches, license, round(dice, 6) as dice, unit::bigint as unit
+from l left join d using (rowid_)"""
+
+
+ORACLE["op9_license_dice"] = _license_oracle()
