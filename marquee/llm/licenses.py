@@ -67,12 +67,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     grams = {name: bigrams(t) for name, t in (templates or TEMPLATES).items()}
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.split(lowered, "\n", -1)
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(lowered))).otherwise(lines)
+    plain = F.regexp_replace(lowered, "[^a-z0-9\n]+", " ")
+    lines = F.split(plain, "\n", -1)
+    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.translate(plain, "\n", " ")))).otherwise(lines)
 
     # one transform per step: a lambda's argument is computed once, an inlined expression each time it is named
     def unit_words(unit):
-        return F.filter(F.split(unit, "[^a-z0-9]+"), lambda x: x != "")
+        return F.filter(F.split(unit, " "), lambda x: x != "")
 
     def unit_bigrams(w):
         after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))

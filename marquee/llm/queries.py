@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, licenses, packing, quality, topk, warc
+from . import block_naming, bpe, licenses, near_dup, packing, pii, quality, topk, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -107,3 +107,15 @@ from l left join d using (rowid_)"""
 
 
 ORACLE["op9_license_dice"] = _license_oracle()
+
+
+@query
+def op1_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
