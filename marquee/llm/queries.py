@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, licenses, near_dup, packing, pii, quality, topk, warc
+from . import block_naming, bpe, licenses, near_dup, packing, pii, quality, repeats, topk, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -119,3 +119,8 @@ def op1_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
