@@ -442,12 +442,10 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def mask(docs: DataFrame, model: Tagger | None, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced in the text; all columns stay (null texts too)."""
-    import pandas as pd
-
     theta = docs.sparkSession.sparkContext.broadcast(model.theta if model else None)
 
     @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
+    def cleaned(texts):
         tagger = Tagger(theta.value) if theta.value else None
         return texts.map(lambda t: t if t is None else masked(t, all_spans(t, tagger)[1]))
 
