@@ -8,10 +8,10 @@ strings are unique too) or once its whole string is known to repeat:
 1. ``GRAM`` bytes: each position's string is named by its least gram
    (leftmost of equal ones).  Equal strings have the same gram at the same
    offset, so one row stands for the whole run of positions with that gram.
-2. ``LENGTH - NODE + 1`` bytes: the runs left are cut at offsets divisible by
-   ``NODE``; the string that all positions of a cut share is its name.  A cut
-   whose whole stretch repeats is settled for all its positions.
-3. ``LENGTH`` bytes: the positions of the cuts left, one by one.
+2. ``LENGTH - n + 1`` bytes for n in ``NODES``: the positions left in a run are
+   cut at offsets divisible by n; the string that all positions of a cut
+   share is its name.  A cut whose whole stretch repeats is settled for all
+   its positions.  The last n is 1: single positions and whole strings.
 
 In every round Spark groups (aggregating before its shuffle) and re-joins the
 names; names are 64-bit fingerprints of strings inside a group of equal grams.
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .bpe import sliced
 
-LENGTH, GRAM, NODE = 400, 32, 32
+LENGTH, GRAM = 400, 32
+NODES = (32, 8, 1)
 SEGMENT = 1 << 20  # positions of a long text read at once
 SLICE = 1 << 21
 _AT = 22  # low bits of a gram's sort key that hold its place in the slice
@@ -145,58 +146,41 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RUN = ["gram", "stretch", "low", "high"]
 
 
-def _cut_bounds(low: int, high: int) -> Iterator[tuple[int, int, int]]:
-    """Cut number, and the offsets of the run inside it."""
-    for j in range(low // NODE, high // NODE + 1):
-        yield j, max(low, j * NODE), min(high, j * NODE + NODE - 1)
-
-
-_CUT = "run long, cut int, many int, core long, whole long"
-
-
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per run and cut: name of the string all its positions share, name of its whole
-    stretch (null where the run has only a part of the cut)."""
-    for batch in batches:
-        out: list[tuple] = []
-        for row in batch.to_pylist():
-            prefix = Prefix(np.frombuffer(row["bytes"], np.uint8))
-            anchor = row["high"]  # the gram's place in the run's bytes
-            cuts = list(_cut_bounds(row["low"], row["high"]))
-            j = np.array([c[0] for c in cuts])
-            top = np.minimum(j * NODE + NODE - 1, LENGTH - GRAM)
-            gram = np.uint64(row["gram"] & ((1 << 64) - 1))
-            salt = gram + j.astype(np.uint64)
-            core = prefix.of(anchor - j * NODE, anchor - top + LENGTH, salt)
-            full = np.array([lo == c * NODE and hi == t for (c, lo, hi), t in zip(cuts, top, strict=True)])
-            start = np.where(full, anchor - top, 0)
-            whole = prefix.of(start, np.where(full, anchor - j * NODE + LENGTH, 0), salt + np.uint64(1 << 20))
-            out += [(row["run"], int(c), row["many"], int(a), int(b) if f else None)
-                    for c, a, b, f in zip(j, core.view(np.int64), whole.view(np.int64), full, strict=True)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                         names=["run", "cut", "many", "core", "whole"])
-
+_CUT = "run long, lo int, hi int, many int, core long, whole long"
+
+
+def _cutter(node: int):
+    """Per run and range of offsets left (``ranges``: lo, hi, many): the cuts at multiples of
+    ``node``, with the name of the string all positions of the cut share and that of
+    its whole stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for batch in sliced(whole_batch, "bytes"):
+                rows = batch.column("bytes").to_pylist()
+                prefix = Prefix(np.frombuffer(b"".join(rows), np.uint8))
+                size = np.array([len(b) for b in rows])
+                gram, high, name = (batch.column(c).to_numpy() for c in ("gram", "high", "run"))
+                anchor = np.cumsum(size) - size + high  # the gram's place
+                ranges = batch.column("ranges")
+                owner = np.repeat(np.arange(len(rows)), ranges.value_lengths().to_numpy())
+                flat = ranges.flatten()
+                lo, hi, many = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "many"))
+                per = hi // node - lo // node + 1
+                at = np.repeat(np.arange(len(lo)), per)
+                j = lo[at] // node + np.arange(len(at)) - np.repeat(np.cumsum(per) - per, per)
+                lo, hi, many, owner = np.maximum(lo[at], j * node), np.minimum(hi[at], j * node + node - 1), many[at], owner[at]
+                top = np.minimum(j * node + node - 1, LENGTH - GRAM)
+                salt = gram.view(np.uint64)[owner] + j.astype(np.uint64)
+                here = anchor[owner]
+                core = prefix.of(here - j * node, here - top + LENGTH, salt)
+                # the stretch of the cut's own positions; equal only with the same offsets
+                whole = prefix.of(here - hi, here - lo + LENGTH, salt + ((lo << 40) + (hi << 20)).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[owner]), *(pa.array(c.astype(np.int32)) for c in (lo, hi, many)), pa.array(core.view(np.int64)),
+                     pa.array(whole.view(np.int64))], names=["run", "lo", "hi", "many", "core", "whole"])
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per position of the cuts left: name of its string."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            prefix = Prefix(np.frombuffer(row["bytes"], np.uint8))
-            gram = np.uint64(row["gram"] & ((1 << 64) - 1))
-            many = {c["cut"]: c["many"] for c in row["cuts"]}
-            offs, weight = [], []
-            for j, lo, hi in _cut_bounds(row["low"], row["high"]):
-                if j in many:
-                    offs.append(np.arange(lo, hi + 1))
-                    weight.append(np.full(hi - lo + 1, many[j], np.int32))
-            off = np.concatenate(offs)
-            at = row["high"] - off
-            name = prefix.of(at, at + LENGTH, gram + off.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(off), row["run"])), pa.array(off.astype(np.int32)), pa.array(np.concatenate(weight)),
-                 pa.array(name.view(np.int64))], names=["run", "off", "many", "name"])
+    return run
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -220,13 +204,9 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.as_py().encode()
             spans: list[tuple[int, int]] = []
             for row in found.as_py():
-                start, low, high = row["start"], row["low"], row["high"]
-                if row["many"] > 1:  # the whole run
-                    spans.append((start, start + high - low + LENGTH))
-                for c in row["cuts"] or ():
-                    lo, hi = max(low, c * NODE), min(high, c * NODE + NODE - 1)
-                    spans.append((start + high - hi, start + high - lo + LENGTH))
-                spans += [(start + high - o, start + high - o + LENGTH) for o in row["offs"] or ()]
+                origin = row["start"] + row["high"]
+                ranges = [(row["low"], row["high"])] if row["many"] > 1 else [(c["lo"], c["hi"]) for c in row["ranges"]]
+                spans += [(origin - hi, origin - lo + LENGTH) for lo, hi in ranges]
             spans = _union(spans)
             kept, at = [], 0
             for s, e in spans:
@@ -244,7 +224,7 @@ def cleaned_texts(src: DataFrame) -> DataFrame:
     ``src``: ``k1``, ``k2`` (keys of the text) and ``text``."""
     found = materialize(src.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text").mapInArrow(
         _find_runs, "k1 long, k2 long, start long, low int, high int, gram long, stretch long"), "runs")
-    # round 1: runs whose gram another run has
+    # runs whose gram another run has
     grams = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     found = materialize(found.join(grams, "gram").groupBy("k1", "k2", "start", *RUN).agg(F.count(F.lit(1)).alias("n")), "runs")
     kinds = found.groupBy(*RUN).agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("at")) \
@@ -272,30 +252,34 @@ def cleaned_texts(src: DataFrame) -> DataFrame:
     bytes_of = materialize(texts.join(wanted, ["k1", "k2"]).select("text", "rs").mapInArrow(
         stretches, "run long, gram long, low int, high int, many int, bytes binary"), "stretches")
 
-    # round 2: cuts whose shared string another cut has; whole stretches that repeat are settled
-    cuts = materialize(bytes_of.mapInArrow(_cuts, _CUT), "cuts")
-    cores = materialize(cuts.groupBy("core").agg(F.sum("many").alias("n")).where("n > 1").select("core"), "cores")
-    cuts = materialize(cuts.join(cores, "core"), "cuts")
-    wholes = materialize(cuts.where("whole is not null").groupBy("whole").agg(
-        F.sum("many").alias("n"), F.min(F.struct("run", "cut")).alias("one")), "wholes")
-    cuts = materialize(cuts.join(wholes, "whole", "left").select(
-        "run", "cut", "many", F.coalesce(F.col("n") > 1, F.lit(False)).alias("settled"),
-        (F.col("whole").isNull() | (F.struct("run", "cut") == F.col("one"))).alias("stands")), "cuts")
-    settled = cuts.where("settled and many = 1").groupBy("run").agg(F.collect_list("cut").alias("cuts"))
-
-    # round 3: single positions; one cut stands for equal settled ones
-    left = cuts.where("stands").select("run", F.struct(
-        "cut", F.when(F.col("settled"), F.lit(2)).otherwise(F.col("many")).alias("many")).alias("c")) \
-        .groupBy("run").agg(F.collect_list("c").alias("cuts"))
-    positions = materialize(bytes_of.join(left, "run").select("run", "gram", "low", "high", "bytes", "cuts").mapInArrow(
-        _positions, "run long, off int, many int, name long"), "positions")
-    names = materialize(positions.groupBy("name").agg(F.sum("many").alias("n")).where("n > 1").select("name"), "names")
-    single = positions.where("many = 1").join(names, "name").groupBy("run").agg(F.collect_list("off").alias("offs"))
-
-    marks = materialize(kinds.select("run", *RUN, "many").join(settled, "run", "left").join(single, "run", "left")
-                        .where("many > 1 or cuts is not null or offs is not null"), "marks")
+    left = bytes_of.withColumn("ranges", F.array(F.struct(F.col("low").alias("lo"), F.col("high").alias("hi"), "many")))
+    settled = []
+    for node in NODES:
+        cuts = materialize(left.select("run", "gram", "high", "bytes", "ranges").mapInArrow(_cutter(node), _CUT), "cuts")
+        # a cut whose shared string no other cut has is unique in all its positions
+        cores = materialize(cuts.groupBy("core").agg(F.sum("many").alias("n")).where("n > 1").select("core"), "cores")
+        cuts = cuts.join(cores, "core")
+        if node == 1:
+            settled.append(cuts.where("many = 1").select("run", "lo", "hi"))
+            break
+        cuts = materialize(cuts.drop("core"), "cuts")
+        wholes = materialize(cuts.groupBy("whole").agg(F.sum("many").alias("n"), F.min(F.struct("run", "lo")).alias("one")), "wholes")
+        cuts = materialize(cuts.join(wholes, "whole").select(
+            "run", "lo", "hi", "many", (F.col("n") > 1).alias("settled"), (F.struct("run", "lo") == F.col("one")).alias("stands")), "cuts")
+        settled.append(cuts.where("settled and many = 1").select("run", "lo", "hi"))
+        # the rest goes on; of equal settled cuts one stands for all, as what others may still share
+        ranges = cuts.where("stands").select("run", F.struct(
+            "lo", "hi", F.when(F.col("settled"), F.lit(2)).otherwise(F.col("many")).alias("many")).alias("r")) \
+            .groupBy("run").agg(F.collect_list("r").alias("ranges"))
+        left = bytes_of.join(ranges, "run")
+    ranges = settled[0]
+    for more in settled[1:]:
+        ranges = ranges.unionByName(more)
+    ranges = ranges.groupBy("run").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    marks = materialize(kinds.select("run", *RUN, "many").join(ranges, "run", "left")
+                        .where("many > 1 or ranges is not null"), "marks")
     per_text = found.join(marks, RUN).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("start", "low", "high", "many", "cuts", "offs")).alias("found"))
+        F.collect_list(F.struct("start", "low", "high", "many", "ranges")).alias("found"))
     return materialize(texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_clean, _CLEANED), "cleaned")
 
 
