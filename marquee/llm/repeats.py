@@ -262,13 +262,14 @@ def cleaned_texts(src: DataFrame) -> DataFrame:
         if node == 1:
             settled.append(cuts.where("many = 1").select("run", "lo", "hi"))
             break
-        cuts = materialize(cuts.drop("core"), "cuts")
+        cuts = materialize(cuts, "cuts")
         wholes = materialize(cuts.groupBy("whole").agg(F.sum("many").alias("n"), F.min(F.struct("run", "lo")).alias("one")), "wholes")
         cuts = materialize(cuts.join(wholes, "whole").select(
-            "run", "lo", "hi", "many", (F.col("n") > 1).alias("settled"), (F.struct("run", "lo") == F.col("one")).alias("stands")), "cuts")
+            "run", "lo", "hi", "many", "core", (F.col("n") > 1).alias("settled"), (F.struct("run", "lo") == F.col("one")).alias("stands")), "cuts")
         settled.append(cuts.where("settled and many = 1").select("run", "lo", "hi"))
-        # the rest goes on; of equal settled cuts one stands for all, as what others may still share
-        ranges = cuts.where("stands").select("run", F.struct(
+        # the rest goes on with those it may still share a string with; of equal settled cuts one stands for all
+        open_cores = materialize(cuts.where("not settled and many = 1").select("core").distinct(), "open-cores")
+        ranges = cuts.where("stands").join(open_cores, "core").select("run", F.struct(
             "lo", "hi", F.when(F.col("settled"), F.lit(2)).otherwise(F.col("many")).alias("many")).alias("r")) \
             .groupBy("run").agg(F.collect_list("r").alias("ranges"))
         left = bytes_of.join(ranges, "run")
