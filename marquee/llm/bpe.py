@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 700_000
 CACHED_LENGTH = 64
 # White space of Unicode, as str.split takes it, but for these four control characters.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -95,7 +95,7 @@ class Bpe:
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = conf["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._pattern = regex.compile(split)
-        self._words, self._chunks = Recent(self._word), Recent(self._chunk)
+        self._known = Recent(self._chunk)
 
     def word_ids(self, word: bytes) -> list[int]:
         """Ids of one word: merge the pair of lowest rank, leftmost first, until none has a merge."""
@@ -140,18 +140,22 @@ class Bpe:
         return array.array("I", self.word_ids(word.encode())).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """Packed ids of a stretch without white space: normalise, lower, split, merge."""
+        """Packed ids of a stretch without white space: normalise, lower, split, merge.  A
+        word is a stretch of its own, so both share one table."""
         if chunk.isascii():
-            words = self._pattern.findall(chunk.lower())
+            lowered = chunk.lower()
+            words = [lowered] if chunk.isalpha() else self._pattern.findall(lowered)
         else:
             # a capital sigma has one lower form here, wherever it stands
             words = self._pattern.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
-        return b"".join(map(self._words.__getitem__, words))
+        if len(words) == 1 and words[0] == chunk:
+            return self._word(chunk)
+        return b"".join(map(self._known.__getitem__, words))
 
     def _plain(self, text: str) -> bytes:
         # no pattern of the vocabulary crosses white space, so stretches between are independent
         chunks = [c for c in _SPACE.split(text) if c] if _NOT_SPACE.search(text) else text.split()
-        return b"".join(map(self._chunks.__getitem__, chunks))
+        return b"".join(map(self._known.__getitem__, chunks))
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
