@@ -13,8 +13,9 @@ halves are).  Candidates are verified on whole sets in two steps:
 1. star: each node with the smallest node of the bucket it shares most tables
    with; components of the links found;
 2. rest: buckets that still hold several components.  Nodes are dealt into
-   blocks of ``BLOCK`` by their star; block pairs that meet in such a bucket and
-   are not of one component already are compared whole.
+   blocks of about ``BLOCK`` by the component of their star's centre, those in
+   that component apart from those outside it; block pairs that meet in such
+   a bucket and are not of one component already are compared whole.
 
 A bucket inside one component needs no more work, so large groups of copies
 cost about a row per document, and no link between components is left out.
@@ -43,7 +44,7 @@ from .components import components
 WORDS = 5
 SIMILAR = 75  # hundredths
 BANDS, ROWS = 20, 3
-BLOCK = 32
+BLOCK = 128
 STAR = 256  # members compared with one copy of a star's centre
 PIECE = 1 << 21
 
@@ -273,31 +274,39 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFram
     # whole shingle sets of the nodes that meet another, from one copy of each text
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(*_text_key("text"), "text") \
         .groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    wanted = nodes.select("node", "k1", "k2").join(member.select("node"), "node").select("node", "k1", "k2")
+    wanted = nodes.select("node", "k1", "k2").join(member, "node") \
+        .join(size.select(F.col("pivot").alias("node"), F.col("parts").alias("centre_of")), "node", "left") \
+        .select("node", "k1", "k2", "pivot", "salt", F.col("centre_of").cast("int").alias("centre_of"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text"):
                 sets = shingle_sets([t.as_py().encode() for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 names=["node", "shingles"])
+                kept = ["node", "pivot", "salt", "centre_of"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=[*kept, "shingles"])
 
-    sets = materialize(texts.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(shingle, "node long, shingles binary"), "sets")
+    sets = materialize(texts.join(wanted, ["k1", "k2"]).select("node", "pivot", "salt", "centre_of", "text").mapInArrow(
+        shingle, "node long, pivot long, salt int, centre_of int, shingles binary"), "sets")
 
     # every part of a star gets the centre's set, then its members'
-    centres = size.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt"),
-                          F.lit(False).alias("member"))
-    rows = member.where("node <> pivot").select("node", "pivot", "salt", F.lit(True).alias("member")).unionByName(centres)
+    centres = sets.where("centre_of is not null").select(
+        F.col("node").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("centre_of") - 1)).alias("salt"),
+        F.lit(False).alias("member"), "node", "shingles")
+    rows = sets.where("node <> pivot").select("pivot", "salt", F.lit(True).alias("member"), "node", "shingles").unionByName(centres)
     first = materialize(
-        rows.join(sets, "node").repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "member", "node")
+        rows.repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "member", "node")
         .select("pivot", "salt", "member", "node", "shingles").mapInArrow(_star_links, "a long, b long"), "star-links")
     comps = materialize(components(first), "components")
 
-    # blocks: nodes of one star together
-    in_star = Window.partitionBy("pivot", "salt").orderBy("node")
-    blocks = member.withColumn("part", F.floor((F.row_number().over(in_star) - 1) / BLOCK)) \
-        .select("node", F.xxhash64("pivot", "salt", "part").alias("block"))
-    placed = materialize(blocks.join(comps, "node", "left").select("node", "block", F.coalesce("comp", "node").alias("comp")), "blocks")
+    # blocks: by the component of the star's centre, members of that component apart from the others
+    owned = materialize(member.select("node", "pivot").join(comps, "node", "left").select(
+        "node", "pivot", F.coalesce("comp", "node").alias("comp")), "owned")
+    around = materialize(owned.join(comps.select(F.col("node").alias("pivot"), F.col("comp").alias("home")), "pivot", "left").select(
+        "node", "comp", F.coalesce("home", "pivot").alias("home")).withColumn("inside", F.col("comp") == F.col("home")), "around")
+    many = materialize(around.groupBy("home", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "block-counts")
+    placed = materialize(around.join(many, ["home", "inside"]).select(
+        "node", "comp", F.xxhash64("home", "inside", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "blocks")
     spread = table.join(pivots.select("bucket"), "bucket").join(placed, "node") \
         .groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     spread = materialize(spread, "bucket-blocks")
@@ -311,7 +320,8 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFram
     pairs = materialize(pairs, "block-pairs")
     sides = pairs.select("low", "high", F.col("low").alias("block"), F.lit(0).alias("side")).unionByName(
         pairs.select("low", "high", F.col("high").alias("block"), F.lit(1).alias("side")))
-    full = placed.join(sets, "node")
+    busy = materialize(sides.select("block").distinct(), "busy-blocks")
+    full = placed.join(busy, "block").join(sets.select("node", "shingles"), "node")
     rest = sides.join(full, "block").repartition(F.col("low"), F.col("high")).sortWithinPartitions("low", "high", "side", "node") \
         .select("low", "high", "side", "node", "comp", "shingles").mapInArrow(_block_links, "a long, b long")
     return components(materialize(rest.unionByName(comps.selectExpr("node as a", "comp as b")), "links"))
