@@ -49,11 +49,11 @@ from events""",
 select cast(event_id % 4 as int) as part_id, cast(floor(event_id / 4) as bigint) as msg_offset, line
 from fx_log""",
     "fx_user_factors": """
-select u.user_id, n_nationkey as dim, cast((u.user_id * 31 + n_nationkey * 17) % 101 as double) / 101 as value
-from (select distinct user_id from fx_ratings) u cross join nation where n_nationkey < 8""",
+select u.user_id, dim, cast((u.user_id * 31 + dim * 17) % 101 as double) / 101 as value
+from (select distinct user_id from fx_ratings) u cross join (select n_nationkey as dim from nation union all select n_nationkey + 25 from nation) d""",
     "fx_item_factors": """
-select m.movie_id, n_nationkey as dim, cast((m.movie_id * 13 + n_nationkey * 29) % 97 as double) / 97 as value
-from fx_movies m cross join nation where n_nationkey < 8""",
+select m.movie_id, dim, cast((m.movie_id * 13 + dim * 29) % 97 as double) / 97 as value
+from fx_movies m cross join (select n_nationkey as dim from nation union all select n_nationkey + 25 from nation) d""",
 }
 
 FIXTURE_DEPS: dict[str, tuple[str, ...]] = {

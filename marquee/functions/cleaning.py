@@ -8,26 +8,6 @@ from pyspark.sql import types as T
 
 from .parsing import INT_PATTERN, iso_time, safe_int
 
-# CSV header → movies-table column mapping of the metadata loader
-# (``runtime`` is loaded into ``duration``; ``cast`` into ``actors``).
-MOVIE_COLUMN_MAPPING = {
-    "movie_id": "imdb_id",
-    "movie_title_id": "movie_title_id",
-    "title": "title",
-    "year": "year",
-    "rating": "rating",
-    "genres": "genres",
-    "plot": "plot",
-    "runtime": "duration",
-    "directors": "directors",
-    "cast": "actors",
-    "votes": "votes",
-    "languages": "languages",
-    "country": "country",
-    "release_date": "release_date",
-    "poster": "poster",
-}
-
 FLOAT_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 

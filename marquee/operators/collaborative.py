@@ -90,8 +90,7 @@ def factor_update(batch: DataFrame, user_f: DataFrame, item_f: DataFrame, k: int
 
 
 def cf_train_incremental(ratings: DataFrame, order: list[str], batch_rows: int = BATCH_ROWS,
-                         k: int = N_COMPONENTS, seed: int = SEED, skip_first: bool = False,
-                         max_batches: int | None = None):
+                         k: int = N_COMPONENTS, seed: int = SEED, skip_first: bool = False):
     """M-07 option: fold :func:`factor_update` over time-ordered slices of
     ``batch_rows`` ratings.  The first slice initialises factors (and with
     ``skip_first`` is not learned from, as in the reference, D-03).  Each
@@ -103,8 +102,6 @@ def cf_train_incremental(ratings: DataFrame, order: list[str], batch_rows: int =
     indexed = ordered_index(rated, order, "_pos").withColumn("_slice", F.floor(F.col("_pos") / batch_rows))
     n_slices = indexed.agg(F.max("_slice")).first()[0]
     n_slices = 0 if n_slices is None else int(n_slices) + 1
-    if max_batches is not None:
-        n_slices = min(n_slices, max_batches)
     first = indexed.where(F.col("_slice") == 0)
     users = materialize(factor_init(first, "user_id", k, seed), "user-factors")
     items = materialize(factor_init(first, "movie_id", k, seed), "item-factors")

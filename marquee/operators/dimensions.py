@@ -62,13 +62,14 @@ def upsert_movies(facts: DataFrame, movies: DataFrame) -> DataFrame:
 
 def insert_if_absent(batch: DataFrame, dim: DataFrame, key: str, order_col: str | None = None) -> DataFrame:
     """J-12: ``INSERT … ON CONFLICT DO NOTHING``: first row per key wins inside
-    the batch (by ``order_col``), keys already in ``dim`` are skipped.
+    the batch (by ``order_col``, else by all columns, so that the
+    choice does not depend on file splits), keys already in ``dim`` are skipped.
 
     The per-key dedupe is a window with group limit 1, which Spark evaluates
     partially before the shuffle, so a hot key does not pile up in one task.
     """
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    w = Window.partitionBy(key).orderBy(order)
+    order = [order_col] if order_col else [c for c in batch.columns if c != key]
+    w = Window.partitionBy(key).orderBy(*order)
     first = (batch.where(F.col(key).isNotNull())
              .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
     return first.join(dim.select(key), key, "left_anti")

@@ -13,13 +13,10 @@ VOTES_QUANTILE = 0.90
 SCORE_DP = 6
 
 
-def movies_rated(movies: DataFrame, limit: int | None = None) -> DataFrame:
+def movies_rated(movies: DataFrame) -> DataFrame:
     """S-08: movies with rating and votes present (pushed to the scan)."""
-    out = (movies.where(F.col("rating").isNotNull() & F.col("votes").isNotNull())
-           .select("movie_id", "title", "rating", "votes", "genres"))
-    if limit is not None:
-        out = out.orderBy("movie_id").limit(limit)
-    return out
+    return (movies.where(F.col("rating").isNotNull() & F.col("votes").isNotNull())
+            .select("movie_id", "title", "rating", "votes", "genres"))
 
 
 def _params(movies: DataFrame) -> tuple[float, float]:

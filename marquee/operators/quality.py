@@ -26,13 +26,15 @@ def validate_frame(df: DataFrame, required: list[str]) -> DataFrame:
     return out.withColumn("valid", F.lit(not missing) & (F.col("n_rows") > 0))
 
 
-def validate_models(popular: DataFrame, content_lists: DataFrame, probe_users: list[int],
+def validate_models(popular: DataFrame, content_lists: DataFrame, probe_users: list[int] | None = None,
                     n: int = 20) -> DataFrame:
     """A-25: the popularity list yields ≥1 of its top n, and the content model
-    yields ≥1 recommendation for the probe users; overall pass = all."""
+    yields ≥1 recommendation for the profiled users (or only ``probe_users``);
+    overall pass = all."""
     pop_n = popular.where(F.col("rank") <= n).agg(F.count(F.lit(1)).alias("n_recs")) \
         .select(F.lit("popularity").alias("model"), "n_recs")
-    cb_n = (content_lists.where(F.col("user_id").isin(probe_users) & (F.col("rank") <= n))
+    lists = content_lists if probe_users is None else content_lists.where(F.col("user_id").isin(probe_users))
+    cb_n = (lists.where(F.col("rank") <= n)
             .agg(F.count(F.lit(1)).alias("n_recs")).select(F.lit("content_based").alias("model"), "n_recs"))
     both = pop_n.unionByName(cb_n).withColumn("generated", F.col("n_recs") > 0)
     overall = both.agg(F.bool_and("generated").alias("generated"), F.sum("n_recs").alias("n_recs")) \

@@ -1,4 +1,4 @@
-"""Export of all base tables into one text CSV (K-11, U-02, P-19, P-30, T-05)."""
+"""Export of all base tables into one text CSV (K-11, U-02, P-19, P-30)."""
 
 from __future__ import annotations
 
@@ -7,27 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import fill_null_text
 
-# Fixed value: rows exported per table.
-EXPORT_ROWS_PER_TABLE = 15000
 
-
-def union_tables(tables: dict[str, DataFrame], rows_per_table: int | None = None,
-                 order: dict[str, list[str]] | None = None) -> DataFrame:
+def union_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """U-02 + P-30 + P-19: every column as text, a ``table_name`` column, union
-    by name with missing columns NULL, then NULL → ``'null'``.  With
-    ``rows_per_table`` each table contributes its first rows in an explicit
-    order (T-05; the reference's unordered LIMIT is made repeatable)."""
+    by name with missing columns NULL, then NULL → ``'null'``; every row."""
     out = None
     for name, df in tables.items():
-        if rows_per_table is not None:
-            df = df.orderBy(*(order or {}).get(name, df.columns[:1])).limit(rows_per_table)
         t = df.select([F.col(c).cast("string").alias(c) for c in df.columns]).withColumn("table_name", F.lit(name))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return fill_null_text(out)
 
 
-def export_all_tables(tables: dict[str, DataFrame], path: str, order=None) -> str:
+def export_all_tables(tables: dict[str, DataFrame], path: str) -> str:
     """K-11: write the combined export (one headed CSV folder)."""
-    union_tables(tables, EXPORT_ROWS_PER_TABLE, order).write.mode("overwrite") \
-        .option("header", "true").csv(path)
+    union_tables(tables).write.mode("overwrite").option("header", "true").csv(path)
     return path

@@ -108,16 +108,6 @@ def q_count_ratings(spark, sf):
     return tb.count_ratings(Tables(spark, sf).ratings)
 
 
-@query("training_caps", cte("fx_movies", "fx_watch") +
-       "select w.user_id, w.movie_id, w.watched_minutes, m.title, m.genres, w.watch_id from fx_watch w "
-       "join fx_movies m using (movie_id) where m.genres is not null order by w.updated_at, w.watch_id limit 11000", text_arrays=("genres",))
-def q_training_caps(spark, sf):
-    """T-04 with the reference's configured cap on content-model watch input
-    (pages of 1,000 until offset > 10,000: 11,000 rows, oldest first)."""
-    t = Tables(spark, sf)
-    return tb.watch_chunk(t.watch, t.movies, limit=11000)
-
-
 # ---------------------------------------------------------------- holdout and samples
 _HOLDOUT = f"""rated_ AS (select *, row_number() over (order by {R_ORDER_SQL}) - 1 as pos
            from fx_ratings where rating is not null),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Tables, cte
 from ..functions import cleaning, parsing
 from ..session import scratch_path
-from ..sources import files, loaders
+from ..sources import catalog, files, loaders
 from ..operators import dimensions
 from . import sqlbits as B
 from .registry import query
@@ -478,11 +478,6 @@ def q_insert_if_absent(spark, sf):
 def q_append_facts(spark, sf):
     """K-03: resolve titles, append the rating rows to a table, return the count."""
     t = Tables(spark, sf)
-    rates = parsing.parse_rate(t.log).withColumn("user_id", F.col("user_id").cast("bigint"))
-    keys_src = _parsed_facts(spark, sf)
-    new = dimensions.new_movie_keys(keys_src, t.movies.select("movie_id", "movie_title_id"))
-    keys = t.movies.select("movie_id", "movie_title_id").unionByName(new)
-    resolved = rates.join(keys, "movie_title_id")
-    path = scratch_path(spark, "ratings-table")
-    resolved.write.mode("append").parquet(path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_appended"))
+    rates = parsing.parse_rate(t.log).withColumn("user_id", F.col("user_id").try_cast("bigint"))
+    n, _ = catalog.append_facts(rates, t.movies, scratch_path(spark, "ratings-table"), "rating")
+    return spark.createDataFrame([(n,)], "rows_appended long")

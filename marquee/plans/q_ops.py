@@ -76,7 +76,7 @@ def _update(spark, sf):
     t = Tables(spark, sf)
     batch = t.ratings.where(F.col("updated_at") > F.lit(qe.RATINGS_CUTOFF).cast("timestamp_ntz"))
     u0 = t.user_factors.join(t.watch.select("user_id").distinct(), "user_id", "left_semi")
-    return cf.factor_update(batch, u0, t.item_factors, k=8)
+    return cf.factor_update(batch, u0, t.item_factors, k=50)
 
 
 @query("factor_update", cte("fx_ratings", "fx_watch", "fx_user_factors", "fx_item_factors", extra=_UPDATE) +
@@ -210,23 +210,20 @@ def q_validate_frame(spark, sf):
     return quality.validate_frame(Tables(spark, sf).movies, ["movie_id", "rating", "votes", "genres"])
 
 
-PROBE_USERS = (1, 2)
-
-
 @query("validate_models", cte("fx_movies", "fx_watch", "fx_ratings", extra=qm._CONTENT_RECS + f", {qm._PARAMS}, "
                               f"{qm._SCORED}, {qm._POPULAR}") + f"""
 select model, n_recs, n_recs > 0 as generated from (
   select 'popularity' as model, count(*) as n_recs from popular where rank <= 20
-  union all select 'content_based', count(*) from ranked where rk <= 20 and user_id in {PROBE_USERS})
+  union all select 'content_based', count(*) from ranked where rk <= 20)
 union all select 'all_valid', cast(sum(n_recs) as bigint), bool_and(n_recs > 0) from (
   select count(*) as n_recs from popular where rank <= 20
-  union all select count(*) from ranked where rk <= 20 and user_id in {PROBE_USERS})""")
+  union all select count(*) from ranked where rk <= 20)""")
 def q_validate_models(spark, sf):
-    """A-25 with probe users as a parameter (the reference hard-coded two ids)."""
+    """A-25 over every profiled user (the reference hard-coded two ids)."""
     t, profiles, vectors, _ = qm._content_inputs(spark, sf)
-    recs = hybrid.content_recs(profiles.where(F.col("user_id").isin(list(PROBE_USERS))), vectors,
+    recs = hybrid.content_recs(profiles, vectors,
                                pop.movies_rated(t.movies), t.movies)
-    return quality.validate_models(pop.popular_movies(t.movies), recs, list(PROBE_USERS))
+    return quality.validate_models(pop.popular_movies(t.movies), recs)
 
 
 @query("load_models", cte("fx_movies", extra=f"{qm._RATED}, {qm._PARAMS}, {qm._SCORED}, {qm._POPULAR}")
@@ -323,14 +320,10 @@ def q_union_tables(spark, sf):
 
 
 @query("export_all_tables", cte("fx_movies", "fx_watch", "fx_ratings") + " union all ".join(
-    f"select '{n}' as table_name, least(count(*), 15000) as n_rows from ({b})" for n, b in _EXPORT_TABLES_SQL.items()))
+    f"select '{n}' as table_name, count(*) as n_rows from ({b})" for n, b in _EXPORT_TABLES_SQL.items()))
 def q_export_all_tables(spark, sf):
-    """K-11 + T-05: write the export (first 15,000 rows per table in key order)
-    and report the rows per source table read back from the file."""
-    t = Tables(spark, sf)
-    order = {"movies": ["movie_id"], "users": ["user_id"],
-             "ratings": ["updated_at", "user_id", "movie_id", "rating"], "watch_history": ["watch_id"]}
-    path = export.export_all_tables(_export_tables(t), scratch_path(spark, "export"), order)
+    """K-11: write the export and report the rows per source table read back from the file."""
+    path = export.export_all_tables(_export_tables(Tables(spark, sf)), scratch_path(spark, "export"))
     back = spark.read.option("header", "true").csv(path)     # text columns, names from the header
     return back.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"))
 

@@ -34,7 +34,7 @@ class TrainResult:
 
 def train_all(movies: DataFrame, ratings: DataFrame, watch: DataFrame, out_dir: str,
               rating_order: list[str], use_als: bool = False, cf_rank: int = cf.N_COMPONENTS,
-              cf_batches: int | None = None, export_tables: dict[str, DataFrame] | None = None) -> TrainResult:
+              export_tables: dict[str, DataFrame] | None = None) -> TrainResult:
     """Run the three trainings in sequence on the given tables.
 
     Collaborative training folds the incremental update over time slices by
@@ -57,7 +57,7 @@ def train_all(movies: DataFrame, ratings: DataFrame, watch: DataFrame, out_dir:
         model = cf.cf_train_als(ratings, rank=cf_rank)
         uf, itf = cf.model_factors_long(model)
     else:
-        uf, itf = cf.cf_train_incremental(ratings, rating_order, k=cf_rank, max_batches=cf_batches)
+        uf, itf = cf.cf_train_incremental(ratings, rating_order, k=cf_rank)
     counts = rating_counts(ratings.where(F.col("rating").isNotNull()))
     u_uri = artifacts.save_artifact(uf, f"{out_dir}/user_factors")
     i_uri = artifacts.save_artifact(itf, f"{out_dir}/item_factors")

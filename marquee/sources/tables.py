@@ -25,6 +25,8 @@ def page(df: DataFrame, order: list[Column | str], limit: int | None = None, off
     which is cheap for front pages; for deep, data-sized offsets use
     :func:`marquee.operators.ordering.ordered_index` instead.
     """
+    if limit is None and not offset:
+        return df  # the whole table: no page, no sort
     out = df.orderBy(*order)
     if offset:
         out = out.offset(offset)

@@ -11,60 +11,82 @@ offsets, so a restart lost the gap).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators import dimensions
 from ..operators.metrics import error_type
 from ..functions.scalar import user_segment
+from ..session import path_exists
+from ..sources.catalog import valid_facts
 
 
-def _dim_snapshot(spark: SparkSession, out_dir: str, seed_movies: DataFrame | None) -> DataFrame:
-    path = f"{out_dir}/movies"
-    try:
-        cur = spark.read.parquet(path).select("movie_id", "movie_title_id")
-    except Exception:  # first batch: no dimension folder yet
-        cur = None
-    if seed_movies is not None:
-        seed = seed_movies.select("movie_id", "movie_title_id")
-        cur = seed if cur is None else cur.unionByName(seed)
-    if cur is None:
-        cur = spark.createDataFrame([], "movie_id bigint, movie_title_id string")
-    return cur
+TABLES = {
+    "watch_history": "updated_at timestamp_ntz, user_id long, movie_id long, watched_minutes int, batch_id long",
+    "ratings": "user_id long, movie_id long, rating int, updated_at timestamp_ntz, batch_id long",
+    "movies": "movie_id long, movie_title_id string, batch_id long",
+    "users": "user_id long, batch_id long",
+    "batch_counts": "batch_id long, n_watch long, n_rate long, n_users long, n_rejected long",
+}
+
+
+def _table(spark: SparkSession, out_dir: str, name: str, before: int | None = None) -> DataFrame:
+    """A table of the sink, without what batch ``before`` itself wrote (a replay must not
+    see it); empty before its first batch.  Any other read error is raised."""
+    path = f"{out_dir}/{name}"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], TABLES[name])
+    df = spark.read.schema(TABLES[name]).parquet(path)
+    return df if before is None else df.where(F.col("batch_id") != before)
+
+
+def _dim_snapshot(spark: SparkSession, out_dir: str, seed_movies: DataFrame | None, before: int) -> DataFrame:
+    cur = _table(spark, out_dir, "movies", before).select("movie_id", "movie_title_id")
+    return cur if seed_movies is None else cur.unionByName(seed_movies.select("movie_id", "movie_title_id"))
+
+
+def _write_batch(df: DataFrame, out_dir: str, name: str, batch_id: int) -> int:
+    """Rewrite the batch's own partition; the rows written, counted on the way."""
+    counted = Observation()
+    df.withColumn("batch_id", F.lit(batch_id)).observe(counted, F.count(F.lit(1)).alias("n")) \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/{name}")
+    return counted.get.get("n", 0)
 
 
 def store_batch(batch: DataFrame, batch_id: int, out_dir: str, seed_movies: DataFrame | None = None,
                 tee_dir: str | None = None) -> dict[str, int]:
-    """K-04 body for one micro-batch; returns counts per kind (ST-06)."""
+    """K-04 body for one micro-batch: rows that pass the checks of
+    :func:`marquee.sources.catalog.valid_facts` are stored, movies and users
+    are created on first sight (J-05, J-06); returns counts per kind (ST-06),
+    parsed lines that failed a check as ``rejected``."""
     spark = batch.sparkSession
     lines = batch.select("line").persist()
     try:
         if tee_dir:                                     # K-10 / ST-04 raw tee, one folder per batch
             lines.select(F.col("line").alias("value")).write.mode("overwrite") \
                 .text(f"{tee_dir}/batch_id={batch_id}")
-        watch = parsing.parse_watch(lines).withColumn("user_id", F.col("user_id").try_cast("bigint"))
-        rate = parsing.parse_rate(lines).withColumn("user_id", F.col("user_id").try_cast("bigint"))
-        facts = watch.select("movie_title_id").unionByName(rate.select("movie_title_id"))
-        dim = _dim_snapshot(spark, out_dir, seed_movies)
+        parsed = {"watch_history": (parsing.parse_watch(lines), "watched_minutes"), "ratings": (parsing.parse_rate(lines), "rating")}
+        parsed = {k: (df.withColumn("user_id", F.col("user_id").try_cast("bigint")), value) for k, (df, value) in parsed.items()}
+        good = {k: valid_facts(df, value) for k, (df, value) in parsed.items()}
+        facts = good["watch_history"].select("user_id", "movie_title_id").unionByName(good["ratings"].select("user_id", "movie_title_id"))
+        dim = _dim_snapshot(spark, out_dir, seed_movies, batch_id)
         new = dimensions.new_movie_keys(facts, dim).persist()
+        users = dimensions.upsert_users(facts, _table(spark, out_dir, "users", batch_id)).persist()
         keys = dim.unionByName(new)
-        w_out = watch.join(keys, "movie_title_id").select("updated_at", "user_id", "movie_id", "watched_minutes")
-        r_out = rate.join(keys, "movie_title_id").select("user_id", "movie_id", "rating", "updated_at")
         counts = {}
-        for name, df in (("watch_history", w_out), ("ratings", r_out)):
-            df = df.withColumn("batch_id", F.lit(batch_id))
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .partitionBy("batch_id").parquet(f"{out_dir}/{name}")
-            counts[name] = spark.read.parquet(f"{out_dir}/{name}").where(F.col("batch_id") == batch_id).count()
+        for name, cols in (("watch_history", ["updated_at", "user_id", "movie_id", "watched_minutes"]),
+                           ("ratings", ["user_id", "movie_id", "rating", "updated_at"])):
+            counts[name] = _write_batch(good[name].join(keys, "movie_title_id").select(*cols), out_dir, name, batch_id)
+        n_parsed = sum(df.count() for df, _ in parsed.values())
+        counts["rejected"] = n_parsed - counts["watch_history"] - counts["ratings"]
         # dimension rows last: a replay before this point re-derives the same ids
-        new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/movies")
-        spark.createDataFrame([(batch_id, counts["watch_history"], counts["ratings"])],
-                              "batch_id long, n_watch long, n_rate long") \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch_id").parquet(f"{out_dir}/batch_counts")
+        counts["users"] = _write_batch(users, out_dir, "users", batch_id)
+        _write_batch(new, out_dir, "movies", batch_id)
+        row = (counts["watch_history"], counts["ratings"], counts["users"], counts["rejected"])
+        _write_batch(spark.createDataFrame([row], "n_watch long, n_rate long, n_users long, n_rejected long"), out_dir, "batch_counts", batch_id)
         new.unpersist()
+        users.unpersist()
         return counts
     finally:
         lines.unpersist()
@@ -90,8 +112,7 @@ def start_ingest(source: DataFrame, out_dir: str, checkpoint: str, seed_movies:
 
 
 def read_ingested(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{out_dir}/{name}")
-            for name in ("watch_history", "ratings", "movies", "batch_counts")}
+    return {name: _table(spark, out_dir, name) for name in TABLES}
 
 
 def request_counter_stream(lines: DataFrame) -> DataFrame:

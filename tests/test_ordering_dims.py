@@ -46,6 +46,16 @@ def test_create_tables_and_insert_record(spark, tmp_path):
                                 "user_id long, movie_title_id string, rating int, updated_at timestamp_ntz",
                                 movies, path, "rating")
     assert bad == 0
+    # a second new title gets its own id, and both movies are kept
+    rec = {"user_id": 7, "movie_title_id": "c+3", "rating": 5, "updated_at": dt.datetime(2025, 1, 2)}
+    schema = "user_id long, movie_title_id string, rating int, updated_at timestamp_ntz"
+    assert catalog.insert_record(spark, rec, schema, movies, path, "rating") == 1
+    assert sorted(r.movie_id for r in spark.read.parquet(path).collect()) == [2, 3]
+    assert sorted((r.movie_id, r.movie_title_id) for r in spark.read.parquet(f"{path}-movies").collect()) == [(2, "b+2"), (3, "c+3")]
+    assert catalog.insert_record(spark, rec | {"rating": 9}, schema, movies, path, "rating") == 0
+    # the count is that of the call, not of the table
+    facts = spark.createDataFrame([tuple(rec.values())], schema)
+    assert catalog.append_facts(facts, movies, path, "rating", f"{path}-movies")[0] == 1
 
 
 def test_exact_percentiles_both_paths_match_numpy(spark, monkeypatch):

@@ -1,4 +1,5 @@
 """Stream ingest equals the batch parse of the same lines (ST-01 vs P-01/P-02)."""
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import parsing
@@ -46,3 +47,37 @@ def test_store_batch_replay_is_idempotent(spark):
     assert spark.read.parquet(f"{out}/watch_history").count() == first["watch_history"]
     ids = spark.read.parquet(f"{out}/movies").select("movie_title_id").distinct().count()
     assert ids == spark.read.parquet(f"{out}/movies").count()
+
+
+def _batch(spark, lines):
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+def test_batch_of_one_kind_and_users_on_first_sight(spark):
+    out = scratch_path(spark, "t-one-kind")
+    first = ingest.store_batch(_batch(spark, [LINES[1]]), 0, out)
+    assert (first["ratings"], first["watch_history"], first["users"]) == (1, 0, 1)
+    second = ingest.store_batch(_batch(spark, [LINES[0], LINES[1]]), 1, out)
+    assert (second["ratings"], second["watch_history"], second["users"]) == (1, 1, 1)
+    got = ingest.read_ingested(spark, out)
+    assert sorted(r.user_id for r in got["users"].collect()) == [7, 8]
+    assert got["movies"].count() == 1
+
+
+def test_bad_user_and_rating_are_rejected_alone(spark):
+    out = scratch_path(spark, "t-reject")
+    lines = ["2025-01-01T10:01:00,abc,GET /rate/heat+1995=4", "2025-01-01T10:01:00,8,GET /rate/heat+1995=4"]
+    counts = ingest.store_batch(_batch(spark, lines), 0, out)
+    assert (counts["ratings"], counts["rejected"]) == (1, 1)
+    assert ingest.read_ingested(spark, out)["batch_counts"].first().n_rejected == 1
+
+
+def test_damaged_dimension_is_an_error(spark, tmp_path):
+    out = str(tmp_path / "sink")
+    ingest.store_batch(_batch(spark, [LINES[1]]), 0, out)
+    for f in (tmp_path / "sink" / "movies" / "batch_id=0").glob("part-*"):
+        f.write_bytes(b"damaged")
+    for f in (tmp_path / "sink" / "movies" / "batch_id=0").glob(".part-*.crc"):
+        f.unlink()
+    with pytest.raises(Exception):
+        ingest.store_batch(_batch(spark, [LINES[2]]), 1, out)
