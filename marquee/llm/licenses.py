@@ -75,9 +75,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def unit_words(unit):
         return F.filter(F.split(unit, " "), lambda x: x != "")
 
+    bounds = [size_bounds(len(g), threshold) for g in grams.values()]
+    least, most = min(b[0] for b in bounds), max(b[1] for b in bounds)
+
     def unit_bigrams(w):
-        after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
-        return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), after, lambda a, b: F.concat_ws(" ", a, b)))
+        n = F.size(w) - 1
+        pairs = F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+        # d distinct words make d - 1 distinct bigrams at least, so these units are out of every template's bounds
+        return F.when((n >= least) & (F.size(F.array_distinct(w)) - 1 <= most), pairs).otherwise(F.array().cast("array<string>"))
 
     def match(own, at):
         best = [F.when(F.size(own).between(*size_bounds(len(g), threshold)), 2 * F.size(F.array_intersect(own, F.array(*map(F.lit, g)))) /

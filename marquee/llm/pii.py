@@ -320,7 +320,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     edge = rows.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
     if edge is None:
         return None
-    texts = sorted({r["text"] for r in rows.where(F.col("h") <= edge).dropDuplicates(["h"]).collect()})
+    # in the order of their hashes: windows beyond the bound are then left out evenly
+    texts = [r["text"] for r in sorted(rows.where(F.col("h") <= edge).dropDuplicates(["h"]).collect(), key=lambda r: (r["h"], r["text"]))]
     codes, tags, plain = [], [], []
     for body in texts:
         spans, _ = base_spans(body)
