@@ -12,10 +12,12 @@ halves are).  Candidates are verified on whole sets in two steps:
 
 1. star: each node with the smallest node of the bucket it shares most tables
    with; components of the links found;
-2. rest: buckets that still hold several components.  Nodes are dealt into
-   blocks of about ``BLOCK`` by the component of their star's centre, those in
-   that component apart from those outside it; block pairs that meet in such
-   a bucket and are not of one component already are compared whole.
+2. rest: pivots (smallest nodes of a bucket) whose buckets still hold several
+   components.  Nodes are dealt into blocks of about ``BLOCK`` by the component
+   of their star's centre, those in that component apart from those outside
+   it; block pairs that meet under such a pivot and are not of one component
+   already are compared whole.  Nodes of one bucket share its pivot, so no
+   candidate is left out.
 
 A bucket inside one component needs no more work, so large groups of copies
 cost about a row per document, and no link between components is left out.
@@ -307,15 +309,15 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFram
     many = materialize(around.groupBy("home", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "block-counts")
     placed = materialize(around.join(many, ["home", "inside"]).select(
         "node", "comp", F.xxhash64("home", "inside", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "blocks")
-    spread = table.join(pivots.select("bucket"), "bucket").join(placed, "node") \
-        .groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    spread = materialize(spread, "bucket-blocks")
-    mixed = materialize(spread.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                        .where("lo <> hi").select("bucket"), "mixed-buckets")
-    left = spread.join(mixed, "bucket")
+    # nodes that share a bucket share its pivot; the buckets of one large group have few pivots between them
+    spread = materialize(met.join(placed, "node").groupBy("pivot", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")),
+                         "pivot-blocks")
+    mixed = materialize(spread.groupBy("pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                        .where("lo <> hi").select("pivot"), "mixed-pivots")
+    left = spread.join(mixed, "pivot")
     # a block pair is of interest where its two blocks are not of one and the same component
-    pairs = left.selectExpr("bucket", "block as low", "lo as a_lo", "hi as a_hi").join(
-        left.selectExpr("bucket", "block as high", "lo as b_lo", "hi as b_hi"), "bucket") \
+    pairs = left.selectExpr("pivot", "block as low", "lo as a_lo", "hi as a_hi").join(
+        left.selectExpr("pivot", "block as high", "lo as b_lo", "hi as b_hi"), "pivot") \
         .where("low <= high and not (a_lo = a_hi and b_lo = b_hi and a_lo = b_lo)").select("low", "high").distinct()
     pairs = materialize(pairs, "block-pairs")
     sides = pairs.select("low", "high", F.col("low").alias("block"), F.lit(0).alias("side")).unionByName(
