@@ -141,7 +141,7 @@ def signatures(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.concat_ws("\u0001", F.sort_array(F.collect_list("genre"))).alias("sig"))
     members = per_movie.select("sig", "movie_id")
     first = members.groupBy("sig").agg(F.min("movie_id").alias("min_movie_id"))
-    sig_vec = (vectors.join(per_movie, "movie_id").join(first, "sig")
-               .where(F.col("movie_id") == F.col("min_movie_id"))
-               .select("sig", "genre", "weight", "min_movie_id"))
+    # one movie per signature is picked first, so a signature of many movies is no hot join key
+    sig_vec = (vectors.join(first.withColumnRenamed("min_movie_id", "movie_id"), "movie_id")
+               .select("sig", "genre", "weight", F.col("movie_id").alias("min_movie_id")))
     return sig_vec, members
