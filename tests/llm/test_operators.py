@@ -3,6 +3,7 @@ import array
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -414,6 +415,60 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_windows(text, templates):
+    """Lines and the whole text, then greedily the best windows that share no word with what was taken."""
+    lines, at, spans = (text or "").split("\n"), 0, []
+    for line in lines:
+        spans.append((at, at := at + len(licenses.words(line))))
+    spans += [(0, at)] if len(lines) > 1 else []
+    w = licenses.words(text or "")
+    grams = [set(licenses.bigrams(t)) for t in templates.values()]
+    dice = lambda own, g: 2 * len(own & g) / (len(own) + len(g)) if own else 0
+    own = lambda a, b: {f"{x} {y}" for x, y in zip(w[a:b], w[a + 1:b])}
+    found, taken = [], set()
+    for unit, (a, b) in enumerate(spans):
+        best = max((dice(own(a, b), g), -k) for k, g in enumerate(grams))
+        if best[0] >= 0.8:
+            found.append((-best[0], -best[1], unit))
+            taken |= set(range(a, b))
+    every = sorted((-d, k, b, -a) for k, g in enumerate(grams) for a in range(len(w)) for b in range(a + 2, min(len(w), a + licenses.size_bounds(len(g))[1] + 1) + 1)
+                   if (d := dice(own(a, b), g)) >= 0.8)
+    for d, k, b, a in every:
+        if not taken & set(range(-a, b)):
+            taken |= set(range(-a, b))
+            found.append((d, k, next(i for i, (x, y) in enumerate(spans) if x <= -a < y)))
+    if not found:
+        return 0, None, None, None
+    d, k, unit = min(found)
+    return len(found), list(templates)[k], round(-d, 6), -1 if unit == len(lines) else unit
+
+
+def test_license_windows_equal_brute_force(spark):
+    rng = random.Random(4)
+    templates = {"a": "p q r s t", "b": "r s t u v w x", "c": "p q p q r", "d": "s t u v"}
+    texts = ["".join(rng.choice("pqrstuvwxyz") + rng.choice(["  ", " ", " ", ", ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    texts += ["".join(rng.choice(["p q r s t", "r s t u v w x", "p q r", "s t\nu v", "z", "y\n"]) + " " for _ in range(rng.randrange(12))) for _ in range(250)]
+    got = {r.doc_id: (r.n_matches, r.license, r.dice, r.unit) for r in licenses.scan(table(spark, texts).coalesce(2), templates=templates).collect()}
+    want = {i: brute_windows(t, templates) for i, t in enumerate(texts)}
+    assert got == want and sum(n > 1 for n, *_ in want.values()) > 100
+
+
+def test_license_notices_that_wrap_or_stand_in_a_sentence(spark):
+    prose, mit = " ".join(f"word{i} other{i}" for i in range(400)), licenses.TEMPLATES["MIT-text"]
+    wrapped = textwrap.fill(mit, 78)
+    full = licenses.TEMPLATES["MIT-full"].replace("<year> <copyright holders>", "2024 Jane Doe")
+    texts = [f"{prose}\n{wrapped}\n{prose}",
+             "/*\n" + "\n".join(f" * {x}" for x in wrapped.split("\n")) + f"\n */\n{prose}",
+             "Copyright 2024 Jane Doe. Licensed under the Apache License, Version 2.0. See the file for all details.",
+             f"{prose} see below: this work is licensed under the GNU General\nPublic License, version 3. {prose}",
+             textwrap.fill(full, 60), licenses.TEMPLATES["GPL-3.0-full"], f"{prose}\n{licenses.TEMPLATES['Apache-2.0-full']}\n{prose}",
+             f"{prose} Licensed under CC BY\n4.0. {prose} Released under the\nMIT License. {prose}", prose]
+    got = [(r.n_matches, r.license, r.unit) for r in licenses.scan(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:4] == [(1, "MIT-text", 1), (1, "MIT-text", 1), (1, "Apache-2.0", 0), (1, "GPL-3.0", 0)]
+    assert got[4][1:] == ("MIT-full", -1) and got[5][1:] == ("GPL-3.0-full", -1) and got[6][1:] == ("Apache-2.0-full", 2)
+    assert got[7] == (2, "MIT", 1) and got[8] == (0, None, None)
+
+
 def test_size_bounds_are_tight():
     for n in range(1, 60):
         low, high = licenses.size_bounds(n)
