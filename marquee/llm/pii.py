@@ -4,9 +4,9 @@ The base finds e-mail addresses, IP addresses, card and phone numbers by
 pattern; its spans always stay.  The model - character embeddings, one LSTM in
 each direction, CRF transitions, all in numpy - is trained from labelled spans
 (the base's own, with some written in ways the patterns do not take) on a
-bounded sample.  It reads every stretch of every text that can hold such data:
-each of the four kinds has a digit or an @, so windows cover all characters
-within ``REACH`` of one.  Windows of ``WINDOW`` characters overlap by half; each
+bounded sample with a share for each kind.  It reads every stretch of every
+text that can hold such data: each of the four kinds has a digit or an @, so
+windows cover all characters within ``REACH`` of one.  Windows of ``WINDOW`` characters overlap by half; each
 is decoded by Viterbi, spans cut off by a window's edge are left to its
 neighbour, and of all spans of a text the heaviest set without overlaps is
 kept.  A model span is added when it is confident, well-formed for its kind
@@ -14,22 +14,26 @@ and touches neither a base span nor a match that the base's checks turned down.
 
 Edge cases: null text counts as empty; very long texts and very long runs of
 digits or letters are read in linear time; rows may repeat and are read each;
-without labelled spans the model adds nothing; an empty table gives an empty
-result; :func:`find` reads only the id and the text, :func:`mask` keeps every
-column.  Positions are code points, ends exclusive.
+without labelled spans the model adds nothing, and of a kind without any
+nothing either (a warning names it); an empty table gives an empty result;
+:func:`find` reads only the id and the text, :func:`mask` keeps every column.  Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import warnings
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .bpe import sliced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -310,31 +314,64 @@ def variants(text: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
         yield "".join([*parts, text[at:]]), moved
 
 
+def _drawn(src: DataFrame, share: int) -> list[int]:
+    """Hashes of the sample: for each kind the ``share`` smallest of the texts with a base span of that
+    kind, and as many of those without any.  ``src`` has the texts and their hashes ``h``."""
+    schema = "kind int, h long"
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[int]] = [[] for _ in range(len(KINDS) + 1)]  # heaps of the negated hashes
+        held: list[set[int]] = [set() for _ in best]
+        for batch in batches:
+            for text, h in zip(batch.column("text"), batch.column("h").to_pylist(), strict=True):
+                if all(h in own or len(own) == share and h > -heap[0] for heap, own in zip(best, held, strict=True)):
+                    continue
+                for kind in {k for k, _, _ in base_spans(text.as_py())[0]} or {len(KINDS)}:
+                    heap, own = best[kind], held[kind]
+                    if h in own:
+                        continue
+                    own.add(h)
+                    heapq.heappush(heap, -h)
+                    if len(heap) > share:
+                        own.remove(-heapq.heappop(heap))
+        rows = [(k, h) for k, own in enumerate(held) for h in own]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.int64())], names=["kind", "h"])
+
+    # a bounded number of hashes from each task
+    found = materialize(src.mapInArrow(least, schema), "pii-sample")
+    picked = [found.where(F.col("kind") == k).select("h").distinct().orderBy("h").limit(share) for k in range(len(KINDS) + 1)]
+    return sorted({r["h"] for part in picked for r in part.collect()})
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Tagger | None:
-    """Fit on at most ``train_docs`` texts of at most ``TRAIN_BYTES`` bytes that hold a digit or
-    an @ (those of the smallest hash); None when none of them has a labelled span."""
+    """Fit on at most ``train_docs`` texts of at most ``TRAIN_BYTES`` bytes that hold a digit or an @:
+    an equal share for each kind (those of the smallest hash that hold a base span of it), and one for
+    texts without any.  Warns of kinds that no text has; None when there is no base span at all."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= TRAIN_BYTES)) \
         .select("text", F.xxhash64("text").alias("h"))
     # the hashes of the sample first, then only its texts
-    edge = rows.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
-    if edge is None:
+    hashes = _drawn(rows, max(1, train_docs // (len(KINDS) + 1)))
+    if not hashes:
         return None
     # in the order of their hashes: windows beyond the bound are then left out evenly
-    texts = [r["text"] for r in sorted(rows.where(F.col("h") <= edge).dropDuplicates(["h"]).collect(), key=lambda r: (r["h"], r["text"]))]
-    codes, tags, plain = [], [], []
+    texts = [r["text"] for r in sorted(rows.where(F.col("h").isin(hashes)).dropDuplicates(["h"]).collect(), key=lambda r: (r["h"], r["text"]))]
+    marked, plain = [], []
     for body in texts:
         spans, _ = base_spans(body)
-        for version, marked in variants(body, spans):
-            for code, tag in _labelled(version, marked):
-                (codes if tag.any() else plain).append(code)
-                if tag.any():
-                    tags.append(tag)
-    if not tags:
+        for version, own in variants(body, spans):
+            for code, tag in _labelled(version, own):
+                (marked if tag.any() else plain).append((code, tag))
+    of_kind = [[w for w in marked if np.isin(w[1], (1 + 2 * k, 2 + 2 * k)).any()] for k in range(len(KINDS))]
+    if missing := [name for name, own in zip(KINDS, of_kind, strict=True) if not own]:
+        warnings.warn(f"PII model: no text of the sample has a base span of {', '.join(missing)}; the model cannot add this kind", stacklevel=2)
+    if not marked:
         return None
-    codes, tags, plain = codes[:TRAIN_WINDOWS], tags[:TRAIN_WINDOWS], plain[:TRAIN_WINDOWS // 2]
+    # a window of each kind in turn, so that a rare kind keeps all it has
+    turns = [w for turn in zip_longest(*of_kind) for w in turn if w]
+    picked = list({id(w): w for w in turns}.values())[:TRAIN_WINDOWS] + plain[:TRAIN_WINDOWS // 2]
     model = Tagger()
-    model.fit(np.array(codes + plain), np.array(tags + [np.zeros(WINDOW, dtype=np.int64)] * len(plain)))
+    model.fit(np.array([code for code, _ in picked]), np.array([tag for _, tag in picked]))
     return model
 
 

@@ -275,6 +275,24 @@ def test_tagger_finds_spans_it_was_not_given(spark, tagger, monkeypatch):
     assert not any(pii.all_spans(t, tagger)[1] for t in clean)
 
 
+def test_tagger_learns_every_kind_of_a_table_with_few(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii.Tagger, "fit", lambda self, codes, tags: seen.append((codes, tags)))
+    rare = ["mail jo.doe@mail.example.org today", "host 10.20.30.40 is down", "card 4565 4101 2566 7261 expired", "call +44 20 7946 0958 now"]
+    texts = [f"order {i} of {i % 7} parts" for i in range(6000)] + rare
+    assert pii.train(table(spark, texts).repartition(5)) is not None
+    codes, tags = seen.pop()
+    assert {(int(t) + 1) // 2 for t in np.unique(tags)} == {0, 1, 2, 3, 4}
+    assert len(codes) <= pii.TRAIN_WINDOWS * 3 // 2 and (~tags.any(axis=1)).sum() > 100
+    many = [f"u{i}@mail.example.org " * 9 for i in range(900)]  # one kind does not push the others out
+    pii.train(table(spark, many + rare))
+    assert {(int(t) + 1) // 2 for t in np.unique(seen.pop()[1])} == {0, 1, 2, 3, 4}
+    with pytest.warns(UserWarning, match="ip, card, phone"):
+        assert pii.train(table(spark, many)) is not None
+    with pytest.warns(UserWarning, match="email, ip, card, phone"):
+        assert pii.train(table(spark, texts[:50])) is None
+
+
 def test_pii_find_and_mask(spark, docs, empty, tagger):
     texts = AWKWARD + ["mail a.b@c.example.org, call +1 (386) 555-3733 or 4565 4101 2566 7261 at 10.0.0.256"]
     rows = {r.doc_id: r for r in pii.find(table(spark, texts), tagger).collect()}
