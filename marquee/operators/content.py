@@ -115,17 +115,10 @@ def cb_scores(profiles: DataFrame, vectors: DataFrame) -> DataFrame:
     from . import scoring   # local import: scoring imports nothing from here
 
     sig_vec, members = signatures(vectors)
-    vocab = vectors.select("genre").union(profiles.select("genre")).distinct()
-    idx, dim = scoring.vocabulary_index(vocab)
-    if idx is None or dim == 0:
-        p = profiles.select("user_id", "genre", F.col("weight").alias("wu"))
-        v = vectors.select("movie_id", "genre", F.col("weight").alias("wm"))
-        return (p.join(v, "genre").groupBy("user_id", "movie_id")
-                .agg(F.sum(F.col("wu") * F.col("wm")).alias("score")))
-    q = scoring.to_dense(profiles, "user_id", "genre", "weight", idx, dim)
-    items = scoring.to_dense(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight",
-                             idx, dim).withColumn("tie", F.col("sig_id"))
-    per_sig = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", None, positive_only=True, dim=dim)
+    q = scoring.to_sparse(profiles, "user_id", "genre", "weight")
+    items = scoring.to_sparse(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight") \
+        .withColumn("tie", F.col("sig_id"))
+    per_sig = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", None, positive_only=True)
     sig_of = sig_vec.select("sig", F.col("min_movie_id").alias("item_id")).distinct()
     return (per_sig.join(sig_of, "item_id").join(members, "sig")
             .select("user_id", "movie_id", "score"))

@@ -66,11 +66,6 @@ def name_movies(recs: DataFrame, movies: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- content lists
-def _dense_inputs(profiles: DataFrame, vectors: DataFrame):
-    vocab = vectors.select("genre").union(profiles.select("genre")).distinct()
-    return scoring.vocabulary_index(vocab)
-
-
 def content_top_n(profiles: DataFrame, vectors: DataFrame, universe: DataFrame, n: int = RECS_TOP_N,
                   positive_only: bool = False) -> DataFrame:
     """M-04 core: per profiled user, the ``n`` best movies of ``universe`` by
@@ -82,29 +77,19 @@ def content_top_n(profiles: DataFrame, vectors: DataFrame, universe: DataFrame,
     scorers, as the reference's full sort does.
     """
     sig_vec, members = content.signatures(vectors)
-    idx, dim = _dense_inputs(profiles, vectors)
     # n lowest ids per signature (group-limited window: a huge signature keeps n rows per task)
     low = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("movie_id"))) \
         .where(F.col("_r") <= n).drop("_r")
-    if idx is not None and dim > 0:
-        # each signature carries its <= n lowest member ids, so the scorer
-        # expands signatures to movies inside the task (no expansion join)
-        member_lists = low.groupBy("sig").agg(F.sort_array(F.collect_list("movie_id")).alias("members"))
-        q = scoring.to_dense(profiles, "user_id", "genre", "weight", idx, dim)
-        items = (scoring.to_dense(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight",
-                                  idx, dim)
-                 .join(sig_vec.select("sig", F.col("min_movie_id").alias("sig_id")).distinct(), "sig_id")
-                 .join(member_lists, "sig")
-                 .select("sig_id", F.col("sig_id").alias("tie"), "vec", "members"))
-        top = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", n, positive_only=True, dim=dim,
-                               members="members")
-        positive = top.select("user_id", F.col("item_id").alias("movie_id"), "score")
-    else:
-        lf = sig_vec.select("sig", "genre", "weight", "min_movie_id")
-        top_sig = (scoring.topk_long_form(profiles, "user_id", lf, "min_movie_id", "min_movie_id", "genre", n)
-                   .join(lf.select("sig", F.col("min_movie_id").alias("item_id")).distinct(), "item_id"))
-        positive = (top_sig.select("user_id", "sig", "score").join(low, "sig")
-                    .select("user_id", "movie_id", "score"))
+    # each signature carries its <= n lowest member ids, so the scorer
+    # expands signatures to movies inside the task (no expansion join)
+    member_lists = low.groupBy("sig").agg(F.sort_array(F.collect_list("movie_id")).alias("members"))
+    q = scoring.to_sparse(profiles, "user_id", "genre", "weight")
+    items = (scoring.to_sparse(sig_vec.withColumnRenamed("min_movie_id", "sig_id"), "sig_id", "genre", "weight")
+             .join(sig_vec.select("sig", F.col("min_movie_id").alias("sig_id")).distinct(), "sig_id")
+             .join(member_lists, "sig")
+             .select("sig_id", F.col("sig_id").alias("tie"), "keys", "weights", "members"))
+    top = scoring.topk_dot(q, "user_id", items, "sig_id", "tie", n, positive_only=True, members="members")
+    positive = top.select("user_id", F.col("item_id").alias("movie_id"), "score")
     if not positive_only:
         positive = materialize(positive, "content-positive")      # read twice below
         positive = _fill_with_zeros(positive, profiles.select("user_id").distinct(), universe, n)
@@ -139,22 +124,20 @@ def similar_movies(vectors: DataFrame, universe: DataFrame, n: int = SIMILAR_TOP
     """M-03: for every movie of the universe, the n most similar others by
     vector dot product (self excluded by id, ties by id, zero scorers fill)."""
     sig_vec, members = content.signatures(vectors)
-    idx, dim = scoring.vocabulary_index(sig_vec.select("genre"))
-    scoring.require_dense(idx, dim, "similar_movies")
     k = n + 1          # one more signature / member than needed: the query movie itself drops out
     sig_key = sig_vec.select("sig", F.col("min_movie_id").alias("sig_id")).distinct()
-    sig_dense = scoring.to_dense(sig_vec, "min_movie_id", "genre", "weight", idx, dim) \
+    sig_sparse = scoring.to_sparse(sig_vec, "min_movie_id", "genre", "weight") \
         .withColumnRenamed("min_movie_id", "sig_id")
     low = members.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("movie_id"))) \
         .where(F.col("_r") <= k).drop("_r")
     member_lists = low.groupBy("sig").agg(F.sort_array(F.collect_list("movie_id")).alias("members"))
-    items = (sig_dense.join(sig_key, "sig_id").join(member_lists, "sig")
-             .select("sig_id", F.col("sig_id").alias("tie"), "vec", "members"))
+    items = (sig_sparse.join(sig_key, "sig_id").join(member_lists, "sig")
+             .select("sig_id", F.col("sig_id").alias("tie"), "keys", "weights", "members"))
     # every movie with a vector asks with its signature's vector
-    queries = (members.join(sig_key, "sig").join(sig_dense, "sig_id")
-               .select(F.col("movie_id").alias("query_movie_id"), "vec"))
+    queries = (members.join(sig_key, "sig").join(sig_sparse, "sig_id")
+               .select(F.col("movie_id").alias("query_movie_id"), "keys", "weights"))
     top = scoring.topk_dot(queries, "query_movie_id", items, "sig_id", "tie", k, positive_only=True,
-                           exclude_self=True, dim=dim, members="members", keep=n)
+                           exclude_self=True, members="members", keep=n)
     cand = top.select("query_movie_id", F.col("item_id").alias("movie_id"), "score")
     cand = materialize(cand, "similar-candidates")                # read three times below
     all_movies = universe.select(F.col("movie_id").alias("query_movie_id")).distinct()
@@ -229,37 +212,21 @@ def hybrid_recommend(users: DataFrame, profiles: DataFrame, vectors: DataFrame,
 
 
 def _hybrid_with_factors(w, profiles, vectors, user_factors, item_factors, universe, n):
-    n_dims = item_factors.agg(F.max("dim")).first()[0]
-    n_dims = 0 if n_dims is None else int(n_dims) + 1
-    idx, g = _dense_inputs(profiles, vectors)
-    scoring.require_dense(idx, g, "hybrid_recommend with factors")
-    g_idx = idx.withColumn("gi", F.col("gi") + F.lit(n_dims))
-    dim = n_dims + g
-    # user side: α·U (dims 0..k-1) and β·profile (dims k..)
-    uf = (user_factors.join(w, "user_id")
-          .select("user_id", F.col("dim").cast("int").alias("gi"), (F.col("value") * F.col("alpha")).alias("w")))
-    up = (profiles.join(w, "user_id").join(F.broadcast(g_idx), "genre")
-          .select("user_id", "gi", (F.col("weight") * F.col("beta")).alias("w")))
-    q = _dense_from_index(uf.unionByName(up), "user_id", dim)
+    # keys: f and the factor dimension, or g and the genre
+    factor, genre = F.concat(F.lit("f"), F.col("dim").cast("string")), F.concat(F.lit("g"), F.col("genre"))
+    # user side: α·U and β·profile
+    uf = user_factors.join(w, "user_id").select("user_id", factor.alias("key"), (F.col("value") * F.col("alpha")).alias("w"))
+    up = profiles.join(w, "user_id").select("user_id", genre.alias("key"), (F.col("weight") * F.col("beta")).alias("w"))
+    q = scoring.to_sparse(uf.unionByName(up), "user_id", "key", "w")
     # item side over the universe
     uni = universe.select("movie_id").distinct()
-    itf = item_factors.join(uni, "movie_id", "left_semi").select("movie_id", F.col("dim").cast("int").alias("gi"),
-                                                                F.col("value").alias("w"))
-    itv = vectors.join(uni, "movie_id", "left_semi").join(F.broadcast(g_idx), "genre") \
-        .select("movie_id", "gi", F.col("weight").alias("w"))
-    items = _dense_from_index(itf.unionByName(itv), "movie_id", dim).withColumn("tie", F.col("movie_id"))
-    top = scoring.topk_dot(q, "user_id", items, "movie_id", "tie", n, positive_only=True, dim=dim)
+    itf = item_factors.join(uni, "movie_id", "left_semi").select("movie_id", factor.alias("key"), F.col("value").alias("w"))
+    itv = vectors.join(uni, "movie_id", "left_semi").select("movie_id", genre.alias("key"), F.col("weight").alias("w"))
+    items = scoring.to_sparse(itf.unionByName(itv), "movie_id", "key", "w").withColumn("tie", F.col("movie_id"))
+    top = scoring.topk_dot(q, "user_id", items, "movie_id", "tie", n, positive_only=True)
     return top.select("user_id", "rank", F.col("item_id").alias("movie_id"), "score")
 
 
-def _dense_from_index(long_df: DataFrame, id_col: str, dim: int) -> DataFrame:
-    grouped = long_df.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("gi", F.col("w").cast("double"))))
-                                          .alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return grouped.select(id_col, vec.alias("vec"))
-
-
 def get_recs(users: DataFrame, source: DataFrame, k: int, shape: str) -> DataFrame:
     """M-10: lookup over three shapes.
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ except (ImportError, AttributeError, ValueError):   # older cloudpickle: ship th
 SCORE_DP = 6
 # Candidate block size shipped to executors (bytes of float64 matrix).
 ITEM_BLOCK_BYTES = 64 * 1024 * 1024
-# Largest dense dimension accepted for the vectorised path (beyond it the
-# sparse long-form join is used), and rows scored per matrix product.
+# Of sparse vectors, keys per matrix product (not a limit of the vocabulary),
+# and bytes of the query rows scored at once.
 MAX_DENSE_DIM = 2048
 QUERY_CHUNK_BYTES = 32 * 1024 * 1024
 
@@ -49,50 +50,83 @@ def top_n_per_key(df: DataFrame, key: str, score_col: str, tie_col: str, n: int,
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
-def vocabulary_index(vocab: DataFrame, col: str = "genre", limit: int | None = None):
-    """Sorted vocabulary → (DataFrame(col, gi), size) or (None, size) when the
-    vocabulary is larger than ``limit`` (default ``MAX_DENSE_DIM``; callers
-    then use the long-form path or stop with a clear error)."""
-    limit = MAX_DENSE_DIM if limit is None else limit
-    rows = vocab.select(col).distinct().orderBy(col).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None, len(rows)
-    spark = vocab.sparkSession
-    if not rows:
-        return spark.createDataFrame([], f"{col} string, gi int"), 0
-    # a literal array exploded JVM-side (no Python-backed RDD for ≤ limit rows)
-    lit = F.array(*[F.lit(r[0]) for r in rows])
-    idx = spark.range(1).select(F.posexplode(lit).alias("gi", col)).select(col, F.col("gi").cast("int").alias("gi"))
-    return idx, len(rows)
+def to_sparse(long_df: DataFrame, id_col: str, key_col: str, weight_col: str) -> DataFrame:
+    """Long ``(id, key, weight)`` → ``(id, keys array<string>, weights array<double>)``, for any
+    number of keys; each id gathers its own entries only."""
+    entry = F.struct(F.col(key_col).cast("string").alias("k"), F.col(weight_col).cast("double").alias("w"))
+    return (long_df.where(F.col(key_col).isNotNull()).groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+            .select(id_col, F.col("_e.k").alias("keys"), F.col("_e.w").alias("weights")))
 
 
-def to_dense(long_df: DataFrame, id_col: str, key_col: str, weight_col: str, index: DataFrame,
-             dim: int) -> DataFrame:
-    """Long ``(id, key, weight)`` → ``(id, vec array<double>)`` of length ``dim``.
+class _SparseBlock:
+    """A block of sparse item vectors.  Scores are partial sums over its keys:
+    keys that at least one item in eight has go through matrix products of
+    ``MAX_DENSE_DIM`` keys (their matrix is at most eight times the entries),
+    each other key adds to the pairs of query and item that both have it."""
 
-    ``index`` has at most ``MAX_DENSE_DIM`` rows (checked), so it is broadcast;
-    each id gathers at most ``dim`` entries.
-    """
-    j = long_df.join(F.broadcast(index.withColumnRenamed(index.columns[0], key_col)), key_col)
-    grouped = j.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("gi", F.col(weight_col).cast("double"))))
-                                    .alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return grouped.select(id_col, vec.alias("vec"))
+    def __init__(self, keys, weights):
+        keys, weights = (pa.concat_arrays(x.chunks) for x in (keys, weights))
+        flat = keys.flatten().dictionary_encode()
+        vocab = np.array(flat.dictionary.to_pylist(), dtype=object)
+        lens, weight = np.diff(keys.offsets.to_numpy()), weights.flatten().to_numpy().astype(np.float64)
+        rows = np.repeat(np.arange(len(keys), dtype=np.int32), lens)
+        place = np.argsort(vocab)                          # the same keys in the same order each run
+        rank = np.empty_like(place)
+        rank[place] = np.arange(len(place))
+        code, vocab = rank[flat.indices.to_numpy()], vocab[place]
+        often = np.bincount(code, minlength=len(vocab)) * 8 >= len(keys)
+        place = np.argsort(~often, kind="stable")          # frequent keys first
+        rank = np.empty_like(place)
+        rank[place] = np.arange(len(place))
+        code = rank[code]
+        self.n, self.width, self.vocab = len(keys), int(often.sum()), list(vocab[place])
+        order = np.argsort(code, kind="stable")
+        self.rows, self.weight = rows[order], weight[order]
+        self.start = np.searchsorted(code[order], np.arange(len(vocab) + 1))
+        self.slab = MAX_DENSE_DIM
+
+    def scorer(self):
+        index = pd.Index(self.vocab, dtype=object)
+        dense = np.zeros((self.n, self.width))
+        upto = self.start[self.width]
+        np.add.at(dense, (self.rows[:upto], np.repeat(np.arange(self.width), np.diff(self.start[:self.width + 1]))), self.weight[:upto])
+
+        def score(chunk):
+            lens = chunk["keys"].map(len).to_numpy()
+            out = np.zeros((len(chunk), self.n))
+            if not lens.sum():
+                return out
+            code = index.get_indexer(np.concatenate(chunk["keys"].to_list()))
+            w = np.concatenate(chunk["weights"].to_list()).astype(np.float64)
+            q = np.repeat(np.arange(len(chunk)), lens)
+            for lo in range(0, self.width, self.slab):
+                hi = min(lo + self.slab, self.width)
+                use = (code >= lo) & (code < hi)
+                part = np.zeros((len(chunk), hi - lo))
+                np.add.at(part, (q[use], code[use] - lo), w[use])
+                out += part @ dense[:, lo:hi].T
+            order = np.argsort(code, kind="stable")
+            order = order[np.searchsorted(code[order], self.width):] if self.width else order[code[order] >= 0]
+            for own in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else ():
+                lo, hi = self.start[code[own[0]]], self.start[code[own[0]] + 1]
+                out[np.ix_(q[own], self.rows[lo:hi])] += np.outer(w[own], self.weight[lo:hi])
+            return out
+        return score
 
 
 def _block_topk(q_id: str, bc, k: int | None, positive_only: bool, exclude_self: bool, keep: int | None):
     def score(batches):
         ids, ties, mat, mem = bc.value
+        sparse = mat.scorer() if hasattr(mat, "scorer") else None  # by value: the class here is another
+        width = min(mat.width, mat.slab) if sparse else mat.shape[1]
         for pdf in batches:
             if len(pdf) == 0 or len(ids) == 0:
                 continue
             out_q, out_i, out_s, out_t = [], [], [], []
-            step = max(1, QUERY_CHUNK_BYTES // (8 * max(mat.shape[0], mat.shape[1], 1)))
+            step = max(1, QUERY_CHUNK_BYTES // (8 * max(len(ids), width, 1)))
             for start in range(0, len(pdf), step):
                 chunk = pdf.iloc[start:start + step]
-                q = np.stack(chunk["vec"].to_numpy()).astype(np.float64)
-                s = q @ mat.T
+                s = sparse(chunk) if sparse else np.stack(chunk["vec"].to_numpy()).astype(np.float64) @ mat.T
                 r = np.round(s, SCORE_DP)
                 qids = chunk[q_id].to_numpy()
                 rows, cols = _pick(s, r, qids, ids, ties, k, positive_only, exclude_self and mem is None)
@@ -169,8 +203,9 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     """Top ``k`` items per query by ``queries.vec · items.vec``.
 
     ``queries``: ``(q_id, vec)``; ``items``: ``(i_id, tie, vec)`` with the same
-    vector length.  Returns ``(q_id, item_id, score, rank)``; with ``k=None``
-    every (valid) candidate is returned, unranked.
+    vector length, or both with ``keys`` and ``weights`` of :func:`to_sparse`
+    instead (any number of keys).  Returns ``(q_id, item_id, score, rank)``;
+    with ``k=None`` every (valid) candidate is returned, unranked.
 
     With ``members`` (an ``array<bigint>`` column of ascending ids, at most
     ``k`` per item) each candidate stands for a group of items sharing its
@@ -183,18 +218,25 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     spark = queries.sparkSession
     q_type = dict(queries.dtypes)[q_id]
     schema = f"{q_id} {q_type}, item_id bigint, score double, _tie bigint"
-    # Block size from the vector length, read off one row; the first block is
-    # fetched with one bounded collect (block_rows + 1 rows tells whether more exist).
+    # Block size from the vector length, read off one row (of sparse vectors: twice the most
+    # entries of a row); the first block is fetched with one bounded collect (block_rows + 1
+    # rows tells whether more exist).
+    vec = ["keys", "weights"] if "keys" in items.columns else ["vec"]
+    if len(vec) > 1:
+        items = materialize(items, "topk-items")
+        dim = 2 * (items.agg(F.max(F.size("keys"))).first()[0] or 0)
     if dim is None:
         got = items.select(F.size("vec")).limit(1).collect()
         if not got:
             return spark.createDataFrame([], schema + ", rank int").drop("_tie")
         dim = got[0][0]
-    cols = [i_id, tie, "vec"] + ([members] if members else [])
+    cols = [i_id, tie, *vec] + ([members] if members else [])
     width = dim + (k if members and k else 0)
     block_rows = max(1, ITEM_BLOCK_BYTES // (8 * max(width, 1)))
-    head = items.select(*cols).limit(block_rows + 1).collect()
-    if not head:
+    # sparse vectors come as Arrow columns: their keys are not made Python objects one by one
+    fetch = (lambda df: df.select(*cols).toArrow()) if len(vec) > 1 else lambda df: df.select(*cols).collect()
+    head = fetch(items.limit(block_rows + 1))
+    if not len(head):
         return spark.createDataFrame([], schema + ", rank int").drop("_tie")
     if len(head) <= block_rows:                       # the whole candidate side fits one block
         blocks = [head]
@@ -209,20 +251,22 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     # repartition on the key would merge into the upstream aggregate's
     # coalescable exchange); one vector per query, so no hot key either way.
     n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    q_in = queries.select(q_id, "vec").repartition(n_parts)
+    q_in = queries.select(q_id, *vec).repartition(n_parts)
     parts = []
     for blk in blocks:
         # ≤ block_rows rows by construction
-        rows = blk if isinstance(blk, list) else blk.select(*cols).collect()
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        ties = np.array([r[1] for r in rows], dtype=np.int64)
-        mat = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+        rows = fetch(blk) if isinstance(blk, DataFrame) else blk
+        col = (lambda c: rows[c].to_pylist()) if len(vec) > 1 else lambda c: [r[c] for r in rows]
+        ids = np.array(col(i_id), dtype=np.int64)
+        ties = np.array(col(tie), dtype=np.int64)
+        mat = _SparseBlock(rows["keys"], rows["weights"]) if len(vec) > 1 else \
+            np.array(col("vec"), dtype=np.float64).reshape(len(rows), dim)
         mem = None
         if members:
-            width_m = max(1, max(len(r[3]) for r in rows))
-            mem = np.full((len(rows), width_m), -1, dtype=np.int64)
-            for j, r in enumerate(rows):
-                mem[j, :len(r[3])] = r[3]
+            lists = col(members)
+            mem = np.full((len(rows), max(1, max(map(len, lists)))), -1, dtype=np.int64)
+            for j, own in enumerate(lists):
+                mem[j, :len(own)] = own
         bc = spark.sparkContext.broadcast((ids, ties, mat, mem))
         part = (q_in.mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self, keep), schema))
         if len(blocks) > 1:
@@ -238,24 +282,3 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     if k is None:
         return merged.drop("_tie")
     return top_n_per_key(merged, q_id, "score", "_tie", keep if members else k).drop("_tie")
-
-
-def require_dense(idx, dim: int, what: str) -> None:
-    """Operators without a sparse path stop here when the vocabulary is too
-    wide for dense vectors (rather than building huge per-row arrays)."""
-    if idx is None:
-        raise ValueError(f"{what}: vocabulary of more than {MAX_DENSE_DIM} keys; "
-                         f"raise scoring.MAX_DENSE_DIM if executors can hold such vectors")
-
-
-def topk_long_form(q_long: DataFrame, q_id: str, i_long: DataFrame, i_id: str, tie: str,
-                   key: str, k: int, positive_only: bool = True) -> DataFrame:
-    """Fallback for vocabularies too large for dense vectors: sparse join on the
-    shared key, partial sums per pair, group-limited ranking."""
-    q = q_long.select(q_id, key, F.col("weight").alias("wq"))
-    i = i_long.select(F.col(i_id).alias("item_id"), F.col(tie).alias("_tie"), key, F.col("weight").alias("wi"))
-    scored = (q.join(i, key).groupBy(q_id, "item_id", "_tie")
-              .agg(F.sum(F.col("wq") * F.col("wi")).alias("score")))
-    if positive_only:
-        scored = scored.where(F.col("score") > 0)
-    return top_n_per_key(scored, q_id, "score", "_tie", k).drop("_tie")

@@ -130,3 +130,50 @@ def test_content_lists_match_brute_force_with_many_ties(spark, monkeypatch, bloc
         for r in res.orderBy("user_id", "rank").collect():
             got.setdefault(r.user_id, []).append(r.movie_id)
         assert got == {u: v for u, v in want.items() if v}
+
+
+@pytest.mark.parametrize("slab", [2048, 700])
+def test_vocabulary_of_5000_genres(spark, monkeypatch, slab):
+    """Similar movies, hybrid lists with factors, content lists and all scores
+    equal brute force when there are more genres than one matrix product takes."""
+    from marquee.operators import content, hybrid
+    monkeypatch.setattr(scoring, "MAX_DENSE_DIM", slab)
+    rng = np.random.default_rng(8)
+    genres = [f"genre {i}" for i in range(5000)]
+    vec = {m: {genres[g]: 0.25 for g in {(m * 7 + i * i) % 5000 for i in range(18)}} | {"common": 0.5} for m in range(330)}
+    vec |= {330 + i: {g: 1 / 2500 for g in genres[i::2]} for i in range(2)} | {340: dict(vec[3])}
+    prof = {u: {genres[g]: float(w) for g, w in zip(rng.integers(0, 5000, 400), rng.random(400))} for u in range(12)}
+    uf, vf = ({i: rng.normal(size=3) for i in ids} for ids in (range(12), vec))
+    long = lambda d: [(i, g, float(w)) for i, row in d.items() for g, w in row.items()]
+    factors = lambda d, key: spark.createDataFrame(
+        [(i, k, float(x)) for i, row in d.items() for k, x in enumerate(row)], f"{key} long, dim int, value double")
+    assert len({g for row in vec.values() for g in row}) > 5000
+    vectors = spark.createDataFrame(long(vec), "movie_id long, genre string, weight double")
+    profiles = spark.createDataFrame(long(prof), "user_id long, genre string, weight double")
+    movies = spark.createDataFrame([(m, f"t{m}") for m in vec], "movie_id long, movie_title_id string")
+    dot = lambda a, b: sum(w * b.get(g, 0.0) for g, w in a.items())
+
+    def lists(df, key):
+        out = {}
+        for r in df.orderBy(key, "rank").collect():
+            out.setdefault(r[key], []).append((r.movie_id, round(r.score, 6)))
+        return out
+
+    def check(got, score, ids, n):
+        for i in ids:
+            want = sorted((-round(s, 6), m) for m in vec if (s := score(i, m)) is not None)[:n]
+            # equal up to the last rounded place
+            assert [m for m, _ in got[i]] == [m for _, m in want] and np.allclose([s for _, s in got[i]], [-s for s, _ in want], atol=2e-6)
+
+    check(lists(hybrid.similar_movies(vectors, movies, 5), "query_movie_id"), lambda i, m: None if i == m else dot(vec[i], vec[m]), vec, 5)
+    check(lists(hybrid.content_top_n(profiles, vectors, movies, 9), "user_id"), lambda u, m: dot(prof[u], vec[m]), prof, 9)
+    users = spark.createDataFrame([(u,) for u in prof], "user_id long")
+    counts = spark.createDataFrame([(u, u * 2) for u in prof], "user_id long, n_rated long")
+    popular = spark.createDataFrame([(1, 0, 1.0)], "rank int, movie_id long, popularity_score double")
+    weights = {r.user_id: (float(r.alpha), float(r.beta)) for r in hybrid.hybrid_weights(users, profiles, counts).collect()}
+    blend = lambda u, m: s if (s := weights[u][0] * float(uf[u] @ vf[m]) + weights[u][1] * dot(prof[u], vec[m])) > 0 else None
+    top = hybrid.hybrid_recommend(users, profiles, vectors, counts, popular, movies, movies, factors(uf, "user_id"), factors(vf, "movie_id"), 6)
+    check(lists(top, "user_id"), blend, prof, 6)
+    every = {(r.user_id, r.movie_id): r.score for r in content.cb_scores(profiles, vectors).collect()}
+    want = {(u, m): s for u in prof for m in vec if (s := dot(prof[u], vec[m])) > 0}
+    assert every.keys() == want.keys() and all(abs(every[p] - want[p]) < 1e-9 for p in want)
