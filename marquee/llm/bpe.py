@@ -54,9 +54,9 @@ def _byte_symbols() -> list[str]:
 class Recent(dict):
     """Values by key, made by ``make`` when missing; at most two generations are kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int | None = None):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.entries = make, {}, entries
 
     def __missing__(self, key: str) -> bytes:
         got = self.old.get(key)
@@ -64,7 +64,7 @@ class Recent(dict):
             got = self.make(key)
             if len(key) > CACHED_LENGTH:
                 return got
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= (self.entries or CACHE_ENTRIES):
             self.old = dict(self)
             self.clear()
         self[key] = got
@@ -218,12 +218,12 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 SLICE_BYTES = 4 << 20
 
 
-def sliced(batch: pa.RecordBatch, col: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``SLICE_BYTES`` text each, a single row at least."""
+def sliced(batch: pa.RecordBatch, col: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``size`` (else ``SLICE_BYTES``) bytes of text each, a single row at least."""
     n = batch.num_rows
     if not n:
         return
-    step = max(1, int(n * SLICE_BYTES / max(1, batch.column(col).nbytes)))
+    step = max(1, int(n * (size or SLICE_BYTES) / max(1, batch.column(col).nbytes)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, licenses, near_dup, packing, pii, quality, repeats, topk, warc
+from . import alignment, block_naming, bpe, collocations, licenses, near_dup, packing, pii, quality, repeats, topk, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -124,3 +124,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op11_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_fm_collocations"] = collocations.oracle()
