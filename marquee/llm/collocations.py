@@ -89,7 +89,8 @@ def _stretches(text: bytes, limit: int) -> Iterator[bytes]:
             cut = min((c + 1 for c in (text.find(sign, at + limit) for sign in _PIECE_END) if c >= 0), default=len(text))
         yield text[at:cut]
         at = cut
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 def _shard_rows(limit: int):

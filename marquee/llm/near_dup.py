@@ -8,19 +8,7 @@ probability 2 * (1 - 0.75 ** ROWS) ** BANDS, about 4e-5.
 
 Documents with the same shingle set are one node.  Keys that only one node has
 are dropped before pairs are formed (a table key can only be shared if both
-halves are).  Candidates are verified on whole sets in two steps:
-
-1. star: each node with the smallest node of the bucket it shares most tables
-   with; components of the links found;
-2. rest: pivots (smallest nodes of a bucket) whose buckets still hold several
-   components.  Nodes are dealt into blocks of about ``BLOCK`` by the component
-   of their star's centre, those in that component apart from those outside
-   it; block pairs that meet under such a pivot and are not of one component
-   already are compared whole.  Nodes of one bucket share its pivot, so no
-   candidate is left out.
-
-A bucket inside one component needs no more work, so large groups of copies
-cost about a row per document, and no link between components is left out.
+halves are).  Candidates are verified on whole sets by ``clusters.links``.
 
 Edge cases: null text counts as empty; a text of fewer than five words is one
 shingle; without words a document is linked with nothing; rows may repeat and
@@ -36,18 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import clusters
 from .bpe import sliced
-from .components import components
 
 WORDS = 5
 SIMILAR = 75  # hundredths
 BANDS, ROWS = 20, 3
-BLOCK = 128
-STAR = 256  # members compared with one copy of a star's centre
 PIECE = 1 << 21
 
 _RNG = np.random.default_rng(20240229)
@@ -98,19 +84,19 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _sets(words: np.ndarray) -> np.ndarray:
+def _sets(words: np.ndarray, width: int = WORDS) -> np.ndarray:
     n = len(words)
     if not n:
         return words
-    k = min(n, WORDS)
+    k = min(n, width)
     h = np.full(n - k + 1, np.uint64(k))
     for j in range(k):
         h = h + words[j:n - k + 1 + j] * np.uint64(_MIX[j])
     return np.unique(mix(h))
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; words lower-cased in A-Z."""
+def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of ``width`` words; words lower-cased in A-Z."""
     out: list[np.ndarray] = []
     short: list[bytes] = []
 
@@ -120,7 +106,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
             first = np.cumsum([0] + [len(t) + 1 for t in short])
             words, start = word_hashes(np.frombuffer(joined.lower(), np.uint8))
             cut = np.searchsorted(start, first)
-            out.extend(_sets(words[a:b]) for a, b in zip(cut, cut[1:]))
+            out.extend(_sets(words[a:b], width) for a, b in zip(cut, cut[1:]))
             short.clear()
 
     held = 0
@@ -129,7 +115,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
             flush()
             held = 0
             parts = [word_hashes(np.frombuffer(p.lower(), np.uint8))[0] for p in _pieces(text)]
-            out.append(_sets(np.concatenate(parts)))
+            out.append(_sets(np.concatenate(parts), width))
             continue
         short.append(text)
         held += len(text) + 1
@@ -184,8 +170,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialize(src.mapInArrow(run, _SIGNED), "signatures")
 
 
-def _text_key(text: str):
-    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), F.col(text)).alias("k2")
+def _text_key(text):
+    text = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -202,136 +189,32 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return materialize(tables, "tables")
 
 
-def _similar(common, size_a, size_b):
-    return 100 * common >= SIMILAR * (size_a + size_b - common)
-
-
-def _as_set(raw) -> np.ndarray:
-    return np.frombuffer(raw.as_buffer(), np.uint64)
-
-
-def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (pivot, salt, member): the pivot's own row comes first."""
-    key, centre = None, None
-    for batch in batches:
-        a, b = [], []
-        for pivot, salt, member, node, raw in zip(*(batch.column(c) for c in ("pivot", "salt", "member", "node", "shingles")), strict=True):
-            if not member.as_py():
-                key, centre = (pivot.as_py(), salt.as_py()), _as_set(raw)
-            elif key == (pivot.as_py(), salt.as_py()):
-                own = _as_set(raw)
-                if _similar(len(np.intersect1d(own, centre, assume_unique=True)), len(own), len(centre)):
-                    a.append(node.as_py())
-                    b.append(key[0])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (low, high, side, node): the sets of the first block, then those of the second."""
-    key, held = None, []
-    index = None
-    for batch in batches:
-        a, b = [], []
-        for low, high, side, node, comp, raw in zip(*(batch.column(c) for c in ("low", "high", "side", "node", "comp", "shingles")), strict=True):
-            here = (low.as_py(), high.as_py())
-            if here != key:
-                key, held, index = here, [], None
-            node, comp, own = node.as_py(), comp.as_py(), _as_set(raw)
-            if side.as_py() == 0:
-                held.append((node, comp, own.copy()))
-                continue
-            if not held:
-                continue
-            if index is None:
-                values = np.concatenate([h[2] for h in held])
-                owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-                index = values, owner, np.array([len(h[2]) for h in held])
-            values, owner, sizes = index
-            at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-            common = np.bincount(owner[own[at] == values], minlength=len(held))
-            for k in np.flatnonzero(_similar(common, sizes, len(own))):
-                if held[k][1] != comp:
-                    a.append(node)
-                    b.append(held[k][0])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
-    """``node``, ``comp`` of the linked nodes.  ``nodes``: ``node``, ``k1``, ``k2`` (key of one of its
-    texts), ``first``, ``second``."""
-    table = buckets(nodes)
-    pivots = materialize(table.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
-                         .where("n > 1").select("bucket", "pivot"), "pivots")
-    met = materialize(table.join(pivots, "bucket").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n")), "met")
-    # the pivot that a node meets in most tables; a node that is only ever a pivot itself is its own
-    order = Window.partitionBy("node").orderBy(F.col("pivot") == F.col("node"), F.desc("n"), "pivot")
-    starred = met.withColumn("at", F.row_number().over(order)).where("at = 1").select("node", "pivot") \
-        .withColumn("salt", F.when(F.col("node") == F.col("pivot"), F.lit(0))
-                    .otherwise(F.pmod(F.xxhash64("node"), F.lit(1 << 20))))
-    size = starred.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select("pivot", F.ceil(F.col("n") / STAR).alias("parts"))
-    size = materialize(size, "stars")
-    member = materialize(starred.join(size, "pivot").select(
-        "node", "pivot", F.pmod("salt", "parts").cast("int").alias("salt"), "parts"), "members")
-
-    # whole shingle sets of the nodes that meet another, from one copy of each text
+def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str = "text", width: int = WORDS):
+    """Function from ``node`` rows to ``node``, ``size``, ``elements``: the whole shingle set of one copy of
+    each node's text.  ``nodes``: ``node``, ``k1``, ``k2``."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(*_text_key("text"), "text") \
         .groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    wanted = nodes.select("node", "k1", "k2").join(member, "node") \
-        .join(size.select(F.col("pivot").alias("node"), F.col("parts").alias("centre_of")), "node", "left") \
-        .select("node", "k1", "k2", "pivot", "salt", F.col("centre_of").cast("int").alias("centre_of"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text"):
-                sets = shingle_sets([t.as_py().encode() for t in part.column("text")])
-                kept = ["node", "pivot", "salt", "centre_of"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 names=[*kept, "shingles"])
-
-    sets = materialize(texts.join(wanted, ["k1", "k2"]).select("node", "pivot", "salt", "centre_of", "text").mapInArrow(
-        shingle, "node long, pivot long, salt int, centre_of int, shingles binary"), "sets")
-
-    # every part of a star gets the centre's set, then its members'
-    centres = sets.where("centre_of is not null").select(
-        F.col("node").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("centre_of") - 1)).alias("salt"),
-        F.lit(False).alias("member"), "node", "shingles")
-    rows = sets.where("node <> pivot").select("pivot", "salt", F.lit(True).alias("member"), "node", "shingles").unionByName(centres)
-    first = materialize(
-        rows.repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "member", "node")
-        .select("pivot", "salt", "member", "node", "shingles").mapInArrow(_star_links, "a long, b long"), "star-links")
-    comps = materialize(components(first), "components")
-
-    # blocks: by the component of the star's centre, members of that component apart from the others
-    owned = materialize(member.select("node", "pivot").join(comps, "node", "left").select(
-        "node", "pivot", F.coalesce("comp", "node").alias("comp")), "owned")
-    around = materialize(owned.join(comps.select(F.col("node").alias("pivot"), F.col("comp").alias("home")), "pivot", "left").select(
-        "node", "comp", F.coalesce("home", "pivot").alias("home")).withColumn("inside", F.col("comp") == F.col("home")), "around")
-    many = materialize(around.groupBy("home", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "block-counts")
-    placed = materialize(around.join(many, ["home", "inside"]).select(
-        "node", "comp", F.xxhash64("home", "inside", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "blocks")
-    # nodes that share a bucket share its pivot; the buckets of one large group have few pivots between them
-    spread = materialize(met.join(placed, "node").groupBy("pivot", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")),
-                         "pivot-blocks")
-    mixed = materialize(spread.groupBy("pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                        .where("lo <> hi").select("pivot"), "mixed-pivots")
-    left = spread.join(mixed, "pivot")
-    # a block pair is of interest where its two blocks are not of one and the same component
-    pairs = left.selectExpr("pivot", "block as low", "lo as a_lo", "hi as a_hi").join(
-        left.selectExpr("pivot", "block as high", "lo as b_lo", "hi as b_hi"), "pivot") \
-        .where("low <= high and not (a_lo = a_hi and b_lo = b_hi and a_lo = b_lo)").select("low", "high").distinct()
-    pairs = materialize(pairs, "block-pairs")
-    sides = pairs.select("low", "high", F.col("low").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.select("low", "high", F.col("high").alias("block"), F.lit(1).alias("side")))
-    busy = materialize(sides.select("block").distinct(), "busy-blocks")
-    full = placed.join(busy, "block").join(sets.select("node", "shingles"), "node")
-    rest = sides.join(full, "block").repartition(F.col("low"), F.col("high")).sortWithinPartitions("low", "high", "side", "node") \
-        .select("low", "high", "side", "node", "comp", "shingles").mapInArrow(_block_links, "a long, b long")
-    return components(materialize(rest.unionByName(comps.selectExpr("node as a", "comp as b")), "links"))
+                sets = shingle_sets([t.as_py().encode() for t in part.column("text")], width)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
+                                                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "size", "elements"])
 
+    return lambda wanted: texts.join(nodes.select("node", "k1", "k2").join(wanted, "node"), ["k1", "k2"]).select("node", "text") \
+        .mapInArrow(shingle, "node long, size long, elements binary")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links) and
-    ``kept`` (whether that is its own)."""
+
+def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
+    """``node``, ``comp`` of the linked nodes.  ``nodes``: ``node``, ``k1``, ``k2`` (key of one of its
+    texts), ``first``, ``second``."""
+    return clusters.links(buckets(nodes), sets_of(docs, nodes, text_col), SIMILAR)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row ``doc_id``, ``k1``, ``k2``, ``n_shingles``, ``digest`` (of its set, null if empty) and
+    ``component_id`` (null where no row of its component has an id)."""
     rows = signatures(docs, id_col, text_col)
     classes = materialize(rows.where("n_shingles > 0").groupBy("digest").agg(
         F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
@@ -340,14 +223,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = materialize(links(docs, nodes, text_col), "components")
     linked = classes.join(comps, "node", "left").select("digest", "least", F.coalesce("comp", "node").alias("comp"))
     least = materialize(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
-    named = materialize(linked.join(least, "comp").select("digest", "component_id"), "named")
-    found = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")) \
+    named = materialize(linked.join(least, "comp").select("digest", "comp", "component_id"), "named")
+    return rows.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")) \
         .join(named, "digest", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links) and
+    ``kept`` (whether that is its own)."""
     own = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return _found(docs, id_col, text_col).select("doc_id", "n_shingles", own.alias("component_id"),
+                                                 F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: of each component those with the
+    smallest id (rows without one stay only if no row has one) and, of several texts under that id,
+    the one of the smallest text key.  Rows that repeat both stay together; rows without words
+    are linked with nothing and stay."""
+    found = _found(docs, id_col, text_col)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("one")
+    kept = found.where("comp is not null").groupBy("comp").agg(best).select("one.doc_id", "one.k1", "one.k2") \
+        .unionByName(found.where("comp is null").select("doc_id", "k1", "k2").distinct())
+    kept = materialize(kept.toDF("kept_id", "kept_k1", "kept_k2"), "kept")
+    k1, k2 = (k for k in _text_key(F.coalesce(docs[text_col], F.lit(""))))
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (k1 == kept["kept_k1"]) & (k2 == kept["kept_k2"]), "left_semi")
