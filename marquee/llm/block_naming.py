@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .columns import free_name
 
 BLOCK_CHARS = 2048
 
@@ -104,8 +105,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    sha = free_name(docs, "_kept_sha")
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    keyed = docs.withColumn("_kept_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    cond = keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed["_kept_sha"] == kept["_kept_sha"])
-    return keyed.join(kept, cond, "left_semi").dropDuplicates([id_col, "_kept_sha"]).drop("_kept_sha")
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    cond = keyed[id_col].eqNullSafe(kept["kept_id"]) & (keyed[sha] == kept["kept_sha"])
+    return keyed.join(kept, cond, "left_semi").dropDuplicates([id_col, sha]).drop(sha)

@@ -8,10 +8,11 @@ from the document labels weighs the encodings; the weighted sum is scored.
     score = sigmoid(c . z + c0)
 
 Training uses at most ``TRAIN_DOCS`` labelled documents of at most
-``TRAIN_BYTES`` bytes (those of the smallest hash of the id); the features of
-the sample are computed in tasks and the small model is fitted in numpy.
-Scoring covers every whole text: a long text is read in slices and leaves two
-numbers per passage.  No id, language, source or label enters a score.
+``TRAIN_BYTES`` bytes and ``TRAIN_PASSAGES`` passages together (those of the
+smallest hash of the id; of several texts under one id the smallest), so what
+reaches the driver has a fixed size; the features of the sample are computed in
+tasks and the small model is fitted in numpy.  Scoring covers every whole text:
+texts are read in slices of ``SLICE`` bytes and leave two numbers per passage.  No id, language, source or label enters a score.
 
 Edge cases: null text counts as empty (one empty passage); several labels of
 one document: the largest; a null id is never a training row and not held
@@ -26,21 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .columns import free_name
+
 PASSAGE_BYTES = 512
 TRAIN_DOCS = 4000
 TRAIN_BYTES = 1 << 20
+TRAIN_PASSAGES = 40_000
 THRESHOLD = 0.3
 FOLDS = 5
-SLICE = PASSAGE_BYTES * 8192
+SLICE = PASSAGE_BYTES * 1024
 GRAM, BINS = 6, 512
 
 
 def _class_table() -> np.ndarray:
     """Twelve classes of bytes: blank, line end, lower, upper, digit, six groups of signs, beyond ASCII."""
-    table = np.full(256, 10, dtype=np.int64)
+    table = np.full(256, 10, dtype=np.int32)
     groups = [b" ", b"\n\r\t\x0b\x0c", bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)),
               b".", b",;:'\"-", b"!?", b"|/\\_<>[]{}()", b"@#$%^&*+=~`"]
     for k, group in enumerate(groups):
@@ -68,7 +73,7 @@ def features(data: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
     grams ^= grams >> np.uint64(17)
     grams *= np.uint64(0x9E3779B97F4A7C15)
     whole = passage[GRAM - 1:] == passage[:len(grams)] if len(grams) else np.zeros(0, bool)
-    slot = passage[:len(grams)] * BINS + (grams >> np.uint64(55)).astype(np.int64)
+    slot = passage[:len(grams)] * BINS + (grams >> np.uint64(55)).astype(np.int32)
     filled = np.zeros(n * BINS, dtype=bool)
     filled[slot[whole]] = True
     room = np.maximum(size - GRAM + 1, 0)
@@ -87,7 +92,7 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         per = np.maximum(1, -(-size // PASSAGE_BYTES))
         first = np.cumsum(per) - per
         start = np.repeat(np.cumsum(size) - size, size)
-        passage = np.repeat(first, size) + (np.arange(size.sum()) - start) // PASSAGE_BYTES
+        passage = (np.repeat(first, size) + (np.arange(size.sum()) - start) // PASSAGE_BYTES).astype(np.int32)
         return np.frombuffer(b"".join(parts), np.uint8), passage, np.repeat(np.array(owner), per)
 
     for k, text in enumerate(texts):
@@ -211,9 +216,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())],
                                              names=["doc_id", "label", "bag"])
 
-    picked = src.join(F.broadcast(sample), src["doc_id"] == sample["label_id"]) \
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
-    rows = picked.mapInArrow(run, "doc_id long, label int, bag binary").collect()
+    picked = materialize(src.join(F.broadcast(sample), src["doc_id"] == sample["label_id"])
+                         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+                             F.max("label").cast("int").alias("label"), F.min("text").alias("text")), "training-texts")
+    # at most train_docs rows in one window
+    held = F.sum(F.ceil(F.greatest(F.octet_length("text"), F.lit(1)) / PASSAGE_BYTES)).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    room = picked.select(F.col("doc_id").alias("label_id"), held.alias("held")).where(F.col("held") <= TRAIN_PASSAGES)
+    chosen = picked.join(F.broadcast(room), picked["doc_id"] == room["label_id"]).select("doc_id", "label", "text")
+    rows = chosen.mapInArrow(run, "doc_id long, label int, bag binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
     model = Attention()
     if rows:
@@ -230,7 +240,14 @@ def score(docs: DataFrame, model: Attention, text_col: str = "text", out_col: st
         import pandas as pd
 
         fitted = Attention(theta.value)
-        return pd.Series(fitted.score([t.encode() for t in texts]) if len(texts) else np.zeros(0))
+        out, held, size = [np.zeros(0)], [], 0
+        for text in texts:
+            held.append(text.encode())
+            size += len(held[-1]) + 64
+            if size >= SLICE:
+                out.append(fitted.score(held))
+                held, size = [], 0
+        return pd.Series(np.concatenate([*out, fitted.score(held)] if held else out))
 
     return docs.withColumn(out_col, scored(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -248,4 +265,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    return score(docs, train(docs, labels, id_col, text_col), text_col, "_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    name = free_name(docs, "_quality")
+    return score(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) >= threshold).drop(name)
