@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, block_naming, bpe, collocations, licenses, near_dup, packing, pii, quality, repeats, topk, warc
+from . import alignment, block_naming, bpe, collocations, jaccard_join, licenses, near_dup, packing, pii, quality, repeats, topk, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -137,3 +137,8 @@ def op12_fm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_fm_collocations"] = collocations.oracle()
+
+
+@query
+def op13_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(_table(spark, sf_dir, "documents"))
