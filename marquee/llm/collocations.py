@@ -16,7 +16,8 @@ at once: words to the left into pairs, pairs to the right into triples, and so
 on in turns.  The counts (interval sizes) of all shards are summed in Spark,
 pre-aggregated before the shuffle, so no shard decides what is frequent.
 
-Scores are exact: products in decimals of 38 digits (counts below 10**15),
+Frequent words are numbered by count (fewer than 2**31 of them; the numbering
+fails otherwise).  Scores are exact: products in decimals of 38 digits (counts below 10**15),
 then integer division.
 
 Edge cases: null text counts as empty, a null language as ``und``; very long
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ordered_index
 from ..session import materialize
 from .bpe import sliced
 
@@ -141,24 +143,26 @@ class Index:
     def __init__(self, seq: np.ndarray, depth: int):
         n = len(seq)
         padded = np.concatenate([seq, np.zeros(depth, seq.dtype)])
-        order = np.lexsort([padded[k:k + n] for k in reversed(range(depth))])
+        order = np.arange(n, dtype=np.int32)
+        for k in reversed(range(depth)):
+            order = order[np.argsort(padded[k:k + n][order], kind="stable")]
         self.bwt = seq[order - 1]  # the sequence starts with 0, so the symbol before its start is a break
         self.first = np.searchsorted(seq[order], np.arange(int(seq.max()) + 2))
         # LF: row of the suffix that begins one symbol earlier
         by_symbol = np.argsort(self.bwt, kind="stable")
-        self.lf = np.empty(n, np.int64)
-        self.lf[by_symbol] = np.arange(n)
+        self.lf = np.empty(n, np.int32)
+        self.lf[by_symbol] = np.arange(n, dtype=np.int32)
 
     def extend(self, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
         """Extensions of patterns by the symbols before them.  ``start``, ``size``: their intervals;
         ``other``: starts of their intervals in the index of the reverse.  Returns per extension
         the pattern, the symbol, start, size and the start in the other index; breaks are left out."""
-        owner = np.repeat(np.arange(len(start)), size)
-        row = np.arange(len(owner)) + np.repeat(start - np.cumsum(size) + size, size)
-        symbol = self.bwt[row]
+        owner = np.repeat(np.arange(len(start), dtype=np.int32), size)
+        row = np.arange(len(owner), dtype=np.int32) + np.repeat((start - np.cumsum(size) + size).astype(np.int32), size)
         # by pattern, then symbol; equal ones stay in row order
-        order = np.argsort(owner * (len(self.first) + 1) + symbol, kind="stable")
-        owner, symbol, row = owner[order], symbol[order], row[order]
+        order = np.argsort(owner.astype(np.int64) * (len(self.first) + 1) + self.bwt[row], kind="stable").astype(np.int32)
+        owner, row = owner[order], row[order]
+        symbol = self.bwt[row]
         new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])])) if len(owner) else \
             np.zeros(0, np.int64)
         count = np.diff(np.concatenate([new, [len(owner)]]))
@@ -171,9 +175,9 @@ class Index:
 
 def phrases(seq: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words (a row per phrase) and counts of all phrases of 2 to ``depth`` symbols without breaks."""
-    seq = np.concatenate([[0], seq, [0]]).astype(np.int64)
+    seq = np.concatenate([[0], seq, [0]]).astype(np.int32)
     forward, reverse = Index(seq, depth), Index(seq[::-1].copy(), depth)
-    words = np.arange(1, len(forward.first) - 1)
+    words = np.arange(1, len(forward.first) - 1, dtype=np.int32)
     start = forward.first[words]
     size = forward.first[words + 1] - start
     words, start, size = words[size > 0], start[size > 0], size[size > 0]
@@ -190,26 +194,25 @@ def phrases(seq: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 def _phrase_rows(depth: int):
     names = [f"w{k}" for k in range(1, depth + 1)]
-    schema = pa.schema([*((n, pa.int64()) for n in names), ("n", pa.int64())])
+    schema = pa.schema([*((n, pa.int32()) for n in names), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 found = batch.column("found")[row].values
                 seq = np.frombuffer(batch.column("seq")[row].as_buffer(), np.int32)
-                ids = np.zeros(int(seq.max(initial=0)) + 1, np.int64) - 1
+                ids = np.full(int(seq.max(initial=0)) + 1, -1, np.int32)
                 ids[found.field("at").to_numpy() + 1] = found.field("id").to_numpy()
                 known = np.flatnonzero(ids >= 0)
-                local = np.zeros(len(ids), np.int64)
+                local = np.zeros(len(ids), np.int32)
                 local[known] = np.arange(1, len(known) + 1)  # the other words are breaks
                 seq = local[seq]
                 seq = seq[(seq > 0) | np.concatenate([[True], seq[:-1] > 0])] if len(seq) else seq
                 for words, count in phrases(seq, depth):
-                    words = ids[known][words - 1]
                     for at in range(0, len(count), 1 << 16):
-                        part = [pa.array(words[at:at + (1 << 16), k]) if k < words.shape[1] else
-                                pa.nulls(min(1 << 16, len(count) - at), pa.int64()) for k in range(depth)]
-                        yield pa.RecordBatch.from_arrays([*part, pa.array(count[at:at + (1 << 16)])], schema=schema)
+                        here = ids[known][words[at:at + (1 << 16)] - 1]
+                        part = [pa.array(here[:, k]) if k < here.shape[1] else pa.nulls(len(here), pa.int32()) for k in range(depth)]
+                        yield pa.RecordBatch.from_arrays([*part, pa.array(count[at:at + (1 << 16)].astype(np.int64))], schema=schema)
 
     return run
 
@@ -221,13 +224,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     seen = rows.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     counted = materialize(seen.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")), "word-counts")
     total = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    known = materialize(counted.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "words")
+    # ids in order of count: small numbers, which shuffle well, for frequent words
+    known = materialize(ordered_index(counted.where(F.col("f") >= least), [F.desc("f"), "lang", "word"], "id"), "words")
 
-    wanted = rows.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(known.select("lang", "word", "id"), ["lang", "word"])
+    wanted = rows.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(known.select("lang", "word", F.col("id").cast("int").alias("id")), ["lang", "word"])
     found = wanted.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))  # a shard's own words
     columns = [f"w{k}" for k in range(1, depth + 1)]
     per_shard = rows.select("shard", "seq").join(found, "shard").select("seq", "found").mapInArrow(
-        _phrase_rows(depth), ", ".join(f"{c} long" for c in columns) + ", n long")
+        _phrase_rows(depth), ", ".join(f"{c} int" for c in columns) + ", n long")
     f = materialize(per_shard.groupBy(*columns).agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
 
     cands = None
@@ -250,7 +254,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         cands = here if cands is None else cands.unionByName(here)
     cands = materialize(cands, "candidates")
     for k, c in enumerate(columns):
-        word = known.select(F.col("id").alias(c), F.col("word").alias(f"t{k + 1}"), *([F.col("lang")] if k == 0 else []))
+        word = known.select(F.col("id").cast("int").alias(c), F.col("word").alias(f"t{k + 1}"), *([F.col("lang")] if k == 0 else []))
         cands = cands.join(word, c, "inner" if k < 2 else "left")
     cands = cands.select("lang", F.concat_ws(" ", *(f"t{k + 1}" for k in range(depth))).alias("phrase"), "a", "l", "r", "score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
@@ -267,7 +271,7 @@ def _score(a: str, left: str, right: str):
 def _count_of(rows: DataFrame, part: list[str], name: str, f: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
     """``rows`` with the count of the words in columns ``part``."""
     if len(part) == 1:
-        return rows.join(known.select(F.col("id").alias(part[0]), F.col("f").alias(name)), part[0])
+        return rows.join(known.select(F.col("id").cast("int").alias(part[0]), F.col("f").alias(name)), part[0])
     of = f.where(f"{columns[len(part) - 1]} is not null" + (f" and {columns[len(part)]} is null" if len(part) < len(columns) else ""))
     return rows.join(of.select(*(F.col(columns[k]).alias(c) for k, c in enumerate(part)), F.col("f").alias(name)), part)
 
