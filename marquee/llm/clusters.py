@@ -29,7 +29,7 @@ from ..session import materialize
 from .components import components
 
 STAR = 64  # members compared with one copy of a star's centre
-BLOCK = 1 << 20  # elements of the sets in one block
+BLOCK = 1 << 19  # elements of the sets in one block
 
 
 def _as_set(raw) -> np.ndarray:
@@ -127,22 +127,23 @@ def _block_links(percent: int):
 
 def links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``node``, ``comp`` of the linked nodes.  ``buckets``: ``bucket``, ``node``; ``sets_of`` gets
-    ``node`` rows and returns ``node``, ``size``, ``elements`` (sorted distinct 64-bit integers, packed)."""
+    rows with a ``node`` and adds ``size`` and ``elements`` (sorted distinct 64-bit integers, packed)."""
     pivots = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
                          .where("n > 1").select("bucket", "pivot"), "pivots")
     met = materialize(buckets.join(pivots, "bucket").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n")), "met")
-    sets = materialize(sets_of(met.select("node").distinct()).select("node", "size", "elements"), "sets")
-
     # the pivot that a node meets in most buckets; a node that is only ever a pivot itself is its own
     order = Window.partitionBy("node").orderBy(F.col("pivot") == F.col("node"), F.desc("n"), "pivot")
     star = materialize(met.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("node", "pivot"), "stars")
-    members = star.where("node <> pivot")
-    parts = materialize(members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")), "star-parts")
-    rows = members.join(parts, "pivot").select(
-        "pivot", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(True).alias("member"), "node") \
-        .unionByName(parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"),
-                                  F.col("pivot").alias("node")))
-    first = materialize(rows.join(sets.select("node", "elements"), "node").repartition(F.col("pivot"), F.col("part"))
+    parts = materialize(star.where("node <> pivot").groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")), "star-parts")
+    # each node with its place in a star, and in how many parts it is the centre; sets travel once
+    wanted = star.join(parts, "pivot", "left").select("node", "pivot", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")) \
+        .join(parts.select(F.col("pivot").alias("node"), F.col("parts").alias("centre_of")), "node", "left")
+    sets = materialize(sets_of(wanted), "sets")
+    as_member = sets.where("node <> pivot").select("pivot", "part", F.lit(True).alias("member"), "node", "elements")
+    as_centre = sets.where("centre_of is not null").select(
+        F.col("node").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("centre_of") - 1)).alias("part"), F.lit(False).alias("member"),
+        "node", "elements")
+    first = materialize(as_member.unionByName(as_centre).repartition(F.col("pivot"), F.col("part"))
                         .sortWithinPartitions("pivot", "part", "member", "node").select("pivot", "part", "member", "node", "elements")
                         .mapInArrow(_star_links(percent), "a long, b long"), "star-links")
     comps = materialize(components(first), "components")

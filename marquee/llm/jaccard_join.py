@@ -125,7 +125,7 @@ def bands(size: int, percent: int = PERCENT) -> list[int]:
 
 
 _SIGNED = ("row long, doc_id long, k1 long, k2 long, n_shingles long, digest binary, "
-           "keys array<struct<band: int, keep: int, keys: array<long>>>")
+           "keys array<struct<own: boolean, keep: int, keys: array<long>>>")
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -133,13 +133,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     it is indexed under (null: all); written."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", *_text_key("text"), "text")
-    band = pa.struct([("band", pa.int32()), ("keep", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    band = pa.struct([("own", pa.bool_()), ("keep", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def keyed(own: np.ndarray) -> list[dict]:
         out = []
         for k in bands(len(own), percent) if len(own) else []:
             keys, deletions = part_keys(own, k, percent)
-            out.append({"band": k, "keep": None if deletions else differing(len(own), percent) + 1, "keys": keys.view(np.int64)})
+            out.append({"own": k == band_of(len(own)), "keep": None if deletions else differing(len(own), percent) + 1, "keys": keys.view(np.int64)})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +159,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 def index(nodes: DataFrame) -> DataFrame:
     """``bucket``, ``node`` of the keys that several nodes are indexed under, or may be.
     ``nodes``: ``node``, ``keys``."""
-    of = nodes.select("node", F.explode("keys").alias("b")).select("node", "b.band", "b.keep", F.size("b.keys").alias("m"), F.col("b.keys").alias("keys"))
-    keys = of.select("node", F.explode("keys").alias("key"))
+    of = nodes.select("node", F.explode("keys").alias("b")).select(
+        (F.col("node") * 2 + F.when(F.col("b.own"), 1).otherwise(0)).alias("place"), "node", "b.keep", "b.keys")
+    keys = of.select("place", F.explode("keys").alias("key"))
     # keys that one node has alone come first in the order of rarity, but never meet another
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
-    met = materialize(of.select("node", "band", "keep", "m", F.explode("keys").alias("key")).join(shared, "key"), "met-keys")
-    rarest = Window.partitionBy("node", "band").orderBy("n", "key")
-    all_of = F.count(F.lit(1)).over(Window.partitionBy("node", "band"))
-    placed = met.withColumn("at", F.row_number().over(rarest)).withColumn("alone", F.col("m") - all_of)
-    return materialize(placed.where("keep is null or alone + at <= keep").select(F.col("key").alias("bucket"), "node"), "index")
+    met = materialize(keys.join(shared, "key"), "met-keys")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("n", "key"))
+    many = F.count(F.lit(1)).over(Window.partitionBy("place"))
+    placed = met.select("place", "key", rank.alias("rank"), many.alias("many")).join(
+        of.select("place", "node", "keep", F.size("keys").alias("m")), "place")
+    return materialize(placed.where("keep is null or m - many + rank <= keep").select(F.col("key").alias("bucket"), "node"), "index")
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

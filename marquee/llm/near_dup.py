@@ -190,20 +190,25 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, text_col: str = "text", width: int = WORDS):
-    """Function from ``node`` rows to ``node``, ``size``, ``elements``: the whole shingle set of one copy of
-    each node's text.  ``nodes``: ``node``, ``k1``, ``k2``."""
+    """Function that adds ``size`` and ``elements`` to rows with a ``node``: the whole shingle set of one
+    copy of the node's text.  ``nodes``: ``node``, ``k1``, ``k2``."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(*_text_key("text"), "text") \
         .groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, "text"):
-                sets = shingle_sets([t.as_py().encode() for t in part.column("text")], width)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "size", "elements"])
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        kept = wanted.columns
+
+        def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in sliced(batch, "text"):
+                    sets = shingle_sets([t.as_py().encode() for t in part.column("text")], width)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([len(s) for s in sets], pa.int64()),
+                                                      pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "size", "elements"])
+
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema) + ", size long, elements binary"
+        return texts.join(nodes.select("node", "k1", "k2").join(wanted, "node"), ["k1", "k2"]).select(*kept, "text").mapInArrow(shingle, ddl)
 
-    return lambda wanted: texts.join(nodes.select("node", "k1", "k2").join(wanted, "node"), ["k1", "k2"]).select("node", "text") \
-        .mapInArrow(shingle, "node long, size long, elements binary")
+    return with_sets
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
