@@ -1,7 +1,9 @@
 """Collaborative filtering (P-20, A-08, M-05, M-06, M-07, J-14).
 
-Factors are long form ``(id, dim, value)`` so an update is joins and sums,
-keyed by the real ids (the reference recomputed codes per chunk, D-02).
+Stored factors are long form ``(id, dim, value)``, keyed by the real ids (the
+reference recomputed codes per chunk, D-02).  Updates work on one array per id,
+so a rating cell is one row of a join, whatever the number of dimensions, and
+the sums over cells are vector-valued partial aggregates.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeded import seeded_uniform
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, scratch_path
 from .ordering import ordered_index
 
 # Latent dimensions, regularisation λ, learning rate η, seed,
@@ -52,6 +54,65 @@ def factor_init(ids: DataFrame, id_col: str, k: int = N_COMPONENTS, seed: int =
     return base.select(id_col, "dim", (z * std).alias("value"))
 
 
+def to_vectors(long_f: DataFrame, id_col: str, k: int = N_COMPONENTS) -> DataFrame:
+    """Long form → ``(id, vec)``, the dims 0 … k-1 as an array (null where a dim has no row)."""
+    return long_f.groupBy(id_col).agg(F.array(*[F.max(F.when(F.col("dim") == d, F.col("value"))) for d in range(k)]).alias("vec"))
+
+
+def to_long(vectors: DataFrame, id_col: str) -> DataFrame:
+    """``(id, vec)`` → long form."""
+    return vectors.select(id_col, F.posexplode("vec").alias("dim", "value")).where(F.col("value").isNotNull())
+
+
+def init_vectors(ids: DataFrame, id_col: str, k: int = N_COMPONENTS, seed: int = SEED, std: float = INIT_STD) -> DataFrame:
+    """:func:`factor_init` as one array per id."""
+    def draw(dim):
+        u1, u2 = (seeded_uniform(F.col(id_col), dim, seed, salt) for salt in (1, 2))
+        return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2) * std
+
+    return ids.select(id_col).distinct().select(id_col, F.array(*[draw(F.lit(d)) for d in range(k)]).alias("vec"))
+
+
+def _weighted_sum(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """``s`` per key: the vectors of its rows times ``c · r``, summed.  One row of k sums per key and
+    map task is shuffled, so neither the dimensions nor a hot key multiply the rows."""
+    w = F.col("c") * F.col("r")
+    return rows.groupBy(key).agg(F.array(*[F.sum(w * F.col("vec")[d]) for d in range(k)]).alias("s"))
+
+
+def _moved(old, s, decay: float, lr: float):
+    both = F.zip_with(old, s, lambda o, n: F.when(o.isNull(), n).when(n.isNull(), o).otherwise(decay * o + lr * n))
+    return F.when(old.isNull(), s).when(s.isNull(), old).otherwise(both)
+
+
+def update_vectors(batch: DataFrame, users: DataFrame, items: DataFrame, k: int = N_COMPONENTS, reg: float = REGULARIZATION,
+                   lr: float = LEARNING_RATE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """M-06 on ``(user_id, vec)`` and ``(movie_id, vec)``: the rows that the batch changes or adds.
+
+    The batch's own items (then users) are written with their counts first, so the joins with the
+    cells are between plain shuffles, which AQE splits for an id that very many cells share."""
+    rated = batch.where(F.col("rating").isNotNull())
+    cells = materialize(user_item_matrix(rated), "batch-cells")
+    c_item = rated.groupBy("movie_id").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    c_user = rated.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    decay = 1.0 - lr * reg
+
+    new_items = c_item.select("movie_id").join(items.select("movie_id"), "movie_id", "left_anti")
+    own_items = materialize(items.unionByName(init_vectors(new_items, "movie_id", k, seed)).join(c_item, "movie_id"), "batch-items")
+    u_sum = _weighted_sum(cells.join(own_items, "movie_id"), "user_id", k)
+    changed_users = u_sum.join(users, "user_id", "left").select("user_id", _moved(F.col("vec"), F.col("s"), decay, lr).alias("vec"))
+    changed_users = materialize(changed_users.join(c_user, "user_id"), "batch-users")
+
+    i_sum = _weighted_sum(cells.join(changed_users, "user_id"), "movie_id", k)
+    changed_items = own_items.join(i_sum, "movie_id").select("movie_id", _moved(F.col("vec"), F.col("s"), decay, lr).alias("vec"))
+    return changed_users.drop("c"), changed_items
+
+
+def latest(old: DataFrame, changed: DataFrame, id_col: str) -> DataFrame:
+    """``old`` with the rows of ``changed`` in place of those with the same id, and its new ids."""
+    return old.join(changed.select(id_col), id_col, "left_anti").unionByName(changed)
+
+
 def factor_update(batch: DataFrame, user_f: DataFrame, item_f: DataFrame, k: int = N_COMPONENTS,
                   reg: float = REGULARIZATION, lr: float = LEARNING_RATE, seed: int = SEED):
     """M-06: one incremental update on a batch of ratings (equations of the
@@ -60,69 +121,77 @@ def factor_update(batch: DataFrame, user_f: DataFrame, item_f: DataFrame, k: int
     ``Σ_i c_i R_ui V_i``; new users start at that sum; then items (new items
     first get initial factors) move towards ``Σ_u c_u R_ui U'_u``.
 
-    Returns ``(user factors, item factors)`` including untouched ids.
+    Takes and returns long form with the dims 0 … k-1: ``(user factors, item
+    factors)`` including untouched ids.
     """
-    rated = batch.where(F.col("rating").isNotNull())
-    cells = user_item_matrix(rated)
-    c_item = rated.groupBy("movie_id").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    c_user = rated.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    decay = 1.0 - lr * reg
+    users, items = to_vectors(user_f, "user_id", k), to_vectors(item_f, "movie_id", k)
+    changed_users, changed_items = update_vectors(batch, users, items, k, reg, lr, seed)
+    return (to_long(latest(users, changed_users, "user_id"), "user_id"),
+            to_long(latest(items, materialize(changed_items, "changed-items"), "movie_id"), "movie_id"))
 
-    new_items = rated.select("movie_id").distinct().join(item_f.select("movie_id").distinct(), "movie_id", "left_anti")
-    items = item_f.unionByName(factor_init(new_items, "movie_id", k, seed))
 
-    u_sum = (cells.join(c_item, "movie_id").join(items, "movie_id")
-             .groupBy("user_id", "dim").agg(F.sum(F.col("c") * F.col("r") * F.col("value")).alias("s")))
-    u_old = user_f.withColumnRenamed("value", "old")
-    users = (u_old.join(u_sum, ["user_id", "dim"], "full")
-             .select("user_id", "dim",
-                     F.when(F.col("old").isNull(), F.col("s"))
-                      .when(F.col("s").isNull(), F.col("old"))
-                      .otherwise(decay * F.col("old") + lr * F.col("s")).alias("value")))
-
-    i_sum = (cells.join(c_user, "user_id").join(users, "user_id")
-             .groupBy("movie_id", "dim").agg(F.sum(F.col("c") * F.col("r") * F.col("value")).alias("s")))
-    i_new = (items.withColumnRenamed("value", "old").join(i_sum, ["movie_id", "dim"], "left")
-             .select("movie_id", "dim",
-                     F.when(F.col("s").isNull(), F.col("old"))
-                      .otherwise(decay * F.col("old") + lr * F.col("s")).alias("value")))
-    return users, i_new
+# Slices whose changed rows are kept beside the base table before both are written as one.
+COMPACT_EVERY = 8
 
 
 def cf_train_incremental(ratings: DataFrame, order: list[str], batch_rows: int = BATCH_ROWS,
-                         k: int = N_COMPONENTS, seed: int = SEED, skip_first: bool = False):
-    """M-07 option: fold :func:`factor_update` over time-ordered slices of
+                         k: int = N_COMPONENTS, seed: int = SEED, skip_first: bool = False, compact_every: int = COMPACT_EVERY):
+    """M-07 option: fold the update over time-ordered slices of
     ``batch_rows`` ratings.  The first slice initialises factors (and with
-    ``skip_first`` is not learned from, as in the reference, D-03).  Each
-    step's output is written to the shared checkpoint folder so lineage stays
-    short and a lost executor recomputes one step, not the whole fold.
+    ``skip_first`` is not learned from, as in the reference, D-03).
+
+    Ratings are written once, partitioned by slice, so a step opens its own
+    slice's files only.  A step writes the rows it changed as a delta with its
+    number; the next one reads the ids of its slice from the base and the
+    deltas and takes the latest version.  Every ``compact_every`` steps base
+    and deltas are written as a new base.  A lost executor recomputes one step.
     """
-    ensure_checkpoint_dir(ratings.sparkSession)
+    spark = ratings.sparkSession
+    ensure_checkpoint_dir(spark)
     rated = ratings.where(F.col("rating").isNotNull())
-    indexed = ordered_index(rated, order, "_pos").withColumn("_slice", F.floor(F.col("_pos") / batch_rows))
-    n_slices = indexed.agg(F.max("_slice")).first()[0]
+    indexed = ordered_index(rated, order, "_pos").select(
+        "user_id", "movie_id", "rating", F.floor(F.col("_pos") / batch_rows).alias("slice"))
+    path = scratch_path(spark, "slices")
+    indexed.repartition(F.col("slice")).write.partitionBy("slice").parquet(path)  # at most batch_rows rows a task
+    slices = spark.read.schema(indexed.schema).parquet(path)
+    n_slices = slices.agg(F.max("slice")).first()[0]
     n_slices = 0 if n_slices is None else int(n_slices) + 1
-    first = indexed.where(F.col("_slice") == 0)
-    users = materialize(factor_init(first, "user_id", k, seed), "user-factors")
-    items = materialize(factor_init(first, "movie_id", k, seed), "item-factors")
+    first = slices.where(F.col("slice") == 0)
+    versions = {c: [materialize(init_vectors(first, c, k, seed).withColumn("version", F.lit(-1)), "factors")] for c in ("user_id", "movie_id")}
+
+    def now(id_col: str, ids: DataFrame | None = None) -> DataFrame:
+        """Latest vector per id, of ``ids`` only if given."""
+        rows = None
+        for v in versions[id_col]:
+            v = v if ids is None else v.join(ids, id_col, "left_semi")
+            rows = v if rows is None else rows.unionByName(v)
+        return rows.groupBy(id_col).agg(F.max_by("vec", "version").alias("vec"))
+
     for b in range(0 if not skip_first else 1, n_slices):
-        sl = indexed.where(F.col("_slice") == b)
-        users, items = factor_update(sl, users, items, k, seed=seed)
-        users, items = materialize(users, "user-factors"), materialize(items, "item-factors")
-    return users, items
+        own = slices.where(F.col("slice") == b)
+        state = [materialize(now(c, own.select(c).distinct()), "slice-factors") for c in versions]
+        for c, changed in zip(versions, update_vectors(own, *state, k, seed=seed), strict=True):
+            versions[c].append(materialize(changed.withColumn("version", F.lit(b)), "delta"))
+            if len(versions[c]) > compact_every:
+                versions[c] = [materialize(now(c).withColumn("version", F.lit(b)), "factors")]
+    return to_long(now("user_id"), "user_id"), to_long(now("movie_id"), "movie_id")
 
 
 def cf_train_als(ratings: DataFrame, rank: int = N_COMPONENTS, seed: int = SEED, max_iter: int = 10,
                  reg: float = REGULARIZATION):
     """M-07 default: ``pyspark.ml`` ALS on summed (user, movie) cells; cold-start
-    rows are dropped at prediction time."""
+    rows are dropped at prediction time.  MLlib wants 32-bit ids, so both ids
+    go in as dense codes (:func:`category_codes`); returns ``(model, user
+    codes (user_id, code), movie codes (movie_id, code))``."""
     from pyspark.ml.recommendation import ALS
 
-    cells = user_item_matrix(ratings).select(F.col("user_id").cast("int").alias("user"),
-                                              F.col("movie_id").cast("int").alias("item"), "r")
+    cells = user_item_matrix(ratings)
+    users, movies = (materialize(category_codes(cells, c), "codes") for c in ("user_id", "movie_id"))
+    coded = cells.join(users.select("user_id", F.col("code").alias("user")), "user_id") \
+        .join(movies.select("movie_id", F.col("code").alias("item")), "movie_id").select("user", "item", "r")
     als = ALS(rank=rank, seed=seed, maxIter=max_iter, regParam=reg, userCol="user", itemCol="item",
               ratingCol="r", coldStartStrategy="drop", nonnegative=False)
-    return als.fit(cells)
+    return als.fit(coded), users, movies
 
 
 def cf_scores(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame) -> DataFrame:
@@ -135,11 +204,10 @@ def cf_scores(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame) -> DataFra
             .groupBy("user_id", "movie_id").agg(F.sum(F.col("u") * F.col("v")).alias("cf_score")))
 
 
-def model_factors_long(model) -> tuple[DataFrame, DataFrame]:
-    """ALS model factor arrays → long form ``(id, dim, value)``."""
-    uf = model.userFactors.select(F.col("id").cast("bigint").alias("user_id"),
-                                  F.posexplode("features").alias("dim", "value"))
-    vf = model.itemFactors.select(F.col("id").cast("bigint").alias("movie_id"),
-                                  F.posexplode("features").alias("dim", "value"))
-    return (uf.withColumn("value", F.col("value").cast("double")),
-            vf.withColumn("value", F.col("value").cast("double")))
+def model_factors_long(model, users: DataFrame, movies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ALS model factor arrays → long form ``(id, dim, value)`` under the real ids."""
+    def named(factors, codes, id_col):
+        return factors.join(codes.withColumnRenamed("code", "id"), "id").select(
+            id_col, F.posexplode("features").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+    return named(model.userFactors, users, "user_id"), named(model.itemFactors, movies, "movie_id")

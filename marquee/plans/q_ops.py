@@ -55,21 +55,22 @@ def q_factor_init(spark, sf):
 
 
 _UPDATE = f"""
-batch AS (select * from fx_ratings where rating is not null and updated_at > timestamp '{qe.RATINGS_CUTOFF}'),
-u0 AS (select * from fx_user_factors where user_id in (select user_id from fx_watch)),
-cells AS (select user_id, movie_id, cast(sum(rating) as double) as r from batch group by 1, 2),
+batch AS MATERIALIZED (select user_id, movie_id, rating from fx_ratings where rating is not null and updated_at > timestamp '{qe.RATINGS_CUTOFF}'),
+u0 AS MATERIALIZED (select * from fx_user_factors where user_id in (select user_id from fx_watch)),
+v0 AS MATERIALIZED (select * from fx_item_factors),
+cells AS MATERIALIZED (select user_id, movie_id, cast(sum(rating) as double) as r from batch group by 1, 2),
 ci AS (select movie_id, cast(count(*) as double) as c from batch group by 1),
 cu AS (select user_id, cast(count(*) as double) as c from batch group by 1),
-us AS (select cells.user_id, v.dim, sum(ci.c * cells.r * v.value) as s
-       from cells join ci using (movie_id) join fx_item_factors v using (movie_id) group by 1, 2),
-u1 AS (select coalesce(u0.user_id, us.user_id) as user_id, coalesce(u0.dim, us.dim) as dim,
+us AS MATERIALIZED (select cells.user_id, v.dim, sum(ci.c * cells.r * v.value) as s
+       from cells join ci using (movie_id) join v0 v using (movie_id) group by 1, 2),
+u1 AS MATERIALIZED (select coalesce(u0.user_id, us.user_id) as user_id, coalesce(u0.dim, us.dim) as dim,
               case when u0.value is null then us.s when us.s is null then u0.value
                    else (1 - 0.1 * 0.01) * u0.value + 0.1 * us.s end as value
        from u0 full outer join us on u0.user_id = us.user_id and u0.dim = us.dim),
-isum AS (select cells.movie_id, u1.dim, sum(cu.c * cells.r * u1.value) as s
+isum AS MATERIALIZED (select cells.movie_id, u1.dim, sum(cu.c * cells.r * u1.value) as s
          from cells join cu using (user_id) join u1 using (user_id) group by 1, 2),
 v1 AS (select v.movie_id, v.dim, case when isum.s is null then v.value else (1 - 0.1 * 0.01) * v.value + 0.1 * isum.s end as value
-       from fx_item_factors v left join isum on v.movie_id = isum.movie_id and v.dim = isum.dim)"""
+       from v0 v left join isum on v.movie_id = isum.movie_id and v.dim = isum.dim)"""
 
 
 def _update(spark, sf):
@@ -104,9 +105,9 @@ def q_cf_train(spark, sf):
 
 @query("cf_train_als")
 def q_cf_train_als(spark, sf):
-    """M-07 default model: MLlib ALS (rank 50, seed 42) on summed cells."""
-    model = cf.cf_train_als(Tables(spark, sf).ratings)
-    return model.userFactors
+    """M-07 default model: MLlib ALS (rank 50, seed 42) on summed cells; user factors under the real ids."""
+    model, users, movies = cf.cf_train_als(Tables(spark, sf).ratings)
+    return cf.model_factors_long(model, users, movies)[0]
 
 
 @query("cf_scores", cte("fx_ratings", "fx_movies", "fx_user_factors", "fx_item_factors", extra=qe._HOLDOUT) +

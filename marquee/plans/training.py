@@ -54,8 +54,7 @@ def train_all(movies: DataFrame, ratings: DataFrame, watch: DataFrame, out_dir:
         spark.read.parquet(p_uri).agg(F.count(F.lit(1)).alias("num_popular_movies")), p_uri))
 
     if use_als:
-        model = cf.cf_train_als(ratings, rank=cf_rank)
-        uf, itf = cf.model_factors_long(model)
+        uf, itf = cf.model_factors_long(*cf.cf_train_als(ratings, rank=cf_rank))
     else:
         uf, itf = cf.cf_train_incremental(ratings, rating_order, k=cf_rank)
     counts = rating_counts(ratings.where(F.col("rating").isNotNull()))

@@ -80,10 +80,10 @@ def test_als_shape_and_coverage(spark):
     """SURVEY §5 (5): ALS is checked by shape and coverage, not values."""
     from marquee.operators import collaborative as cf
     t = Tables(spark, SF)
-    model = cf.cf_train_als(t.ratings, rank=8, max_iter=3)
+    model, user_codes, movie_codes = cf.cf_train_als(t.ratings, rank=8, max_iter=3)
     users = t.ratings.where("rating is not null").select("user_id").distinct().count()
     items = t.ratings.where("rating is not null").select("movie_id").distinct().count()
     assert model.userFactors.count() == users and model.itemFactors.count() == items
     assert model.userFactors.where(F.size("features") != 8).count() == 0
-    uf, vf = cf.model_factors_long(model)
+    uf, vf = cf.model_factors_long(model, user_codes, movie_codes)
     assert uf.count() == users * 8 and vf.count() == items * 8
