@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import hybrid_alpha_beta, title_or_unknown
 from ..session import materialize
-from . import content, scoring
+from . import collaborative, content, scoring
 
 RECS_TOP_N = 20
 SIMILAR_TOP_N = 5
@@ -212,18 +212,21 @@ def hybrid_recommend(users: DataFrame, profiles: DataFrame, vectors: DataFrame,
 
 
 def _hybrid_with_factors(w, profiles, vectors, user_factors, item_factors, universe, n):
-    # keys: f and the factor dimension, or g and the genre
-    factor, genre = F.concat(F.lit("f"), F.col("dim").cast("string")), F.concat(F.lit("g"), F.col("genre"))
+    """Both models in one score: dense ``α·U · V`` plus sparse ``β·profile · vector``."""
+    dims = item_factors.agg(F.max("dim")).first()[0]
+    k = 0 if dims is None else dims + 1
     # user side: α·U and β·profile
-    uf = user_factors.join(w, "user_id").select("user_id", factor.alias("key"), (F.col("value") * F.col("alpha")).alias("w"))
-    up = profiles.join(w, "user_id").select("user_id", genre.alias("key"), (F.col("weight") * F.col("beta")).alias("w"))
-    q = scoring.to_sparse(uf.unionByName(up), "user_id", "key", "w")
+    uf = collaborative.to_vectors(user_factors, "user_id", k).join(w, "user_id") \
+        .select("user_id", F.transform("vec", lambda x: F.coalesce(x * F.col("alpha"), F.lit(0.0))).alias("vec"))
+    up = scoring.to_sparse(profiles.join(w, "user_id").select("user_id", "genre", (F.col("weight") * F.col("beta")).alias("w")),
+                           "user_id", "genre", "w")
     # item side over the universe
     uni = universe.select("movie_id").distinct()
-    itf = item_factors.join(uni, "movie_id", "left_semi").select("movie_id", factor.alias("key"), F.col("value").alias("w"))
-    itv = vectors.join(uni, "movie_id", "left_semi").select("movie_id", genre.alias("key"), F.col("weight").alias("w"))
-    items = scoring.to_sparse(itf.unionByName(itv), "movie_id", "key", "w").withColumn("tie", F.col("movie_id"))
-    top = scoring.topk_dot(q, "user_id", items, "movie_id", "tie", n, positive_only=True)
+    itf = collaborative.to_vectors(item_factors, "movie_id", k).join(uni, "movie_id", "left_semi") \
+        .select("movie_id", F.transform("vec", lambda x: F.coalesce(x, F.lit(0.0))).alias("vec"))
+    itv = scoring.to_sparse(vectors.join(uni, "movie_id", "left_semi"), "movie_id", "genre", "weight")
+    items = itf.join(itv, "movie_id", "full").withColumn("tie", F.col("movie_id"))
+    top = scoring.topk_dot(uf.join(up, "user_id", "full"), "user_id", items, "movie_id", "tie", n, positive_only=True)
     return top.select("user_id", "rank", F.col("item_id").alias("movie_id"), "score")
 
 

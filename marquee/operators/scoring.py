@@ -1,12 +1,13 @@
 """Exact top-N by dot product without materialising (query, item) pairs.
 
 Every recommendation list in the reference is "score every candidate, sort,
-keep N".  Done with joins that is a pair set of |users| × |items|; here the
-candidate side is cut into blocks of bounded byte size, each block is shipped
-once per executor as a broadcast variable (its size is checked, not assumed),
-and each Arrow batch of queries is scored with one matrix product and reduced
-to its N best per query before anything leaves the task.  Per-block winners are
-merged with a per-query window that Spark evaluates with a group limit.
+keep N".  Done with joins that is a pair set of |users| × |items|; here items
+are dealt into blocks of a measured byte size and queries into blocks of rows,
+and every (query block, item block) cell is one partition of a Spark shuffle:
+the task holds the cell's items, streams its queries past them and reduces each
+query to its N best before anything leaves the task.  Winners of the cells are
+merged with a per-query window that Spark evaluates with a group limit.  Items
+never pass through the driver, and one block or many is the same plan.
 
 Ranking is on the score rounded to ``SCORE_DP`` decimals, ties by item
 tie-break (ascending), so both engines of the oracle agree on the order.
@@ -20,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .ordering import ordered_index
+from ..session import materialize_many
 
 # The per-batch scoring functions below run in Python workers.  Pickle them by
 # value so executors need no copy of this package on their path.
@@ -34,8 +34,9 @@ except (ImportError, AttributeError, ValueError):   # older cloudpickle: ship th
     pass
 
 SCORE_DP = 6
-# Candidate block size shipped to executors (bytes of float64 matrix).
+# Items of one cell (bytes of their vectors and member lists), queries of one cell.
 ITEM_BLOCK_BYTES = 64 * 1024 * 1024
+QUERY_BLOCK_ROWS = 100_000
 # Of sparse vectors, keys per matrix product (not a limit of the vocabulary),
 # and bytes of the query rows scored at once.
 MAX_DENSE_DIM = 2048
@@ -64,8 +65,7 @@ class _SparseBlock:
     ``MAX_DENSE_DIM`` keys (their matrix is at most eight times the entries),
     each other key adds to the pairs of query and item that both have it."""
 
-    def __init__(self, keys, weights):
-        keys, weights = (pa.concat_arrays(x.chunks) for x in (keys, weights))
+    def __init__(self, keys: pa.ListArray, weights: pa.ListArray):
         flat = keys.flatten().dictionary_encode()
         vocab = np.array(flat.dictionary.to_pylist(), dtype=object)
         lens, weight = np.diff(keys.offsets.to_numpy()), weights.flatten().to_numpy().astype(np.float64)
@@ -91,18 +91,19 @@ class _SparseBlock:
         upto = self.start[self.width]
         np.add.at(dense, (self.rows[:upto], np.repeat(np.arange(self.width), np.diff(self.start[:self.width + 1]))), self.weight[:upto])
 
-        def score(chunk):
-            lens = chunk["keys"].map(len).to_numpy()
-            out = np.zeros((len(chunk), self.n))
+        def score(keys: pa.ListArray, weights: pa.ListArray):
+            lens = np.diff(keys.offsets.to_numpy())
+            out = np.zeros((len(keys), self.n))
             if not lens.sum():
                 return out
-            code = index.get_indexer(np.concatenate(chunk["keys"].to_list()))
-            w = np.concatenate(chunk["weights"].to_list()).astype(np.float64)
-            q = np.repeat(np.arange(len(chunk)), lens)
+            flat = keys.flatten().dictionary_encode()
+            code = index.get_indexer(np.array(flat.dictionary.to_pylist(), dtype=object))[flat.indices.to_numpy()]
+            w = weights.flatten().to_numpy().astype(np.float64)
+            q = np.repeat(np.arange(len(keys)), lens)
             for lo in range(0, self.width, self.slab):
                 hi = min(lo + self.slab, self.width)
                 use = (code >= lo) & (code < hi)
-                part = np.zeros((len(chunk), hi - lo))
+                part = np.zeros((len(keys), hi - lo))
                 np.add.at(part, (q[use], code[use] - lo), w[use])
                 out += part @ dense[:, lo:hi].T
             order = np.argsort(code, kind="stable")
@@ -114,35 +115,84 @@ class _SparseBlock:
         return score
 
 
-def _block_topk(q_id: str, bc, k: int | None, positive_only: bool, exclude_self: bool, keep: int | None):
-    def score(batches):
-        ids, ties, mat, mem = bc.value
-        sparse = mat.scorer() if hasattr(mat, "scorer") else None  # by value: the class here is another
-        width = min(mat.width, mat.slab) if sparse else mat.shape[1]
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Rows of a list column as a matrix; an empty list is a row of zeros."""
+    lens = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lens), int(lens.max(initial=0))))
+    out[lens > 0] = lists.flatten().to_numpy().reshape(int((lens > 0).sum()), -1)
+    return out
+
+
+class _Items:
+    """The items of one cell."""
+
+    def __init__(self, batches: list[pa.RecordBatch], names: list[str]):
+        col = lambda c: pa.concat_arrays([b.column(c) for b in batches])
+        self.ids, self.ties = col("id").to_numpy(), col("tie").to_numpy()
+        self.dense = _matrix(col("vec")) if "vec" in names else None
+        self.sparse = self.width = None
+        if "keys" in names:
+            block = _SparseBlock(col("keys"), col("weights"))
+            self.sparse, self.width = block.scorer(), min(block.width, block.slab)
+        self.members = None
+        if "members" in names:
+            lists = col("members")
+            lens = np.diff(lists.offsets.to_numpy())
+            self.members = np.full((len(lens), max(1, int(lens.max(initial=0)))), -1, dtype=np.int64)
+            self.members[np.arange(self.members.shape[1]) < lens[:, None]] = lists.flatten().to_numpy()
+
+    def scores(self, queries: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((queries.num_rows, len(self.ids)))
+        if self.dense is not None and self.dense.shape[1]:
+            vec = _matrix(queries.column("vec"))
+            if vec.shape[1]:
+                out += vec @ self.dense.T
+        if self.sparse is not None:
+            out += self.sparse(queries.column("keys"), queries.column("weights"))
+        return out
+
+
+def _score_cells(names: list[str], k: int | None, positive_only: bool, exclude_self: bool, keep: int | None):
+    """Rows sorted by (cell, side): the items of a cell, then its queries."""
+
+    def best(items, queries):
+        step = max(1, QUERY_CHUNK_BYTES // (8 * max(len(items.ids), items.width or 0, 1)))
+        for at in range(0, queries.num_rows, step):
+            chunk = queries.slice(at, step)
+            s = items.scores(chunk)
+            r = np.round(s, SCORE_DP)
+            qids = chunk.column("q").to_numpy(zero_copy_only=False)
+            rows, cols = _pick(s, r, qids, items.ids, items.ties, k, positive_only, exclude_self and items.members is None)
+            if not rows.size:
                 continue
-            out_q, out_i, out_s, out_t = [], [], [], []
-            step = max(1, QUERY_CHUNK_BYTES // (8 * max(len(ids), width, 1)))
-            for start in range(0, len(pdf), step):
-                chunk = pdf.iloc[start:start + step]
-                s = sparse(chunk) if sparse else np.stack(chunk["vec"].to_numpy()).astype(np.float64) @ mat.T
-                r = np.round(s, SCORE_DP)
-                qids = chunk[q_id].to_numpy()
-                rows, cols = _pick(s, r, qids, ids, ties, k, positive_only, exclude_self and mem is None)
-                if rows.size == 0:
+            if items.members is None:
+                found = [qids[rows]], [items.ids[cols]], [s[rows, cols]], [items.ties[cols]]
+            else:
+                found = [], [], [], []
+                _expand(rows, cols, s, r, qids, items.members, keep, exclude_self, *found)
+            q, i, score, tie = (x[0] for x in found)
+            yield pa.RecordBatch.from_arrays([pa.array(q, queries.schema.field("q").type), pa.array(i), pa.array(score), pa.array(tie)],
+                                             names=["q", "item_id", "score", "_tie"])
+
+    def run(batches):
+        cell, held, items = None, [], None
+        for batch in batches:
+            cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells) | np.diff(sides)) + 1), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
                     continue
-                if mem is None:
-                    out_q.append(qids[rows])
-                    out_i.append(ids[cols])
-                    out_s.append(s[rows, cols])
-                    out_t.append(ties[cols])
-                else:
-                    _expand(rows, cols, s, r, qids, mem, keep, exclude_self, out_q, out_i, out_s, out_t)
-            if out_q:
-                yield pd.DataFrame({q_id: np.concatenate(out_q), "item_id": np.concatenate(out_i),
-                                    "score": np.concatenate(out_s), "_tie": np.concatenate(out_t)})
-    return score
+                part = batch.slice(lo, hi - lo)
+                if cells[lo] != cell:
+                    cell, held, items = cells[lo], [], None
+                if sides[lo] == 0:
+                    held.append(part)
+                elif held or items:
+                    if items is None:
+                        items, held = _Items(held, names), []
+                    yield from best(items, part)
+
+    return run
 
 
 def _first_k_per_row(rows, keys, k):
@@ -198,13 +248,14 @@ def _expand(rows, cols, s, r, qids, mem, k, exclude_self, out_q, out_i, out_s, o
 
 
 def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: str, k: int | None,
-             positive_only: bool = False, exclude_self: bool = False, dim: int | None = None,
+             positive_only: bool = False, exclude_self: bool = False,
              members: str | None = None, keep: int | None = None) -> DataFrame:
     """Top ``k`` items per query by ``queries.vec · items.vec``.
 
     ``queries``: ``(q_id, vec)``; ``items``: ``(i_id, tie, vec)`` with the same
     vector length, or both with ``keys`` and ``weights`` of :func:`to_sparse`
-    instead (any number of keys).  Returns ``(q_id, item_id, score, rank)``;
+    instead (any number of keys), or with all three: the score is the sum of both
+    products.  A null vector is a row of zeros.  Returns ``(q_id, item_id, score, rank)``;
     with ``k=None`` every (valid) candidate is returned, unranked.
 
     With ``members`` (an ``array<bigint>`` column of ascending ids, at most
@@ -217,68 +268,37 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     keep = k if keep is None else keep
     spark = queries.sparkSession
     q_type = dict(queries.dtypes)[q_id]
-    schema = f"{q_id} {q_type}, item_id bigint, score double, _tie bigint"
-    # Block size from the vector length, read off one row (of sparse vectors: twice the most
-    # entries of a row); the first block is fetched with one bounded collect (block_rows + 1
-    # rows tells whether more exist).
-    vec = ["keys", "weights"] if "keys" in items.columns else ["vec"]
-    if len(vec) > 1:
-        items = materialize(items, "topk-items")
-        dim = 2 * (items.agg(F.max(F.size("keys"))).first()[0] or 0)
-    if dim is None:
-        got = items.select(F.size("vec")).limit(1).collect()
-        if not got:
-            return spark.createDataFrame([], schema + ", rank int").drop("_tie")
-        dim = got[0][0]
-    cols = [i_id, tie, *vec] + ([members] if members else [])
-    width = dim + (k if members and k else 0)
-    block_rows = max(1, ITEM_BLOCK_BYTES // (8 * max(width, 1)))
-    # sparse vectors come as Arrow columns: their keys are not made Python objects one by one
-    fetch = (lambda df: df.select(*cols).toArrow()) if len(vec) > 1 else lambda df: df.select(*cols).collect()
-    head = fetch(items.limit(block_rows + 1))
-    if not len(head):
-        return spark.createDataFrame([], schema + ", rank int").drop("_tie")
-    if len(head) <= block_rows:                       # the whole candidate side fits one block
-        blocks = [head]
-    else:
-        indexed = ordered_index(items.select(*cols), [i_id], "_bi")
-        n_items = indexed.count()
-        blocks = [indexed.where((F.col("_bi") >= b * block_rows) & (F.col("_bi") < (b + 1) * block_rows))
-                  for b in range((n_items + block_rows - 1) // block_rows)]
-    # Scoring is CPU-bound per query row while the vectors are small in bytes,
-    # so AQE would coalesce them into very few tasks.  A round-robin
-    # repartition to an explicit count is kept as is by AQE (a hash
-    # repartition on the key would merge into the upstream aggregate's
-    # coalescable exchange); one vector per query, so no hot key either way.
+    kinds = {"vec": "array<double>", "keys": "array<string>", "weights": "array<double>", "members": "array<bigint>"}
+    names = [c for c in ("vec", "keys", "weights") if c in items.columns]
+    filled = lambda c: F.coalesce(F.col(c).cast(kinds[c]), F.array().cast(kinds[c])).alias(c)
+    own = [F.coalesce(F.col(members).cast(kinds["members"]), F.array().cast(kinds["members"])).alias("members")] if members else []
+    queries, items = materialize_many([
+        (queries.select(F.col(q_id).alias("q"), *map(filled, names)), "topk-queries"),
+        (items.select(F.col(i_id).cast("bigint").alias("id"), F.col(tie).cast("bigint").alias("tie"), *map(filled, names), *own), "topk-items")])
+    names += ["members"] if members else []
+
+    # two numbers reach the driver: the bytes of the item side and the number of queries
+    per_item = sum(((24 if c == "keys" else 8) * F.size(c) for c in names), F.lit(16))
+    n_items = max(1, -(-(items.agg(F.sum(per_item)).first()[0] or 0) // ITEM_BLOCK_BYTES))
     n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    q_in = queries.select(q_id, *vec).repartition(n_parts)
-    parts = []
-    for blk in blocks:
-        # ≤ block_rows rows by construction
-        rows = fetch(blk) if isinstance(blk, DataFrame) else blk
-        col = (lambda c: rows[c].to_pylist()) if len(vec) > 1 else lambda c: [r[c] for r in rows]
-        ids = np.array(col(i_id), dtype=np.int64)
-        ties = np.array(col(tie), dtype=np.int64)
-        mat = _SparseBlock(rows["keys"], rows["weights"]) if len(vec) > 1 else \
-            np.array(col("vec"), dtype=np.float64).reshape(len(rows), dim)
-        mem = None
-        if members:
-            lists = col(members)
-            mem = np.full((len(rows), max(1, max(map(len, lists)))), -1, dtype=np.int64)
-            for j, own in enumerate(lists):
-                mem[j, :len(own)] = own
-        bc = spark.sparkContext.broadcast((ids, ties, mat, mem))
-        part = (q_in.mapInPandas(_block_topk(q_id, bc, k, positive_only, exclude_self, keep), schema))
-        if len(blocks) > 1:
-            # Several blocks: score one block at a time, write its per-query
-            # winners (≤ k per query) to the checkpoint folder, and release the
-            # block, so only one candidate block is ever held in memory.
-            part = materialize(part, "topk-block")
-            bc.destroy()
-        parts.append(part)
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+    n_queries = max(-(-n_parts // n_items), -(-queries.count() // QUERY_BLOCK_ROWS))
+
+    def block(col: str, n: int):
+        return F.pmod(F.xxhash64(col), F.lit(n))
+
+    def cell(item_block, query_block):
+        return (item_block * n_queries + query_block).cast("int").alias("cell")
+
+    absent = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    as_items = items.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).select(
+        cell(block("id", n_items), F.col("qb")), F.lit(0).alias("side"), absent("q", q_type), "id", "tie", *names)
+    as_queries = queries.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1)))).select(
+        cell(F.col("ib"), block("q", n_queries)), F.lit(1).alias("side"), "q", absent("id", "bigint"), absent("tie", "bigint"),
+        *(c if c != "members" else absent(c, kinds[c]) for c in names))
+    merged = (as_items.unionByName(as_queries).repartitionById(n_items * n_queries, F.col("cell"))
+              .sortWithinPartitions("cell", "side")
+              .mapInArrow(_score_cells(names, k, positive_only, exclude_self, keep), f"q {q_type}, item_id bigint, score double, _tie bigint")
+              .withColumnRenamed("q", q_id))
     if k is None:
         return merged.drop("_tie")
     return top_n_per_key(merged, q_id, "score", "_tie", keep if members else k).drop("_tie")
