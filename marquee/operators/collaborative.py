@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeded import seeded_uniform
-from ..session import ensure_checkpoint_dir, materialize, scratch_path
+from ..session import ensure_checkpoint_dir, materialize, materialize_many, scratch_path
 from .ordering import ordered_index
 
 # Latent dimensions, regularisation λ, learning rate η, seed,
@@ -56,7 +56,8 @@ def factor_init(ids: DataFrame, id_col: str, k: int = N_COMPONENTS, seed: int =
 
 def to_vectors(long_f: DataFrame, id_col: str, k: int = N_COMPONENTS) -> DataFrame:
     """Long form → ``(id, vec)``, the dims 0 … k-1 as an array (null where a dim has no row)."""
-    return long_f.groupBy(id_col).agg(F.array(*[F.max(F.when(F.col("dim") == d, F.col("value"))) for d in range(k)]).alias("vec"))
+    dims = ", ".join(f"max(case when dim = {d} then value end)" for d in range(k))
+    return long_f.groupBy(id_col).agg(F.expr(f"array({dims})").alias("vec"))
 
 
 def to_long(vectors: DataFrame, id_col: str) -> DataFrame:
@@ -70,14 +71,14 @@ def init_vectors(ids: DataFrame, id_col: str, k: int = N_COMPONENTS, seed: int =
         u1, u2 = (seeded_uniform(F.col(id_col), dim, seed, salt) for salt in (1, 2))
         return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2) * std
 
-    return ids.select(id_col).distinct().select(id_col, F.array(*[draw(F.lit(d)) for d in range(k)]).alias("vec"))
+    return ids.select(id_col).distinct().select(id_col, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), draw).alias("vec"))
 
 
 def _weighted_sum(rows: DataFrame, key: str, k: int) -> DataFrame:
     """``s`` per key: the vectors of its rows times ``c · r``, summed.  One row of k sums per key and
     map task is shuffled, so neither the dimensions nor a hot key multiply the rows."""
-    w = F.col("c") * F.col("r")
-    return rows.groupBy(key).agg(F.array(*[F.sum(w * F.col("vec")[d]) for d in range(k)]).alias("s"))
+    sums = ", ".join(f"sum(w * vec[{d}])" for d in range(k))
+    return rows.select(key, (F.col("c") * F.col("r")).alias("w"), "vec").groupBy(key).agg(F.expr(f"array({sums})").alias("s"))
 
 
 def _moved(old, s, decay: float, lr: float):
@@ -124,7 +125,7 @@ def factor_update(batch: DataFrame, user_f: DataFrame, item_f: DataFrame, k: int
     Takes and returns long form with the dims 0 … k-1: ``(user factors, item
     factors)`` including untouched ids.
     """
-    users, items = to_vectors(user_f, "user_id", k), to_vectors(item_f, "movie_id", k)
+    users, items = materialize_many([(to_vectors(user_f, "user_id", k), "user-vectors"), (to_vectors(item_f, "movie_id", k), "item-vectors")])
     changed_users, changed_items = update_vectors(batch, users, items, k, reg, lr, seed)
     return (to_long(latest(users, changed_users, "user_id"), "user_id"),
             to_long(latest(items, materialize(changed_items, "changed-items"), "movie_id"), "movie_id"))
