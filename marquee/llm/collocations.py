@@ -14,10 +14,13 @@ interval, a right extension those inside its reverse interval, and the other
 interval follows from the symbols below.  All phrases of a length are extended
 at once: words to the left into pairs, pairs to the right into triples, and so
 on in turns.  The counts (interval sizes) of all shards are summed in Spark,
-pre-aggregated before the shuffle, so no shard decides what is frequent.
+pre-aggregated before the shuffle, so no shard decides what is frequent.  The
+lengths are counted one after the other: a phrase is left out when a shorter
+one inside is not in the bit filter of the frequent ones.  That filter has a
+fixed size and no false negatives; full, it lets everything pass.
 
-Frequent words are numbered by count (fewer than 2**31 of them; the numbering
-fails otherwise).  Scores are exact: products in decimals of 38 digits (counts below 10**15),
+Frequent words are numbered by count (fewer than 2**31 of them; the cast fails
+otherwise).  Scores are exact: products in decimals of 38 digits (counts below 10**15),
 then integer division.
 
 Edge cases: null text counts as empty, a null language as ``und``; very long
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ordered_index
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .bpe import sliced
 
 DEPTH = 3  # words of the longest phrase
@@ -45,6 +48,7 @@ LEAST = 10  # occurrences of a candidate
 COVERED = 50  # hundredths of a phrase's count at which a longer one replaces it
 TOP = 2000
 SHARD = 8 << 20
+FILTER_BITS = 1 << 26  # of the filter of frequent shorter phrases that tasks get: 8 MB
 
 # A-Z become lower case, the signs and line ends that end a piece a comma, tab a blank;
 # what bytes.split takes as white space is then blanks only
@@ -134,7 +138,14 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     of a task follow its first row's, so they are distinct."""
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialize(src.mapInArrow(_shard_rows(shard_bytes), "shard long, lang string, words array<string>, counts array<long>, seq binary"), "shards")
+    return _packed(src.mapInArrow(_shard_rows(shard_bytes), "shard long, lang string, words array<string>, counts array<long>, seq binary"), "shards")
+
+
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """Written like ``materialize``, but with zstd: word ids are small numbers in wide integers."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 class Index:
@@ -173,48 +184,108 @@ class Index:
         return tuple(x[keep] for x in (owner, symbol, self.lf[row[new]], count, other[owner] + below))
 
 
-def phrases(seq: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words (a row per phrase) and counts of all phrases of 2 to ``depth`` symbols without breaks."""
-    seq = np.concatenate([[0], seq, [0]]).astype(np.int32)
-    forward, reverse = Index(seq, depth), Index(seq[::-1].copy(), depth)
-    words = np.arange(1, len(forward.first) - 1, dtype=np.int32)
+def _slots(words: np.ndarray) -> np.ndarray:
+    """Bit of each phrase (a row of word ids) in a filter of ``FILTER_BITS``."""
+    h = np.full(len(words), np.uint64(words.shape[1]))
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _passes(bits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    slot = _slots(words)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def phrases(seq: np.ndarray, length: int, filters: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words (a row per phrase) and counts of all phrases of ``length`` symbols without breaks, but
+    for those that hold a shorter phrase which ``filters`` (bits by length) rule out."""
+    filters = filters or {}
+    symbols, seq = np.unique(np.concatenate([[0], seq, [0]]), return_inverse=True)
+    seq = seq.astype(np.int32)
+    forward, reverse = Index(seq, length), Index(seq[::-1].copy(), length)
+    words = np.arange(1, len(symbols), dtype=np.int32)
     start = forward.first[words]
     size = forward.first[words + 1] - start
-    words, start, size = words[size > 0], start[size > 0], size[size > 0]
     found, ahead, back = words[:, None], start, reverse.first[words]
-    for length in range(2, depth + 1):
-        if length % 2 == 0:
+    for n in range(2, length + 1):
+        if n % 2 == 0:
             owner, symbol, ahead, size, back = forward.extend(ahead, size, back)
             found = np.column_stack([symbol, found[owner]])
+            other = found[:, :-1]
         else:
             owner, symbol, back, size, ahead = reverse.extend(back, size, ahead)
             found = np.column_stack([found[owner], symbol])
-        yield found, size
+            other = found[:, 1:]
+        keep = np.ones(len(found), bool)
+        if n - 1 in filters:  # the part extended has passed already
+            keep &= _passes(filters[n - 1], symbols[other])
+        if n in filters and n < length:
+            keep &= _passes(filters[n], symbols[found])
+        if not keep.all():
+            found, ahead, size, back = found[keep], ahead[keep], size[keep], back[keep]
+    return symbols[found], size
+
+
+def _coded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards as sequences of corpus-wide word numbers from 1 on, other words as breaks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            found = batch.column("found")[row].values
+            seq = np.frombuffer(batch.column("seq")[row].as_buffer(), np.int32)
+            ids = np.zeros(int(seq.max(initial=0)) + 1, np.int32)
+            ids[found.field("at").to_numpy() + 1] = found.field("id").to_numpy() + 1
+            seq = ids[seq]
+            if len(seq):
+                seq = seq[(seq > 0) | np.concatenate([[True], seq[:-1] > 0])]
+            yield pa.RecordBatch.from_arrays([pa.array([seq.tobytes()], pa.binary())], names=["seq"])
+
+
+def _phrase_rows(length: int, filters):
+    schema = pa.schema([*((f"w{k + 1}", pa.int32()) for k in range(length)), ("n", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seq in batch.column("seq"):
+                words, count = phrases(np.frombuffer(seq.as_buffer(), np.int32), length, filters.value)
+                for at in range(0, len(count), 1 << 16):
+                    part = words[at:at + (1 << 16)].astype(np.int32) - 1
+                    yield pa.RecordBatch.from_arrays([*(pa.array(part[:, k]) for k in range(length)),
+                                                      pa.array(count[at:at + (1 << 16)].astype(np.int64))], schema=schema)
+
+    return run
 
-def _phrase_rows(depth: int):
-    names = [f"w{k}" for k in range(1, depth + 1)]
-    schema = pa.schema([*((n, pa.int32()) for n in names), ("n", pa.int64())])
 
+def _filter_of(frequent: DataFrame, length: int) -> np.ndarray:
+    """Bits of the phrases of a table: at most FILTER_BITS / 64 rows reach the driver, whatever the table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                found = batch.column("found")[row].values
-                seq = np.frombuffer(batch.column("seq")[row].as_buffer(), np.int32)
-                ids = np.full(int(seq.max(initial=0)) + 1, -1, np.int32)
-                ids[found.field("at").to_numpy() + 1] = found.field("id").to_numpy()
-                known = np.flatnonzero(ids >= 0)
-                local = np.zeros(len(ids), np.int32)
-                local[known] = np.arange(1, len(known) + 1)  # the other words are breaks
-                seq = local[seq]
-                seq = seq[(seq > 0) | np.concatenate([[True], seq[:-1] > 0])] if len(seq) else seq
-                for words, count in phrases(seq, depth):
-                    for at in range(0, len(count), 1 << 16):
-                        here = ids[known][words[at:at + (1 << 16)] - 1]
-                        part = [pa.array(here[:, k]) if k < here.shape[1] else pa.nulls(len(here), pa.int32()) for k in range(depth)]
-                        yield pa.RecordBatch.from_arrays([*part, pa.array(count[at:at + (1 << 16)].astype(np.int64))], schema=schema)
+            slot = _slots(np.column_stack([batch.column(k).to_numpy() + 1 for k in range(length)]))
+            bit = np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(bit.view(np.int64))], names=["slot", "bits"])
 
-    return run
+    rows = frequent.select(*(f"w{k + 1}" for k in range(length))).mapInArrow(run, "slot long, bits long") \
+        .groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def frequent_phrases(coded: DataFrame, depth: int, least: int) -> DataFrame:
+    """``w1`` … ``w<depth>`` (null behind a shorter phrase's end) and ``f`` of all phrases of 2 words or more
+    with ``least`` occurrences over all shards."""
+    spark, found, filters = coded.sparkSession, None, {}
+    for length in range(2, depth + 1):
+        names = [f"w{k + 1}" for k in range(length)]
+        here = coded.mapInArrow(_phrase_rows(length, spark.sparkContext.broadcast(dict(filters))),
+                                ", ".join(f"{c} int" for c in names) + ", n long")
+        here = materialize(here.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
+        if length < depth:
+            filters[length] = _filter_of(here, length)
+        here = here.select(*names, *(F.lit(None).cast("int").alias(f"w{k + 1}") for k in range(length, depth)), "f")
+        found = here if found is None else found.unionByName(here)
+    return found
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", depth: int = DEPTH, least: int = LEAST,
@@ -230,9 +301,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     wanted = rows.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(known.select("lang", "word", F.col("id").cast("int").alias("id")), ["lang", "word"])
     found = wanted.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))  # a shard's own words
     columns = [f"w{k}" for k in range(1, depth + 1)]
-    per_shard = rows.select("shard", "seq").join(found, "shard").select("seq", "found").mapInArrow(
-        _phrase_rows(depth), ", ".join(f"{c} int" for c in columns) + ", n long")
-    f = materialize(per_shard.groupBy(*columns).agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
+    coded = _packed(rows.select("shard", "seq").join(found, "shard").select("seq", "found").mapInArrow(_coded_rows, "seq binary"), "coded")
+    f = frequent_phrases(coded, depth, least)
 
     cands = None
     for length in range(2, depth + 1):
