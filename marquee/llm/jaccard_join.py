@@ -53,6 +53,7 @@ from .near_dup import _text_key, mix, sets_of, shingle_sets
 WORDS = 4
 PERCENT = 85
 RATIO = 1.6  # of the sizes of neighbouring bands; more than 1 / similarity
+FILTER_BITS = 1 << 26  # of the filter of keys that several sets have: 8 MB
 WEAK = 2  # parts of fewer elements are not selective
 WEAK_COST = 50.0  # of a weak key that a set is indexed under, in keys emitted
 
@@ -156,6 +157,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     return materialize(src.mapInArrow(run, _SIGNED), "signatures")
 
 
+def _possible(of: DataFrame, shared: DataFrame) -> DataFrame:
+    """``place``, ``key`` of the keys that may be among ``shared``: those whose bit is set in a filter of
+    ``FILTER_BITS``.  At most FILTER_BITS / 64 rows reach the driver, whatever the table; a full filter
+    lets every key pass."""
+    slot = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = shared.select(F.shiftright(slot, 6).alias("slot"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")) \
+        .groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    known = of.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy()
+            place = np.repeat(batch.column("place").to_numpy(), lists.value_lengths().to_numpy())
+            slot = key & (FILTER_BITS - 1)
+            keep = (known.value[slot >> 6] >> (slot & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(place[keep]), pa.array(key[keep])], names=["place", "key"])
+
+    return of.select("place", "keys").mapInArrow(run, "place long, key long")
+
+
 def index(nodes: DataFrame) -> DataFrame:
     """``bucket``, ``node`` of the keys that several nodes are indexed under, or may be.
     ``nodes``: ``node``, ``keys``."""
@@ -164,7 +188,7 @@ def index(nodes: DataFrame) -> DataFrame:
     keys = of.select("place", F.explode("keys").alias("key"))
     # keys that one node has alone come first in the order of rarity, but never meet another
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
-    met = materialize(keys.join(shared, "key"), "met-keys")
+    met = materialize(_possible(of, shared).join(shared, "key"), "met-keys")
     rank = F.row_number().over(Window.partitionBy("place").orderBy("n", "key"))
     many = F.count(F.lit(1)).over(Window.partitionBy("place"))
     placed = met.select("place", "key", rank.alias("rank"), many.alias("many")).join(
