@@ -14,10 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import block_naming, near_dup, packing, pii, quality
+from marquee.llm import block_naming, bpe, near_dup, packing, pii, quality
 from marquee.session import scratch_path
 
 
+# Workers still hold memory of the stages before the packing, so its word table is
+# a quarter of the encoder's own.
+WORD_TABLE = bpe.CACHE_ENTRIES // 4
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier rejects."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,7 +46,7 @@ def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, entries=WORD_TABLE)
 
 
 STAGES = [

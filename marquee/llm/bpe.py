@@ -8,8 +8,9 @@ strings of the ids.
 The vocabulary is a public JSON file (``vocab_path``), read on the driver and
 broadcast: its size is fixed by the file.  Words repeat, so each Python worker
 keeps a bounded table of the words it has met (two generations of at most
-``CACHE_ENTRIES``: a full one becomes the old one, and what is used again is
-carried over).
+``CACHE_ENTRIES`` or of the ``entries`` asked for: a full one becomes the old one,
+and what is used again is carried over).  A smaller table takes less memory and
+more time; ids are the same.
 
 Edge cases: null text counts as empty and has no ids; special-token strings
 inside a text become their ids, as the public library does by default; very
@@ -35,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = (1 << 20) * 2 // 3  # what a hash table of 2^20 places holds before it doubles
 CACHED_LENGTH = 64
 # White space of Unicode, as str.split takes it, but for these four control characters.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -74,7 +75,7 @@ class Recent(dict):
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, entries: int | None = None):
         conf = json.loads(spec)
         model = conf["model"]
         vocab = model["vocab"]
@@ -95,7 +96,7 @@ class Bpe:
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = conf["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._pattern = regex.compile(split)
-        self._known = Recent(self._chunk)
+        self._known = Recent(self._chunk, entries)
 
     def word_ids(self, word: bytes) -> list[int]:
         """Ids of one word: merge the pair of lowest rank, leftmost first, until none has a merge."""
@@ -175,12 +176,12 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def loaded(spec: str) -> Bpe:
-    """The worker's encoder for a vocabulary; kept between tasks."""
-    key = hashlib.sha1(spec.encode()).hexdigest()
+def loaded(spec: str, entries: int | None = None) -> Bpe:
+    """The worker's encoder for a vocabulary and table size; kept between tasks."""
+    key = f"{hashlib.sha1(spec.encode()).hexdigest()}:{entries}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Bpe(spec)
+        _LOADED[key] = Bpe(spec, entries)
     return _LOADED[key]
 
 
@@ -229,16 +230,17 @@ def sliced(batch: pa.RecordBatch, col: str, size: int | None = None) -> Iterator
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-           vocab_path: str | None = None) -> DataFrame:
+           vocab_path: str | None = None, entries: int | None = None) -> DataFrame:
     """Token pieces of at most ``capacity``: ``doc_id``, ``piece``, ``start``, ``length``,
-    ``ids_crc32``; ``end_id`` follows the last token of each document."""
+    ``ids_crc32``; ``end_id`` follows the last token of each document.  ``entries``
+    bounds a worker's word table."""
     spec = vocabulary(docs.sparkSession, vocab_path)
     end = end_id.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec.value)
+        bpe = loaded(spec.value, entries)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):

@@ -129,7 +129,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None,
-         capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise, cut and pack whole documents; one row per piece."""
-    cut = materialize(bpe.pieces(docs, capacity, end_id, id_col, text_col, vocab_path), "pieces")
+         capacity: int = CAPACITY, end_id: int = END_ID, entries: int | None = None) -> DataFrame:
+    """Tokenise, cut and pack whole documents; one row per piece.  ``entries`` bounds a
+    worker's word table (see ``bpe``)."""
+    cut = materialize(bpe.pieces(docs, capacity, end_id, id_col, text_col, vocab_path, entries), "pieces")
     return place(cut, capacity)

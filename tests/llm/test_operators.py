@@ -228,6 +228,8 @@ def test_packing(spark, empty):
     n = check_packing(rows, want, packing.CAPACITY)
     assert n <= -(-sum(w[1] for w in want.values()) // packing.CAPACITY) + 1
     assert packing.pack(empty).count() == 0
+    small = bpe.pieces(table(spark, texts), packing.CAPACITY, packing.END_ID, entries=3)
+    assert sorted(small.collect()) == sorted(r[:5] for r in rows)
 
 
 # ---------------------------------------------------------------- personal data
