@@ -4,13 +4,12 @@
 both funnel every row into one task.  ``ordered_index`` instead range-sorts,
 writes the tagged rows once so partition contents are fixed, counts rows
 per partition (one row per partition), and adds each partition's starting
-offset to the row's position inside it.
+offset to the row's position inside it.  Percentiles need no order at all:
+positions are found by counting (``exact_percentiles``).
 """
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,50 +38,61 @@ def ordered_index(df: DataFrame, order: list[Column | str], name: str = "idx") -
             .drop("_pid", "_mid", "_off", "_first"))
 
 
-# Largest value→count histogram read back to the driver by exact_percentiles.
-HISTOGRAM_LIMIT = 200_000
+# Accuracy of the quantile sketch that proposes cuts, and how far (as a share of the
+# rows in a range) the outer cuts lie from the wanted position.
+ACCURACY = 10_000
+SPREAD = 2 / ACCURACY
 
 
-def exact_percentiles(df: DataFrame, col: str, ps: list[float]) -> list[float | None]:
-    """Exact percentiles with linear interpolation (``numpy.percentile`` /
-    ``percentile_cont``).
+def _values_at(vals: DataFrame, n: int, wanted: list[int]) -> dict[int, float]:
+    """Values of column ``v`` at 0-based positions of its ascending order (NaN last).
 
-    First a distributed value→count histogram (partial aggregate); when it has
-    at most ``HISTOGRAM_LIMIT`` distinct values (checked with a bounded read)
-    the positions are located in it directly.  Otherwise the column is
-    globally indexed by :func:`ordered_index` and only the ≤ 2·len(ps) rows at
-    the interpolation positions are read back.  Values are never gathered.
+    Selection by narrowing ranges: a quantile sketch of a range's rows proposes three
+    cuts around each position, one aggregate counts the rows below and up to each cut,
+    and a position is either on a cut or goes on with the open range between two cuts.
+    Cuts are values of the range, so every round makes it smaller, as a rule to about a
+    thousandth; a few counts per position reach the driver, and nothing is shuffled but
+    one row per task.
     """
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    hist = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    rows = hist.limit(HISTOGRAM_LIMIT + 1).collect()
-    if len(rows) <= HISTOGRAM_LIMIT:
-        pairs = sorted((r["v"], r["c"]) for r in rows)
-        n = sum(c for _, c in pairs)
-        if n == 0:
-            return [None for _ in ps]
-        ends, acc = [], 0
-        for _, c in pairs:
-            acc += c
-            ends.append(acc)                  # rows with index < acc have value ≤ this one
+    v = F.col("v")
+    found: dict[int, float] = {}
+    ranges = {(None, None, 0, n): wanted}  # bounds (exclusive), rows below, end -> positions
+    while ranges:
+        sketches = []
+        for (lo, hi, below, end), positions in ranges.items():
+            inside = (v > lo if lo is not None else F.lit(True)) & (v < hi if hi is not None else F.lit(True))
+            shares = {(p - below + 0.5) / (end - below) + d for p in positions for d in (-SPREAD, 0.0, SPREAD)}
+            sketches.append(F.percentile_approx(F.when(inside, v), sorted({min(1.0, max(0.0, x)) for x in shares}), ACCURACY))
+        cuts = [sorted(set(q), key=lambda c: (c != c, c)) for q in vals.agg(*sketches).first()]
+        counts = vals.agg(*(F.count_if(x) for cut in cuts for c in cut for x in (v < F.lit(c), v <= F.lit(c)))).first()
+        counted = iter(counts)
+        narrower: dict[tuple, list[int]] = {}
+        for ((lo, hi, below, end), positions), cut in zip(ranges.items(), cuts, strict=True):
+            edges = [(c, next(counted), next(counted)) for c in cut]
+            for p in positions:
+                under = [e for e in edges if e[2] <= p]
+                over = [e for e in edges if e[1] > p]
+                on = [e for e in edges if e[1] <= p < e[2]]
+                if on:
+                    found[p] = on[0][0]
+                    continue
+                first = (under[-1][0], under[-1][2]) if under else (lo, below)
+                last = (over[0][0], over[0][1]) if over else (hi, end)
+                narrower.setdefault((first[0], last[0], first[1], last[1]), []).append(p)
+        ranges = narrower
+    return found
 
-        def at(i):
-            return pairs[bisect.bisect_right(ends, i)][0]
-    else:
-        n = vals.count()
-        need_all = set()
-        for p in ps:
-            pos = p * (n - 1)
-            need_all.update({int(pos // 1), min(int(pos // 1) + 1, n - 1)})
-        got = ordered_index(vals, ["v"], "_i").where(F.col("_i").isin(sorted(need_all))).select("_i", "v").collect()
-        table = {r["_i"]: r["v"] for r in got}
 
-        def at(i):
-            return table[i]
-    out = []
-    for p in ps:
-        pos = p * (n - 1)
-        lo = int(pos // 1)
-        hi = min(lo + 1, n - 1)
-        out.append(at(lo) + (pos - lo) * (at(hi) - at(lo)))
-    return out
+def exact_percentiles(df: DataFrame, col: str, ps: list[float]) -> list[float | None]:
+    """Exact percentiles with linear interpolation (``numpy.percentile`` /
+    ``percentile_cont``), by distributed selection of the at most 2·len(ps) values at
+    the interpolation positions; None for each without values.  ``df`` is read
+    several times, one column of it.
+    """
+    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n = vals.count()
+    if n == 0:
+        return [None for _ in ps]
+    ends = [(int(p * (n - 1) // 1), min(int(p * (n - 1) // 1) + 1, n - 1)) for p in ps]
+    at = _values_at(vals, n, sorted({i for pair in ends for i in pair}))
+    return [at[lo] + (p * (n - 1) - lo) * (at[hi] - at[lo]) for p, (lo, hi) in zip(ps, ends, strict=True)]

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from marquee.operators import dimensions
@@ -58,14 +60,37 @@ def test_create_tables_and_insert_record(spark, tmp_path):
     assert catalog.append_facts(facts, movies, path, "rating", f"{path}-movies")[0] == 1
 
 
-def test_exact_percentiles_both_paths_match_numpy(spark, monkeypatch):
-    import numpy as np
+def _percentiles_match(spark, values, ps=(0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0)):
+    from marquee.operators.ordering import exact_percentiles
+    df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(5)
+    assert np.allclose(exact_percentiles(df, "x", list(ps)), np.quantile(values, ps), rtol=1e-12)
+
+
+def test_exact_percentiles_match_numpy(spark):
+    rng = np.random.default_rng(5)
+    _percentiles_match(spark, rng.integers(0, 50, 4000).astype(float))     # many ties
+    _percentiles_match(spark, rng.normal(size=1000) * 1e9 ** rng.normal(size=1000))
+    _percentiles_match(spark, np.full(300, 7.5))
+    _percentiles_match(spark, np.array([3.0]))
+
+
+def test_exact_percentiles_narrow_in_several_rounds(spark, monkeypatch):
     from marquee.operators import ordering
-    rng = np.random.default_rng(3)
-    vals = np.round(rng.exponential(50, 2000), 1)
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    ps = [0.0, 0.5, 0.9, 0.99, 1.0]
-    want = np.percentile(vals, [p * 100 for p in ps])
-    assert np.allclose(ordering.exact_percentiles(df, "x", ps), want)          # histogram path
-    monkeypatch.setattr(ordering, "HISTOGRAM_LIMIT", 10)
-    assert np.allclose(ordering.exact_percentiles(df, "x", ps), want)          # global-index path
+    monkeypatch.setattr(ordering, "ACCURACY", 15)
+    monkeypatch.setattr(ordering, "SPREAD", 0.05)
+    rng = np.random.default_rng(6)
+    _percentiles_match(spark, rng.lognormal(3, 2, 5000))
+    _percentiles_match(spark, np.where(rng.random(5000) < 0.6, 1.0, rng.normal(size=5000)))
+
+
+def test_exact_percentiles_of_a_million_values(spark):
+    from marquee.operators.ordering import exact_percentiles
+    df = spark.range(0, 1_000_000, numPartitions=7).select((F.col("id") * 7919 % 1_000_000).alias("x"))
+    assert np.allclose(exact_percentiles(df, "x", [0.5, 0.95, 0.999]), [499999.5, 949999.05, 998999.001])
+
+
+def test_exact_percentiles_without_values(spark):
+    from marquee.operators.ordering import exact_percentiles
+    df = spark.createDataFrame([(None,), (None,)], "x double")
+    assert exact_percentiles(df, "x", [0.5, 0.9]) == [None, None]
+    assert exact_percentiles(df.unionByName(spark.createDataFrame([(2.0,)], "x double")), "x", [0.5]) == [2.0]
