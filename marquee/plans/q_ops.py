@@ -447,9 +447,27 @@ select 'requests_total' as counter, 'all' as label, count(*) as value from fx_lo
 union all select 'requests_by_segment', case when cast(split_part(line, ',', 2) as bigint) < 1000 then 'new' else 'returning' end,
           count(*) from fx_log where contains(line, 'recommendation request') group by 2""")
 def q_stream_request_counters(spark, sf):
-    """ST-07: running counters in complete mode over request lines."""
+    """ST-07: running counters over request lines, the latest version of each."""
     src = _stream_dir(spark, sf)
     out = scratch_path(spark, "counters")
     q = ingest.start_request_counters(ingest.file_source(spark, src, 1), out, scratch_path(spark, "counters-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return ingest.read_request_counters(spark, out)
+
+
+def _stream_hist_sql():
+    requests = ("from (select case when contains(line, 'status 200') then length(r) - length(replace(r, ',', '')) + 1 else 0 end as n_items, "
+                "latency_ms from (select line, regexp_extract(line, 'result: (.*), [^,]*$', 1) as r, "
+                "try_cast(regexp_extract(line, '([0-9]+) ms$', 1) as int) as latency_ms from fx_log "
+                "where contains(line, 'recommendation request')))")
+    return " union all ".join(_hist_sql(col, bounds, name).replace("from fx_request", requests) for col, bounds, name in (
+        ("n_items", mx.ITEMS_BOUNDS, "items_returned"), ("latency_ms", mx.LATENCY_BOUNDS_MS, "latency_ms")))
+
+
+@query("stream_histograms", cte("fx_log") + _stream_hist_sql())
+def q_stream_histograms(spark, sf):
+    """ST-07: running items and latency histograms over request lines."""
+    out = scratch_path(spark, "histograms")
+    lines = ingest.file_source(spark, _stream_dir(spark, sf), 1)
+    ingest.start_request_histograms(lines, out, scratch_path(spark, "histograms-ckpt")).awaitTermination()
+    return ingest.read_request_histograms(spark, out)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators import dimensions
-from ..operators.metrics import error_type
+from ..operators.metrics import ITEMS_BOUNDS, LATENCY_BOUNDS_MS, error_type
 from ..functions.scalar import user_segment
 from ..session import path_exists
 from ..sources.catalog import valid_facts
@@ -117,7 +117,7 @@ def read_ingested(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
 
 def request_counter_stream(lines: DataFrame) -> DataFrame:
     """ST-07: running request counters over request log lines, per
-    (counter, label) — a streaming aggregation in complete mode."""
+    (counter, label) — a streaming aggregation."""
     req = parsing.parse_request(lines).withColumn("user_id", F.col("user_id").try_cast("bigint"))
     seg = req.select(F.lit("requests_by_segment").alias("counter"), user_segment("user_id").alias("label"))
     err = req.where(F.col("status") != 200).select(F.lit("errors_by_type").alias("counter"),
@@ -126,16 +126,52 @@ def request_counter_stream(lines: DataFrame) -> DataFrame:
     return tot.unionByName(seg).unionByName(err).groupBy("counter", "label").agg(F.count(F.lit(1)).alias("value"))
 
 
-def start_request_counters(lines: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
-    """ST-07 sink: each trigger rewrites the full counter table (complete mode)."""
+def request_histogram_stream(lines: DataFrame) -> DataFrame:
+    """ST-07: running cumulative bucket counts (histogram, le, count) of items returned and
+    latency over request log lines.  One streaming aggregate of conditional sums: a row
+    of state, whatever the number of requests.  A failed request returned 0 items; a
+    line without a response time is in no latency bucket."""
+    items = F.when((F.col("status") == 200) & (F.col("result") != ""), F.size(F.split("result", ","))).otherwise(0)
+    req = parsing.parse_request(lines).select(items.alias("n_items"), F.col("response_ms").alias("latency_ms"))
+    sums, rows = [], []
+    for name, col, bounds in (("items_returned", "n_items", ITEMS_BOUNDS), ("latency_ms", "latency_ms", LATENCY_BOUNDS_MS)):
+        for le, total in [*((str(b), F.count_if(F.col(col) <= b)) for b in bounds), ("+Inf", F.count(col))]:
+            sums.append(total.alias(f"c{len(sums)}"))
+            rows.append(f"'{name}', '{le}', c{len(rows)}")
+    return req.agg(*sums).selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (histogram, le, count)")
+
+
+def _start_versions(values: DataFrame, out_dir: str, checkpoint: str, available_now: bool):
+    """Each trigger writes the values it changed into a folder of its own, so a replay
+    rewrites just that and a crash leaves the versions before it to readers."""
     def body(df, batch_id):
-        df.write.mode("overwrite").parquet(out_dir)
+        df.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    w = (request_counter_stream(lines).writeStream.outputMode("complete").foreachBatch(body)
-         .option("checkpointLocation", checkpoint))
+    w = values.writeStream.outputMode("update").foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
     return w.start()
 
 
+def start_request_counters(lines: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
+    """ST-07 sink of the counters; read with :func:`read_request_counters`."""
+    return _start_versions(request_counter_stream(lines), out_dir, checkpoint, available_now)
+
+
+def start_request_histograms(lines: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
+    """ST-07 sink of the histograms; read with :func:`read_request_histograms`."""
+    return _start_versions(request_histogram_stream(lines), out_dir, checkpoint, available_now)
+
+
+def read_request_counters(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The latest value per (counter, label)."""
+    return spark.read.parquet(out_dir).groupBy("counter", "label").agg(F.max_by("value", "batch_id").alias("value"))
+
+
+def read_request_histograms(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The latest count per (histogram, le)."""
+    return spark.read.parquet(out_dir).groupBy("histogram", "le").agg(F.max_by("count", "batch_id").alias("count"))
+
+
 __all__ = ["store_batch", "file_source", "start_ingest", "read_ingested", "request_counter_stream",
-           "start_request_counters"]
+           "start_request_counters", "request_histogram_stream", "start_request_histograms",
+           "read_request_counters", "read_request_histograms"]

@@ -81,3 +81,37 @@ def test_damaged_dimension_is_an_error(spark, tmp_path):
         f.unlink()
     with pytest.raises(Exception):
         ingest.store_batch(_batch(spark, [LINES[2]]), 1, out)
+
+
+def _requests(*tails):
+    return [f"2025-01-01T10:0{i}:00,{i},recommendation request h:1, {t}" for i, t in enumerate(tails)]
+
+
+def test_histograms_survive_a_lost_commit(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    parts = [_requests("status 200, result: a, b, c, 20 ms", "status 500, result: , 700 ms"),
+             _requests("status 200, result: a, 5 ms", "status 200, result: a, no time") + [LINES[0]]]
+
+    def run():
+        ingest.start_request_histograms(ingest.file_source(spark, f"{src}/*", 1), out, check).awaitTermination()
+        return {(r.histogram, r.le): r["count"] for r in ingest.read_request_histograms(spark, out).collect()}
+
+    for i, part in enumerate(parts):
+        spark.createDataFrame([(x,) for x in part], "value string").coalesce(1).write.text(f"{src}/f{i}")
+        got = run()
+    assert (got["items_returned", "1"], got["items_returned", "5"], got["items_returned", "+Inf"]) == (3, 4, 4)
+    assert (got["latency_ms", "5"], got["latency_ms", "25"], got["latency_ms", "750"], got["latency_ms", "+Inf"]) == (1, 2, 3, 3)
+    last = max(int(p.name) for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):                   # killed after the write, before the commit
+        (tmp_path / "check" / "commits" / name).unlink()
+    assert run() == got
+    assert run() == got
+
+
+def test_counters_keep_values_a_later_trigger_does_not_change(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    for i, part in enumerate([_requests("status 500, result: , 7 ms"), _requests("status 200, result: a, 7 ms")]):
+        spark.createDataFrame([(x,) for x in part], "value string").coalesce(1).write.text(f"{src}/f{i}")
+        ingest.start_request_counters(ingest.file_source(spark, f"{src}/*", 1), out, check).awaitTermination()
+    got = {(r.counter, r.label): r.value for r in ingest.read_request_counters(spark, out).collect()}
+    assert got == {("requests_total", "all"): 2, ("requests_by_segment", "new"): 2, ("errors_by_type", "exception"): 1}
