@@ -1,20 +1,27 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 A position is a byte at which a string of ``LENGTH`` bytes starts.  Positions
-are ranked by the name of a string they share, the names' strings grow from
-round to round, and a position leaves as soon as its name is unique (its longer
-strings are unique too) or once its whole string is known to repeat:
+are ranked by strings that grow from round to round, and a position leaves as soon
+as its string is unique (its longer strings are unique too) or once its whole string
+is known to repeat:
 
 1. ``GRAM`` bytes: each position's string is named by its least gram
    (leftmost of equal ones).  Equal strings have the same gram at the same
-   offset, so one row stands for the whole run of positions with that gram.
-2. ``LENGTH - n + 1`` bytes for n in ``NODES``: the positions left in a run are
-   cut at offsets divisible by n; the string that all positions of a cut
-   share is its name.  A cut whose whole stretch repeats is settled for all
-   its positions.  The last n is 1: single positions and whole strings.
+   offset, so one row stands for the whole run of positions with that gram, and
+   only places at multiples of ``GRAM`` bytes from that gram need ranks.
+2. Doubling over those places, from ``START`` grams: Spark sorts the distinct pairs
+   (rank[i], rank[i + h]) for the offsets h of ``OFFSETS`` (the last overlaps), the
+   place of a pair in that order is the rank of the longer string, and pairs of one
+   position leave.  At the end every cut of ``GRAM`` positions has the rank of the
+   352 bytes its positions share.
+3. The ends, ``LENGTH - n + 1`` bytes for n in ``NODES``: the positions left in a run
+   are cut at offsets divisible by n; the string that all positions of a cut share,
+   named under its rank before, is its name.  A cut whose whole stretch repeats is
+   settled for all its positions.  The last n is 1: single positions and whole strings.
 
 In every round Spark groups (aggregating before its shuffle) and re-joins the
-names; names are 64-bit fingerprints of strings inside a group of equal grams.
+names; the first names and those of the ends are 64-bit fingerprints of strings
+inside a group of equal grams, ranks are exact.
 Counts are written before they are joined back, so that AQE can split a name
 that very many positions share.  Bytes travel only with texts that share a
 gram with another position.
@@ -39,7 +46,8 @@ from ..session import materialize
 from .bpe import sliced
 
 LENGTH, GRAM = 400, 32
-NODES = (32, 8, 1)
+NODES = (GRAM, 8, 1)
+START, OFFSETS = 2, (2, 4, 3)  # in grams: 64 bytes, then 128, 256 and 352
 SEGMENT = 1 << 20  # positions of a long text read at once
 SLICE = 1 << 21
 _AT = 22  # low bits of a gram's sort key that hold its place in the slice
@@ -146,13 +154,62 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RUN = ["gram", "stretch", "low", "high"]
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per run and place (in grams from its gram) the names of the two neighbouring strings
+    of ``START`` grams there: the pairs of the first round."""
+    h = START * GRAM
+    more = sum(OFFSETS[1:])  # places of the first pairs behind the last cut
+    for whole_batch in batches:
+        for batch in sliced(whole_batch, "bytes"):
+            rows = batch.column("bytes").to_pylist()
+            prefix = Prefix(np.frombuffer(b"".join(rows), np.uint8))
+            size = np.array([len(b) for b in rows])
+            run, many, gram, low, high = (batch.column(c).to_numpy() for c in ("run", "many", "gram", "low", "high"))
+            per = (high // GRAM - low // GRAM + 1 + more).astype(np.int64)
+            at = np.repeat(np.arange(len(rows)), per)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(per) - per, per) - (high // GRAM)[at]
+            begin = (np.cumsum(size) - size + high)[at] + place * GRAM
+            salt = gram.view(np.uint64)[at] + place.astype(np.uint64)
+            names = [prefix.of(begin + k * h, begin + (k + 1) * h, salt + np.uint64(k * START)).view(np.int64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(run[at]), pa.array(many[at]), pa.array(place.astype(np.int32)), *map(pa.array, names)],
+                names=["run", "many", "place", "first", "second"])
+
+
+def _reranked(pairs: DataFrame) -> DataFrame:
+    """``run``, ``many``, ``place`` and ``rank`` of the strings that repeat: the place of
+    their pair among the sorted distinct pairs.  Strings of settled runs alone leave too."""
+    ranks = materialize(pairs.groupBy("first", "second").agg(F.sum("many").alias("n"), F.min("many").alias("least"))
+                        .where("n > 1 and least = 1").select("first", "second").orderBy("first", "second")
+                        .withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return pairs.join(ranks, ["first", "second"]).select("run", "many", "place", "rank")
+
+
+def _by_run(ranked: DataFrame) -> DataFrame:
+    """One row per run: its at most 24 places and their ranks."""
+    return ranked.groupBy("run").agg(F.max("many").alias("many"), F.collect_list(F.struct("place", "rank")).alias("ranks"))
+
+
+def _doubled(bytes_of: DataFrame) -> DataFrame:
+    """Per run its cuts whose shared string repeats (``place``, ``rank``), by prefix doubling."""
+    pairs = materialize(bytes_of.select("run", "many", "gram", "low", "high", "bytes").mapInArrow(
+        _places, "run long, many int, place int, first long, second long"), "rank-pairs")
+    for h in OFFSETS[1:]:
+        pairs = materialize(_by_run(_reranked(pairs)).withColumn("at", F.map_from_entries("ranks")).select(
+            "run", "many", F.explode("ranks").alias("r"), "at").select(
+            "run", "many", "r.place", F.col("r.rank").alias("first"),
+            F.try_element_at("at", F.col("r.place") + F.lit(h)).alias("second")).where("second is not null"), "rank-pairs")
+    return _by_run(_reranked(pairs)).select("run", "ranks")
+
+
 _CUT = "run long, lo int, hi int, many int, core long, whole long"
 
 
 def _cutter(node: int):
-    """Per run and range of offsets left (``ranges``: lo, hi, many): the cuts at multiples of
+    """Per run and range of offsets left (``ranges``: lo, hi, many, core): the cuts at multiples of
     ``node``, with the name of the string all positions of the cut share and that of
-    its whole stretch."""
+    its whole stretch.  ``core`` is the rank or name of the range's own shared string; the
+    ranges of the first node are its cuts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -165,7 +222,7 @@ def _cutter(node: int):
                 ranges = batch.column("ranges")
                 owner = np.repeat(np.arange(len(rows)), ranges.value_lengths().to_numpy())
                 flat = ranges.flatten()
-                lo, hi, many = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "many"))
+                lo, hi, many, before = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "many", "core"))
                 per = hi // node - lo // node + 1
                 at = np.repeat(np.arange(len(lo)), per)
                 j = lo[at] // node + np.arange(len(at)) - np.repeat(np.cumsum(per) - per, per)
@@ -173,11 +230,12 @@ def _cutter(node: int):
                 top = np.minimum(j * node + node - 1, LENGTH - GRAM)
                 salt = gram.view(np.uint64)[owner] + j.astype(np.uint64)
                 here = anchor[owner]
-                core = prefix.of(here - j * node, here - top + LENGTH, salt)
+                core = before[at] if node == NODES[0] else prefix.of(
+                    here - j * node, here - top + LENGTH, salt + before.view(np.uint64)[at]).view(np.int64)
                 # the stretch of the cut's own positions; equal only with the same offsets
                 whole = prefix.of(here - hi, here - lo + LENGTH, salt + ((lo << 40) + (hi << 20)).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[owner]), *(pa.array(c.astype(np.int32)) for c in (lo, hi, many)), pa.array(core.view(np.int64)),
+                    [pa.array(name[owner]), *(pa.array(c.astype(np.int32)) for c in (lo, hi, many)), pa.array(core),
                      pa.array(whole.view(np.int64))], names=["run", "lo", "hi", "many", "core", "whole"])
 
     return run
@@ -233,8 +291,9 @@ def cleaned_texts(src: DataFrame) -> DataFrame:
     texts = materialize(src.where(F.octet_length("text") >= LENGTH).groupBy("k1", "k2").agg(F.first("text").alias("text"))
                         .join(found.select("k1", "k2").distinct(), ["k1", "k2"]), "texts")
 
-    # bytes of one run of each kind
-    wanted = kinds.select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.struct(
+    # bytes of one run of each kind; a gram whose kinds are all settled decides nothing more
+    open_grams = kinds.groupBy("gram").agg(F.min("many").alias("least")).where("least = 1").select("gram")
+    wanted = kinds.join(open_grams, "gram").select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.struct(
         "run", *RUN, "many", F.col("at.start").alias("start")).alias("r")).groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,13 +311,16 @@ def cleaned_texts(src: DataFrame) -> DataFrame:
     bytes_of = materialize(texts.join(wanted, ["k1", "k2"]).select("text", "rs").mapInArrow(
         stretches, "run long, gram long, low int, high int, many int, bytes binary"), "stretches")
 
-    left = bytes_of.withColumn("ranges", F.array(F.struct(F.col("low").alias("lo"), F.col("high").alias("hi"), "many")))
+    left = bytes_of.join(_doubled(bytes_of), "run").withColumn("ranges", F.transform("ranks", lambda r: F.struct(
+        F.greatest("low", -r["place"] * GRAM).alias("lo"), F.least("high", -r["place"] * GRAM + (GRAM - 1)).alias("hi"),
+        "many", r["rank"].alias("core"))))
     settled = []
     for node in NODES:
         cuts = materialize(left.select("run", "gram", "high", "bytes", "ranges").mapInArrow(_cutter(node), _CUT), "cuts")
-        # a cut whose shared string no other cut has is unique in all its positions
-        cores = materialize(cuts.groupBy("core").agg(F.sum("many").alias("n")).where("n > 1").select("core"), "cores")
-        cuts = cuts.join(cores, "core")
+        if node != NODES[0]:  # those of the first node are ranked
+            # a cut whose shared string no other cut has is unique in all its positions
+            cores = materialize(cuts.groupBy("core").agg(F.sum("many").alias("n")).where("n > 1").select("core"), "cores")
+            cuts = cuts.join(cores, "core")
         if node == 1:
             settled.append(cuts.where("many = 1").select("run", "lo", "hi"))
             break
@@ -270,7 +332,7 @@ def cleaned_texts(src: DataFrame) -> DataFrame:
         # the rest goes on with those it may still share a string with; of equal settled cuts one stands for all
         open_cores = materialize(cuts.where("not settled and many = 1").select("core").distinct(), "open-cores")
         ranges = cuts.where("stands").join(open_cores, "core").select("run", F.struct(
-            "lo", "hi", F.when(F.col("settled"), F.lit(2)).otherwise(F.col("many")).alias("many")).alias("r")) \
+            "lo", "hi", F.when(F.col("settled"), F.lit(2)).otherwise(F.col("many")).alias("many"), "core").alias("r")) \
             .groupBy("run").agg(F.collect_list("r").alias("ranges"))
         left = bytes_of.join(ranges, "run")
     ranges = settled[0]
