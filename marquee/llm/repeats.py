@@ -292,7 +292,7 @@ def cleaned_texts(src: DataFrame) -> DataFrame:
                         .join(found.select("k1", "k2").distinct(), ["k1", "k2"]), "texts")
 
     # bytes of one run of each kind; a gram whose kinds are all settled decides nothing more
-    open_grams = kinds.groupBy("gram").agg(F.min("many").alias("least")).where("least = 1").select("gram")
+    open_grams = materialize(kinds.groupBy("gram").agg(F.min("many").alias("least")).where("least = 1").select("gram"), "open-grams")
     wanted = kinds.join(open_grams, "gram").select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.struct(
         "run", *RUN, "many", F.col("at.start").alias("start")).alias("r")).groupBy("k1", "k2").agg(F.collect_list("r").alias("rs"))
 
