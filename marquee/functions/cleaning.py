@@ -85,10 +85,11 @@ def fill_null_text(df: DataFrame, token: str = "null") -> DataFrame:
     return df.select([F.coalesce(F.col(c).cast("string"), F.lit(token)).alias(c) for c in df.columns])
 
 
-def map_movie_columns(csv_df: DataFrame) -> DataFrame:
+def map_movie_columns(csv_df: DataFrame, keep=()) -> DataFrame:
     """P-33 + P-07…P-11: CSV header → movies columns with cleaning and typing.
 
-    Absent CSV columns become NULL (the reference failed the whole row, D-06).
+    Absent CSV columns become NULL (the reference failed the whole row, D-06);
+    the columns named in ``keep`` pass through.
     """
     present = set(csv_df.columns)
 
@@ -111,4 +112,5 @@ def map_movie_columns(csv_df: DataFrame) -> DataFrame:
         parse_list_literal(src("country")).alias("country"),
         src("release_date").try_cast("date").alias("release_date"),
         src("poster").alias("poster"),
+        *keep,
     )

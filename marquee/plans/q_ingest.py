@@ -381,6 +381,56 @@ def q_load_totals(spark, sf):
     return outcome
 
 
+# --------------------------------------------------------------- loads in input order
+_ODD = "ascii(right(movie_title_id, 1)) % 2"
+_INPUT_EXISTING = "existing AS (select movie_id, movie_title_id from fx_movies where movie_id in (select movie_id from fx_watch))"
+
+
+def _meta_lines(spark, sf):
+    """Headerless CSV lines in several files whose order decides the load: each title has two
+    rows, the one titled ``zz …`` in front for even titles and behind for odd ones, and,
+    ahead of both, a line with too many (even) or too few (odd) fields."""
+    cols = loaders_columns()
+    m = Tables(spark, sf).meta.withColumnRenamed("actors_text", "cast").select(*cols).withColumn("odd", F.expr(_ODD))
+    line = lambda *names: F.to_csv(F.struct(*names), {k: v for k, v in loaders.CSV_OPTIONS.items() if k != "header"})
+    variants = [
+        m.select("movie_title_id", F.col("odd").alias("ord"), "odd",
+                 line(*[F.concat(F.lit("zz "), "title").alias("title") if c == "title" else c for c in cols]).alias("line")),
+        m.select("movie_title_id", (1 - F.col("odd")).alias("ord"), "odd", line(*cols).alias("line")),
+        m.select("movie_title_id", F.lit(-1).alias("ord"), "odd", F.when(F.col("odd") == 1, line(*cols[:2]))
+                 .otherwise(F.concat(line(*cols), F.lit(",x"))).alias("line")),
+    ]
+    lines = variants[0].unionByName(variants[1]).unionByName(variants[2])
+    path = scratch_path(spark, "meta-lines")
+    # files are numbered by range, so their order by name is the sort order
+    lines.repartitionByRange(6, "ord", "movie_title_id").sortWithinPartitions("ord", "movie_title_id").select("line").write.text(path)
+    return path
+
+
+@query("load_movies_input_order", cte("fx_movies", "fx_meta", "fx_watch", extra=f"mapped AS ({_MAP_SQL}), {_INPUT_EXISTING}")
+       + "select (select max(movie_id) from existing) + cast(row_number() over (order by movie_title_id) as bigint) as movie_id, "
+         f"* replace (case when {_ODD} = 0 then 'zz ' || title else title end as title) "
+         "from mapped where movie_title_id not in (select movie_title_id from existing)")
+def q_load_movies_input_order(spark, sf):
+    """S-05 / J-12: of several rows with one title the first in the input wins, whatever its
+    columns; lines with a wrong number of fields are rejected alone."""
+    t = Tables(spark, sf)
+    lines = loaders.read_csv_lines(spark, _meta_lines(spark, sf), loaders_columns(), header=False)
+    new_rows, _ = loaders.load_movies_csv(lines, _existing_movies(t))
+    return _flat(new_rows)
+
+
+@query("load_totals_malformed", cte("fx_movies", "fx_meta", "fx_watch", extra=_INPUT_EXISTING
+       + ", k AS (select movie_title_id in (select movie_title_id from existing) as present from fx_meta)")
+       + "select count(*) filter (where not present) as inserted, count(*) filter (where not present) as duplicate, "
+         "2 * count(*) filter (where present) as already_present, count(*) as rejected from k")
+def q_load_totals_malformed(spark, sf):
+    """A-24 over the same lines: malformed ones count as rejected."""
+    t = Tables(spark, sf)
+    lines = loaders.read_csv_lines(spark, _meta_lines(spark, sf), loaders_columns(), header=False)
+    return loaders.load_movies_csv(lines, _existing_movies(t))[1]
+
+
 def _fact_load_sql(kind):
     val = "rating" if kind == "ratings" else "watched_minutes"
     return f"""
@@ -421,6 +471,36 @@ def q_load_watch_csv(spark, sf):
     return load.accepted
 
 
+def _fact_rejects_sql(kind):
+    val = "rating" if kind == "ratings" else "watched_minutes"
+    return (f"select case when event_id % 5 < 2 then 'malformed_line' else coalesce({_reason_sql(val)}, 'accepted') end as outcome, "
+            f"count(*) as n_rows from ({_fact_rows_sql(kind)}) group by 1")
+
+
+def _fact_rejects(spark, sf, kind):
+    """S-06 / S-07: lines per outcome of a load; of five lines one has a field too many and
+    one lacks two."""
+    val = "rating" if kind == "ratings" else "watched_minutes"
+    cols = ["timestamp", "user_id", "movie_title", val]
+    line = lambda *names: F.to_csv(F.struct(*names), {k: v for k, v in loaders.CSV_OPTIONS.items() if k != "header"})
+    fifth = F.col("event_id") % 5
+    path = scratch_path(spark, f"{kind}-lines")
+    _fact_rows(spark, sf, kind).select(F.when(fifth == 0, F.concat(line(*cols), F.lit(",x"))).when(fifth == 1, line(*cols[:2]))
+                                       .otherwise(line(*cols)).alias("line")).write.text(path)
+    checked = loaders.validate_fact_rows(loaders.read_csv_lines(spark, path, cols, header=False), kind)
+    return checked.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("load_ratings_rejects", cte("fx_movies", "fx_log") + _fact_rejects_sql("ratings"))
+def q_load_ratings_rejects(spark, sf):
+    return _fact_rejects(spark, sf, "ratings")
+
+
+@query("load_watch_rejects", cte("fx_movies", "fx_log") + _fact_rejects_sql("watch_history"))
+def q_load_watch_rejects(spark, sf):
+    return _fact_rejects(spark, sf, "watch_history")
+
+
 # --------------------------------------------------------------- dimensions
 _PARSED_KEYS = f"""
 w AS ({B.WATCH_PARSED}), r AS ({B.RATE_PARSED}),
