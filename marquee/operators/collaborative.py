@@ -198,11 +198,9 @@ def cf_train_als(ratings: DataFrame, rank: int = N_COMPONENTS, seed: int = SEED,
 def cf_scores(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame) -> DataFrame:
     """J-14: ``U_u · V_m`` for requested (user, movie) pairs; pairs lacking
     either side get no score."""
-    p = pairs.select("user_id", "movie_id").distinct()
-    uf = user_f.withColumnRenamed("value", "u")
-    vf = item_f.withColumnRenamed("value", "v")
-    return (p.join(uf, "user_id").join(vf, ["movie_id", "dim"])
-            .groupBy("user_id", "movie_id").agg(F.sum(F.col("u") * F.col("v")).alias("cf_score")))
+    from . import scoring
+
+    return scoring.pair_dot(pairs, user_f, "user_id", item_f, "movie_id", "dim", out="cf_score")
 
 
 def model_factors_long(model, users: DataFrame, movies: DataFrame) -> tuple[DataFrame, DataFrame]:

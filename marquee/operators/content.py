@@ -26,10 +26,11 @@ def watch_with_genres(watch: DataFrame, movies: DataFrame) -> DataFrame:
 def watch_frequency(watch: DataFrame) -> DataFrame:
     """W-01: rows per (user, movie) repeated on every watch row.
 
-    A partial count per pair joined back by key (AQE splits a hot pair on the
-    large side) instead of a window that would hold a hot pair in one task.
+    A partial count per pair joined back by key instead of a window that would hold
+    a hot pair in one task.  The counts are written first, so the join is between plain
+    shuffles and AQE splits a hot pair on the large side.
     """
-    freq = watch.groupBy("user_id", "movie_id").agg(F.count(F.lit(1)).alias("watch_frequency"))
+    freq = materialize_many([(watch.groupBy("user_id", "movie_id").agg(F.count(F.lit(1)).alias("watch_frequency")), "watch-freq")])[0]
     return watch.join(freq, ["user_id", "movie_id"])
 
 
@@ -124,6 +125,14 @@ def cb_scores(profiles: DataFrame, vectors: DataFrame) -> DataFrame:
             .select("user_id", "movie_id", "score"))
 
 
+def cb_scores_of(pairs: DataFrame, profiles: DataFrame, vectors: DataFrame) -> DataFrame:
+    """J-13 on requested (user, movie) pairs: their positive dot products, without the
+    other pairs of :func:`cb_scores`."""
+    from . import scoring
+
+    return scoring.pair_dot(pairs, profiles, "user_id", vectors, "movie_id", "genre", "weight").where("score > 0")
+
+
 def signatures(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group movies with identical genre sets (hence identical vectors).
 

@@ -97,11 +97,12 @@ def cf_accuracy(recs: DataFrame, watch: DataFrame, k: int = EVAL_K,
                 min_minutes: int = WATCH_HIT_MIN_MINUTES) -> DataFrame:
     """A-15: stored lists against watch rows: every qualifying watch row of a
     recommended movie is a hit (repeat views count again); denominators are
-    the users with lists."""
+    the users with lists.  Views are counted per (user, movie) before the join, so a pair
+    seen very often is one row of it, and a user has at most K."""
     rec_pairs = recs.select("user_id", "movie_id").distinct()
     rec_users = rec_pairs.select("user_id").distinct()
-    w = watch.where(F.col("watched_minutes") >= min_minutes).select("user_id", "movie_id")
-    hits = w.join(rec_pairs, ["user_id", "movie_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("hits"))
+    w = watch.where(F.col("watched_minutes") >= min_minutes).groupBy("user_id", "movie_id").agg(F.count(F.lit(1)).alias("views"))
+    hits = w.join(rec_pairs, ["user_id", "movie_id"]).groupBy("user_id").agg(F.sum("views").alias("hits"))
     j = rec_users.join(hits, "user_id", "left").fillna(0, ["hits"])
     return j.agg(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
                  (F.sum("hits") / (F.lit(float(k)) * F.count(F.lit(1)))).alias("precision_at_k"),

@@ -302,3 +302,35 @@ def topk_dot(queries: DataFrame, q_id: str, items: DataFrame, i_id: str, tie: st
     if k is None:
         return merged.drop("_tie")
     return top_n_per_key(merged, q_id, "score", "_tie", keep if members else k).drop("_tie")
+
+
+def pair_dot(pairs: DataFrame, left: DataFrame, left_id: str, right: DataFrame, right_id: str, key: str,
+             value: str = "value", out: str = "score") -> DataFrame:
+    """Dot products of requested (``left_id``, ``right_id``) pairs alone, from sparse vectors in
+    long form ``(id, key, value)`` with one row per id and key.
+
+    Each vector becomes one array sorted by key, and a pair's two arrays are merged in a
+    column expression, so no step has more rows than there are distinct pairs.  The arrays
+    (of ids that a pair names) are written first: both joins are between plain
+    shuffles, which AQE splits where one id is in very many pairs.  Pairs whose
+    vectors share no key, or that lack one, have no row.
+    """
+    wanted = pairs.select(left_id, right_id).where(f"{left_id} is not null and {right_id} is not null").distinct()
+
+    def arrays(df, id_col, name):
+        entry = F.struct(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+        return df.where(F.col(key).isNotNull() & F.col(value).isNotNull()) \
+            .join(pairs.select(id_col).distinct(), id_col, "left_semi") \
+            .groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias(name))
+
+    wanted, lefts, rights = materialize_many([(wanted, "pairs"), (arrays(left, left_id, "_l"), "pair-left"),
+                                              (arrays(right, right_id, "_r"), "pair-right")])
+    none = F.lit(None).cast("double")
+    merged = F.aggregate(
+        # two sorted runs, which the sort merges; a key is in each at most once
+        F.sort_array(F.concat("_l", "_r")),
+        F.struct(F.lit(None).cast(left.schema[key].dataType).alias("k"), none.alias("v"), none.alias("s")),
+        lambda a, x: F.struct(x["k"].alias("k"), x["v"].alias("v"), F.when(
+            a["k"] == x["k"], F.coalesce(a["s"], F.lit(0.0)) + a["v"] * x["v"]).otherwise(a["s"]).alias("s")),
+        lambda a: a["s"])
+    return wanted.join(rights, right_id).join(lefts, left_id).select(left_id, right_id, merged.alias(out)).where(F.col(out).isNotNull())

@@ -386,7 +386,6 @@ def q_hybrid_scores(spark, sf):
     _, _, profiles, vectors, counts, _ = qm._hybrid_inputs(spark, sf)
     cfp = cf.cf_scores(pairs, t.user_factors, t.item_factors)
     from ..operators import content as ct
-    cbp = ct.cb_scores(profiles.join(pairs.select("user_id").distinct(), "user_id", "left_semi"), vectors) \
-        .join(pairs, ["user_id", "movie_id"], "left_semi")
+    cbp = ct.cb_scores_of(pairs, profiles, vectors)
     w = hybrid.hybrid_weights(pairs.select("user_id"), profiles, counts)
     return hybrid.hybrid_scores(cfp, cbp, w).select("user_id", "movie_id", F.round("score", 6).alias("score"))

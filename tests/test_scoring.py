@@ -177,3 +177,35 @@ def test_vocabulary_of_5000_genres(spark, monkeypatch, slab):
     every = {(r.user_id, r.movie_id): r.score for r in content.cb_scores(profiles, vectors).collect()}
     want = {(u, m): s for u in prof for m in vec if (s := dot(prof[u], vec[m])) > 0}
     assert every.keys() == want.keys() and all(abs(every[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_pair_dot_scores_only_requested_pairs(spark):
+    rng = np.random.default_rng(3)
+    users = [(u, f"g{g}", float(rng.random())) for u in range(40) for g in rng.choice(300, 12, replace=False)]
+    movies = [(m, f"g{g}", float(rng.random())) for m in range(60) for g in rng.choice(300, 1 + m % 40, replace=False)]
+    # one user in half the pairs, repeated pairs, ids without a vector, null ids
+    pairs = [(0, m) for m in range(60)] * 3 + [(u, (7 * u) % 60) for u in range(45)] + [(3, 999), (None, 1), (1, None)]
+    left = spark.createDataFrame(users, "user_id long, genre string, weight double")
+    right = spark.createDataFrame(movies, "movie_id long, genre string, weight double")
+    got = scoring.pair_dot(spark.createDataFrame(pairs, "user_id long, movie_id long"), left, "user_id", right, "movie_id", "genre", "weight")
+    u, m = {}, {}
+    for d, rows in ((u, users), (m, movies)):
+        for i, g, w in rows:
+            d.setdefault(i, {})[g] = w
+    want = {(a, b): sum(w * m[b][g] for g, w in u[a].items() if g in m[b]) for a, b in set(pairs)
+            if a in u and b in m and set(u[a]) & set(m[b])}
+    rows = got.collect()
+    assert len(rows) == len(want) and got.columns == ["user_id", "movie_id", "score"]
+    assert all(abs(r.score - want[r.user_id, r.movie_id]) < 1e-9 for r in rows)
+    empty = spark.createDataFrame([], "user_id long, movie_id long")
+    assert scoring.pair_dot(empty, left, "user_id", right, "movie_id", "genre", "weight").count() == 0
+
+
+def test_hot_pairs_in_view_counts(spark):
+    from marquee.operators import content, evaluation
+    watch = spark.range(20000).selectExpr("if(id % 2 = 0, 1, id) as user_id", "if(id % 2 = 0, 5, id % 7) as movie_id", "3 as watched_minutes")
+    freq = content.watch_frequency(watch)
+    assert freq.count() == 20000
+    assert freq.where("user_id = 1 and movie_id = 5").select("watch_frequency").distinct().first()[0] == 10000
+    recs = spark.createDataFrame([(1, 5, 1), (2, 5, 1)], "user_id long, movie_id long, rank int")
+    assert tuple(evaluation.cf_accuracy(recs, watch, 10).first()) == (0.5, 10000 / 20, 2)
