@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import decode_title
 from ..functions.scalar import format_metadata_plot
+from ..schemas import all_string
+from .dimensions import insert_if_absent
+
+# Columns of an enrichment record, as ``format_metadata`` makes them.
+METADATA_COLUMNS = ("movie_id", "movie_title_id", "title", "year", "rating", "genres", "plot")
 
 
 def unique_titles(rows: DataFrame, col: str = "movie_title") -> DataFrame:
@@ -61,8 +68,42 @@ def write_unprocessed(unique: DataFrame, metadata: DataFrame, path: str) -> str:
     return path
 
 
-def append_metadata(rows: DataFrame, path: str, resume: bool = True) -> str:
-    """K-09: enriched metadata rows appended (resume-safe: callers pass only
-    :func:`titles_to_fetch` output) or the file rewritten."""
-    rows.write.mode("append" if resume else "overwrite").option("header", "true").csv(path)
+def committed_runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders under ``path`` whose write ended (Spark's ``_SUCCESS`` marker): one name per
+    run of the enrichment, and ``path`` itself after a rewrite."""
+    base = path.rstrip("/")
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}{sub}/_SUCCESS")) for sub in ("", "/run-*")]
+    return sorted(str(s.getPath().getParent()) for some in found for s in (some or []))
+
+
+def read_metadata(spark: SparkSession, path: str, columns=METADATA_COLUMNS) -> DataFrame:
+    """Rows of the committed runs under ``path`` (all text); what an interrupted run left is not read."""
+    schema = all_string(columns)
+    runs = committed_runs(spark, path)
+    return spark.read.schema(schema).option("header", "true").csv(runs) if runs else spark.createDataFrame([], schema)
+
+
+def append_metadata(rows: DataFrame, path: str, resume: bool = True, run_id: str | None = None) -> str:
+    """K-09: enriched metadata rows appended as one run, or the whole file rewritten.
+
+    Each title is stored once: of equal titles in ``rows`` the smallest row by all columns,
+    and none that a committed run already has.  A run writes its own folder, which
+    counts from its marker on; repeating an interrupted run (same ``run_id``)
+    rewrites that folder, and repeating a committed one adds nothing.
+    Rows without a title id are not stored.
+    """
+    spark = rows.sparkSession
+    base = path.rstrip("/")
+    text = rows.select([F.col(c).cast("string").alias(c) for c in rows.columns])
+    if not resume:
+        insert_if_absent(text, text.limit(0), "movie_title_id").select(rows.columns) \
+            .write.mode("overwrite").option("header", "true").csv(base)
+        return path
+    run = f"{base}/run-{run_id or uuid.uuid4().hex}"
+    if any(done.endswith(f"/{run.rsplit('/', 1)[1]}") for done in committed_runs(spark, base)):
+        return path
+    fresh = insert_if_absent(text, read_metadata(spark, base, rows.columns), "movie_title_id")
+    fresh.select(rows.columns).write.mode("overwrite").option("header", "true").csv(run)
     return path
