@@ -167,7 +167,8 @@ def top_k(ints: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     # first bounds from the longest bucket of each dimension, copied to SALTS keys so that no key is hot
     longest = buckets.groupBy("dim").agg(F.max(F.struct("longest", "block")).alias("top")).select("top.block")
-    first = buckets.join(longest, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # rows hold whole blocks and copies of them, so no join may collect one side on the driver for a broadcast
+    first = buckets.hint("merge").join(longest, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = blocks.withColumn("salt", F.pmod(F.xxhash64("q_block"), F.lit(SALTS)).cast("int"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def top_k(ints: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     bound_schema = pa.schema([("q_block", pa.int64()), ("q_dim", pa.int32()), ("q_n", pa.int32()), ("q_ids", pa.binary()),
                               ("q_rows", pa.binary()), ("bounds", pa.binary()), ("need", pa.float64())])
     bounded = materialize(
-        salted.join(first, (salted["q_dim"] == first["dim"]) & (salted["salt"] == first["salt"]), "left")
+        salted.hint("merge").join(first, (salted["q_dim"] == first["dim"]) & (salted["salt"] == first["salt"]), "left")
         .select("q_block", "q_dim", "q_n", "q_ids", "q_rows", "dim", "n", "ids", "rows")
         .mapInArrow(bound, "q_block long, q_dim int, q_n int, q_ids binary, q_rows binary, bounds binary, need double"), "query-bounds")
 
@@ -200,7 +201,7 @@ def top_k(ints: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     cells = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = bounded.withColumn("cell_q", cells("q_block", down)).withColumn("cell_b", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     right = buckets.withColumn("cell_b", cells("block", across)).withColumn("cell_q", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    pairs = left.join(right, ["cell_q", "cell_b"]).where("q_dim = dim and need <= longest * (1 + 1e-9)") \
+    pairs = left.hint("merge").join(right, ["cell_q", "cell_b"]).where("q_dim = dim and need <= longest * (1 + 1e-9)") \
         .select("q_block", "q_n", "q_ids", "q_rows", "bounds", "dim", "n", "ids", "rows")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

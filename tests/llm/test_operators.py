@@ -493,3 +493,13 @@ def test_size_bounds_are_tight():
     for n in range(1, 60):
         low, high = licenses.size_bounds(n)
         assert [m for m in range(1, 200) if 200 * min(m, n) >= licenses.THRESHOLD * (m + n)] == list(range(low, high + 1))
+
+
+def test_top_k_broadcasts_no_blocks(spark):
+    from marquee.llm import topk
+
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    ints = topk.integers(rows)
+    got = topk.top_k(ints, ints.where("vec_id % 20 = 0"), 3)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 9
