@@ -106,3 +106,24 @@ def test_als_takes_ids_beyond_32_bits(spark):
     users, movies = cf.model_factors_long(*cf.cf_train_als(frame(spark, data), rank=3, max_iter=2))
     assert {r.user_id for r in users.select("user_id").distinct().collect()} == {d[0] for d in data if d[2] is not None}
     assert {r.movie_id for r in movies.select("movie_id").distinct().collect()} == {d[1] for d in data if d[2] is not None}
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_slice_costs_few_jobs(spark):
+    fold = lambda n: lambda: cf.cf_train_incremental(frame(spark, [(i % 7, i % 5, 3, i) for i in range(n)]), ["at"], batch_rows=15, k=K)
+    per_slice = (jobs_of(spark, "fold-75", fold(75)) - jobs_of(spark, "fold-15", fold(15))) / 4
+    assert per_slice <= 15
+
+
+def test_slices_with_null_ids(spark):
+    data = [(None if i % 4 == 0 else i % 5, None if i % 6 == 0 else i % 3, 1 + i % 5, i) for i in range(40)]
+    users, items = cf.cf_train_incremental(frame(spark, data), ["at"], batch_rows=10, k=K)
+    assert {r.user_id for r in users.collect()} == set(range(5)) and {r.movie_id for r in items.collect()} == {0, 1, 2}
