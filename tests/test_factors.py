@@ -127,3 +127,12 @@ def test_slices_with_null_ids(spark):
     data = [(None if i % 4 == 0 else i % 5, None if i % 6 == 0 else i % 3, 1 + i % 5, i) for i in range(40)]
     users, items = cf.cf_train_incremental(frame(spark, data), ["at"], batch_rows=10, k=K)
     assert {r.user_id for r in users.collect()} == set(range(5)) and {r.movie_id for r in items.collect()} == {0, 1, 2}
+
+
+def test_als_drops_the_shuffle_files_of_each_iteration(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    seen, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, data: seen.append(self.getCheckpointInterval()) or fit(self, data))
+    model, users, movies = cf.cf_train_als(frame(spark, [(1, 2, 3, 0), (1, 3, 5, 1), (2, 2, 1, 2)]), rank=2, max_iter=2)
+    assert seen == [1] and users.count() == 2 and model.userFactors.count() == 2
