@@ -136,3 +136,12 @@ def test_als_drops_the_shuffle_files_of_each_iteration(spark, monkeypatch):
     monkeypatch.setattr(ALS, "fit", lambda self, data: seen.append(self.getCheckpointInterval()) or fit(self, data))
     model, users, movies = cf.cf_train_als(frame(spark, [(1, 2, 3, 0), (1, 3, 5, 1), (2, 2, 1, 2)]), rank=2, max_iter=2)
     assert seen == [1] and users.count() == 2 and model.userFactors.count() == 2
+
+
+def test_only_small_inputs_are_dealt_to_all_cores(spark):
+    from marquee.fixtures import dealt
+
+    cores = spark.sparkContext.defaultParallelism
+    large, small = spark.range(0, 100, 1, cores + 3), spark.range(0, 100, 1, 1)
+    assert dealt(large, large).rdd.getNumPartitions() == cores + 3
+    assert dealt(small, small).rdd.getNumPartitions() == (cores if cores > 1 else 1)
