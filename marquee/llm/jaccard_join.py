@@ -55,6 +55,7 @@ PERCENT = 85
 RATIO = 1.6  # of the sizes of neighbouring bands; more than 1 / similarity
 FILTER_BITS = 1 << 26  # of the filter of keys that several sets have: 8 MB
 WEAK = 2  # parts of fewer elements are not selective
+SLICE_BYTES = 1 << 20  # of the texts whose sets and keys a worker holds at once
 WEAK_COST = 50.0  # of a weak key that a set is indexed under, in keys emitted
 
 
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", SLICE_BYTES):
                 sets = shingle_sets([t.as_py().encode() for t in part.column("text")], words)
                 with np.errstate(over="ignore"):
                     keys = [keyed(s) for s in sets]
