@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from marquee.operators import scoring
+from marquee.operators import content, scoring
 
 
 def _brute(q, items, k, positive_only=False, exclude_self=False):
@@ -209,3 +209,19 @@ def test_hot_pairs_in_view_counts(spark):
     assert freq.where("user_id = 1 and movie_id = 5").select("watch_frequency").distinct().first()[0] == 10000
     recs = spark.createDataFrame([(1, 5, 1), (2, 5, 1)], "user_id long, movie_id long, rank int")
     assert tuple(evaluation.cf_accuracy(recs, watch, 10).first()) == (0.5, 10000 / 20, 2)
+
+
+def test_cb_scores_expands_lists_of_movies(spark, monkeypatch):
+    """Movies of a signature come as arrays of about MEMBERS ids, rounded once per signature: no
+    row of the output is joined by itself."""
+    monkeypatch.setattr(content, "MEMBERS", 2)
+    profiles = spark.createDataFrame([(1, "a", 0.7), (1, "b", 0.3), (2, "b", 1.0), (3, "z", 1.0)], "user_id long, genre string, weight double")
+    genres = {m: ("a",) if m < 8 else ("a", "b", "c") for m in range(10)}
+    vectors = spark.createDataFrame([(m, g, 1 / len(gs)) for m, gs in genres.items() for g in gs], "movie_id long, genre string, weight double")
+    own = {1: {"a": 0.7, "b": 0.3}, 2: {"b": 1.0}}
+    want = {(u, m): sum(p.get(g, 0) / len(gs) for g in gs) for u, p in own.items() for m, gs in genres.items()}
+    got = content.cb_scores(profiles, vectors, decimals=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(members") < plan.index("Join")
+    rows = [(r.user_id, r.movie_id, r.score) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and sorted(rows) == sorted((u, m, round(s, 2)) for (u, m), s in want.items() if s > 0)
