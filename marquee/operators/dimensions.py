@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import ordered_index
 
 # Fixed value: title id given to a movie created from a bare movie id (D-08).
@@ -28,11 +29,27 @@ def new_movie_keys(facts: DataFrame, movies: DataFrame, title_col: str = "movie_
     missing = (facts.select(F.col(title_col).alias("movie_title_id")).where("movie_title_id is not null")
                .distinct()
                .join(movies.select("movie_title_id"), "movie_title_id", "left_anti"))
-    base = _max_id(movies, "movie_id")
+    return numbered_titles(missing, _max_id(movies, "movie_id"))
+
+
+def numbered_titles(missing: DataFrame, base: int) -> DataFrame:
+    """Distinct titles with the ids ``base + 1 …`` in title order."""
     return (ordered_index(missing, ["movie_title_id"], "_i")
             .select((F.lit(base) + 1 + F.col("_i")).cast("bigint").alias("movie_id"), "movie_title_id"))
 
 
+def batch_movie_keys(titles: DataFrame, movies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J-05 for a batch: ``(keys of its titles, new movie rows)``, both written.  ``titles`` are read
+    three times and the dimension twice, once as the side that is not sent to the tasks where the
+    batch's titles are the fewer; facts then meet the batch's own keys, not the whole dimension."""
+    seen = materialize(titles.select("movie_title_id").where("movie_title_id is not null").distinct(), "batch-titles")
+    found = materialize(movies.select("movie_id", "movie_title_id").join(seen, "movie_title_id")
+                        .select("movie_id", "movie_title_id"), "batch-found")
+    missing = seen.join(found.select("movie_title_id"), "movie_title_id", "left_anti")
+    new = materialize(numbered_titles(missing, _max_id(movies, "movie_id")), "batch-new")
+    return found.unionByName(new), new
+
+
 def resolve_movie_ids(facts: DataFrame, movies: DataFrame, title_col: str = "movie_title_id"):
     """J-05: title id → surrogate id, creating missing movies.
 

@@ -18,7 +18,7 @@ from ..functions import parsing
 from ..operators import dimensions
 from ..operators.metrics import ITEMS_BOUNDS, LATENCY_BOUNDS_MS, error_type
 from ..functions.scalar import user_segment
-from ..session import path_exists
+from ..session import materialize, materialize_many, path_exists
 from ..sources.catalog import valid_facts
 
 
@@ -66,30 +66,28 @@ def store_batch(batch: DataFrame, batch_id: int, out_dir: str, seed_movies: Data
         if tee_dir:                                     # K-10 / ST-04 raw tee, one folder per batch
             lines.select(F.col("line").alias("value")).write.mode("overwrite") \
                 .text(f"{tee_dir}/batch_id={batch_id}")
-        parsed = {"watch_history": (parsing.parse_watch(lines), "watched_minutes"), "ratings": (parsing.parse_rate(lines), "rating")}
-        parsed = {k: (df.withColumn("user_id", F.col("user_id").try_cast("bigint")), value) for k, (df, value) in parsed.items()}
-        good = {k: valid_facts(df, value) for k, (df, value) in parsed.items()}
-        facts = good["watch_history"].select("user_id", "movie_title_id").unionByName(good["ratings"].select("user_id", "movie_title_id"))
-        dim = _dim_snapshot(spark, out_dir, seed_movies, batch_id)
-        new = dimensions.new_movie_keys(facts, dim).persist()
-        users = dimensions.upsert_users(facts, _table(spark, out_dir, "users", batch_id)).persist()
-        keys = dim.unionByName(new)
-        counts = {}
-        for name, cols in (("watch_history", ["updated_at", "user_id", "movie_id", "watched_minutes"]),
-                           ("ratings", ["user_id", "movie_id", "rating", "updated_at"])):
-            counts[name] = _write_batch(good[name].join(keys, "movie_title_id").select(*cols), out_dir, name, batch_id)
-        n_parsed = sum(df.count() for df, _ in parsed.values())
-        counts["rejected"] = n_parsed - counts["watch_history"] - counts["ratings"]
-        # dimension rows last: a replay before this point re-derives the same ids
-        counts["users"] = _write_batch(users, out_dir, "users", batch_id)
-        _write_batch(new, out_dir, "movies", batch_id)
-        row = (counts["watch_history"], counts["ratings"], counts["users"], counts["rejected"])
-        _write_batch(spark.createDataFrame([row], "n_watch long, n_rate long, n_users long, n_rejected long"), out_dir, "batch_counts", batch_id)
-        new.unpersist()
-        users.unpersist()
-        return counts
+        kinds = {"watch_history": (parsing.parse_watch(lines), "watched_minutes"), "ratings": (parsing.parse_rate(lines), "rating")}
+        # each line is parsed once per kind; the steps below read the parsed rows
+        parsed = dict(zip(kinds, materialize_many([(df.withColumn("user_id", F.col("user_id").try_cast("bigint")), f"parsed-{k}")
+                                                   for k, (df, _) in kinds.items()]), strict=True))
     finally:
         lines.unpersist()
+    good = {k: valid_facts(df, kinds[k][1]) for k, df in parsed.items()}
+    facts = good["watch_history"].select("user_id", "movie_title_id").unionByName(good["ratings"].select("user_id", "movie_title_id"))
+    keys, new = dimensions.batch_movie_keys(facts, _dim_snapshot(spark, out_dir, seed_movies, batch_id))
+    users = materialize(dimensions.upsert_users(facts, _table(spark, out_dir, "users", batch_id)), "batch-users")
+    counts = {}
+    for name, cols in (("watch_history", ["updated_at", "user_id", "movie_id", "watched_minutes"]),
+                       ("ratings", ["user_id", "movie_id", "rating", "updated_at"])):
+        counts[name] = _write_batch(good[name].join(keys, "movie_title_id").select(*cols), out_dir, name, batch_id)
+    n_parsed = sum(df.count() for df in parsed.values())
+    counts["rejected"] = n_parsed - counts["watch_history"] - counts["ratings"]
+    # dimension rows last: a replay before this point re-derives the same ids
+    counts["users"] = _write_batch(users, out_dir, "users", batch_id)
+    _write_batch(new, out_dir, "movies", batch_id)
+    row = (counts["watch_history"], counts["ratings"], counts["users"], counts["rejected"])
+    _write_batch(spark.createDataFrame([row], "n_watch long, n_rate long, n_users long, n_rejected long"), out_dir, "batch_counts", batch_id)
+    return counts
 
 
 def file_source(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:

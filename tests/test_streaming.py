@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import parsing
+from marquee.operators import dimensions
 from marquee.session import scratch_path
 from marquee.streaming import ingest
 
@@ -64,6 +65,30 @@ def test_batch_of_one_kind_and_users_on_first_sight(spark):
     assert got["movies"].count() == 1
 
 
+def test_a_batch_is_parsed_once_per_kind_and_meets_its_own_keys(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    real = parsing.parse_watch
+    monkeypatch.setattr(parsing, "parse_watch", lambda lines: real(lines.mapInArrow(counted, lines.schema)))
+    seeds = spark.createDataFrame([(i, "heat+1995" if i == 5 else f"m+{i}") for i in range(50)], "movie_id long, movie_title_id string")
+    out = scratch_path(spark, "t-once")
+    counts = ingest.store_batch(_batch(spark, LINES), 0, out, seeds)
+    assert (counts["watch_history"], counts["ratings"], counts["users"], counts["rejected"]) == (2, 2, 4, 0)
+    assert seen.value == len(LINES)
+    got = ingest.read_ingested(spark, out)
+    assert [tuple(r) for r in got["movies"].select("movie_id", "movie_title_id").collect()] == [(50, "alien+1979")]
+    assert sorted(r.movie_id for r in got["watch_history"].collect()) == [5, 50]
+    titles = spark.createDataFrame([("heat+1995",), ("b",), ("a",), ("b",), (None,)], "movie_title_id string")
+    keys, new = dimensions.batch_movie_keys(titles, seeds)
+    assert sorted(tuple(r) for r in keys.collect()) == [(5, "heat+1995"), (50, "a"), (51, "b")]
+    assert sorted(tuple(r) for r in new.collect()) == [(50, "a"), (51, "b")]
+
+
 def test_bad_user_and_rating_are_rejected_alone(spark):
     out = scratch_path(spark, "t-reject")
     lines = ["2025-01-01T10:01:00,abc,GET /rate/heat+1995=4", "2025-01-01T10:01:00,8,GET /rate/heat+1995=4"]
