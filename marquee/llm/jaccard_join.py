@@ -197,14 +197,22 @@ def index(nodes: DataFrame) -> DataFrame:
     return materialize(placed.where("keep is null or m - many + rank <= keep").select(F.col("key").alias("bucket"), "node"), "index")
 
 
+def representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node``, ``k1``, ``k2``, ``keys`` of the row that stands for each class of equal sets.  Rows that
+    another stands for are found by their digests alone and left out: their ids are few next to the
+    classes, so that rows with all their keys are shuffled only where there are many copies."""
+    copies = materialize(rows.select("row", "digest").join(classes.where("n > 1").select("digest", "node"), "digest")
+                         .where("row <> node").select("row"), "copies")
+    return rows.where("n_shingles > 0").join(copies, "row", "left_anti").select(F.col("row").alias("node"), "k1", "k2", "keys")
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row ``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links of
     similarity ``percent`` / 100 or more, itself included)."""
     rows = signatures(docs, id_col, text_col, words, percent)
     classes = materialize(rows.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
-    nodes = materialize(rows.join(classes.select(F.col("node").alias("row")), "row")
-                        .select(F.col("row").alias("node"), "k1", "k2", "keys"), "nodes")
+        F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    nodes = materialize(representatives(rows, classes), "nodes")
     comps = materialize(clusters.links(index(nodes), sets_of(docs, nodes, text_col, words), percent), "components")
     linked = classes.join(comps, "node", "left").select("digest", "least", F.coalesce("comp", "node").alias("comp"))
     least = materialize(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "least")

@@ -111,3 +111,22 @@ def test_bands_are_contiguous():
         band = jj.band_of(size)
         assert jj.first_size(band) <= size < jj.first_size(band + 1)
     assert [jj.first_size(b) for b in range(4)] == sorted({jj.first_size(b) for b in range(4)})
+
+
+def test_class_rows_are_found_by_their_few_copies(spark, monkeypatch):
+    """Only ids of copies are joined with the rows and their keys, not the ids of all classes."""
+    made, real = {}, jj.materialize
+
+    def recorded(df, name="stage"):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(jj, "materialize", recorded)
+    distinct = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)]
+    rows = distinct + [(100, distinct[3][1]), (101, distinct[3][1].upper()), (102, distinct[7][1]), (7, distinct[7][1]), (103, None), (104, " ")]
+    got = jj.join_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect())
+    to = {100: 3, 101: 3, 102: 7}
+    assert found == sorted((i, 27 if i < 103 else 0, to.get(i, i)) for i, _ in rows)
+    assert made["copies"].count() == 4
+    assert made["nodes"].select("node").distinct().count() == made["nodes"].count() == 20
