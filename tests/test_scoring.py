@@ -225,3 +225,62 @@ def test_cb_scores_expands_lists_of_movies(spark, monkeypatch):
     assert plan.index("Generate explode(members") < plan.index("Join")
     rows = [(r.user_id, r.movie_id, r.score) for r in got.collect()]
     assert len(rows) == len(set(rows)) and sorted(rows) == sorted((u, m, round(s, 2)) for (u, m), s in want.items() if s > 0)
+
+
+def _cell(items, queries, names, k, **kw):
+    """One cell through the worker's code: ``items`` (id, vec, {key: weight}), ``queries`` alike."""
+    import pyarrow as pa
+    kinds = {"vec": pa.list_(pa.float64()), "keys": pa.list_(pa.string()), "weights": pa.list_(pa.float64())}
+
+    def batch(rows, side):
+        ids = pa.array([r[0] for r in rows], pa.int64())
+        none = pa.nulls(len(rows), pa.int64())
+        cols = {"cell": pa.array(np.zeros(len(rows), np.int32)), "side": pa.array(np.full(len(rows), side, np.int32)),
+                "q": none if side == 0 else ids, "id": ids if side == 0 else none, "tie": ids if side == 0 else none,
+                "vec": [list(map(float, r[1])) for r in rows], "keys": [list(r[2]) for r in rows], "weights": [list(r[2].values()) for r in rows]}
+        return pa.RecordBatch.from_pydict({c: cols[c] if c not in kinds else pa.array(cols[c], kinds[c])
+                                           for c in ("cell", "side", "q", "id", "tie", *names)})
+
+    run = scoring._score_cells(names, k, kw.get("positive_only", False), kw.get("exclude_self", False), None)
+    return sorted((q, -round(s, 6), i) for b in run(iter([batch(items, 0), batch(queries, 1)]))
+                  for q, i, s in zip(*(b.column(c).to_pylist() for c in ("q", "item_id", "score")), strict=True))
+
+
+@pytest.mark.parametrize("names", [["vec"], ["keys", "weights"], ["vec", "keys", "weights"]])
+@pytest.mark.parametrize("kw", [{}, {"positive_only": True}, {"exclude_self": True}])
+@pytest.mark.parametrize("block_bytes", [64 * 1024 * 1024, 256])
+def test_best_of_small_products_with_many_ties(monkeypatch, names, kw, block_bytes):
+    """Products of 5 rows by 7 items, scores that tie within and across them, rising and falling
+    with the id, with frequent and rare keys (256 bytes: rare ones only): equal to ranking every pair."""
+    for name, value in (("SCREEN_ROWS", 5), ("SCREEN_ITEMS", 7), ("ITEM_BLOCK_BYTES", block_bytes)):
+        monkeypatch.setattr(scoring, name, value)
+    rng = np.random.default_rng(4)
+    row = lambda i: (i, rng.integers(-2, 3, 3) + (i // 40 - 1), {f"k{j}": float(rng.integers(-1, 3)) for j in rng.choice(9, i % 5, replace=False)})
+    items, queries = [row(i) for i in range(120)], [row(i) for i in range(33)]
+
+    def score(a, b):
+        return (float(a[1] @ b[1]) if "vec" in names else 0.0) + (sum(w * b[2].get(g, 0.0) for g, w in a[2].items()) if "keys" in names else 0.0)
+
+    want = []
+    for q in queries:
+        all_of = ((-round(score(q, i), 6), i[0]) for i in items if not (kw.get("exclude_self") and i[0] == q[0]))
+        want += [(q[0], *x) for x in sorted(x for x in all_of if x[0] < 0 or not kw.get("positive_only"))[:4]]
+    assert _cell(items, queries, names, 4, **kw) == sorted(want)
+
+
+def test_few_pairs_are_ranked(monkeypatch):
+    """Scores are compared with a bound: less than a tenth of the pairs is rounded or cut by rank."""
+    rng = np.random.default_rng(6)
+    items = [(i, rng.random(6), {f"g{j}": 0.5 for j in rng.choice(20, 2, replace=False)}) for i in range(40000)]
+    queries = [(i, rng.random(6), {f"g{j}": 0.1 for j in rng.choice(20, 9, replace=False)}) for i in range(60)]
+    seen = []
+    for name in ("round", "partition"):
+        def spy(a, *args, _own=getattr(np, name), **kw):
+            seen.append(np.size(a))
+            return _own(a, *args, **kw)
+        monkeypatch.setattr(scoring.np, name, spy)
+    got = _cell(items, queries, ["vec", "keys", "weights"], 20, positive_only=True)
+    assert 0 < sum(seen) < len(items) * len(queries) / 10
+    vec, q = np.array([i[1] for i in items]), queries[7]
+    s = vec @ q[1] + np.array([sum(w * q[2].get(g, 0.0) for g, w in i[2].items()) for i in items])
+    assert [i for r, _, i in got if r == 7] == [i for _, i in sorted(zip(-np.round(s, 6), range(len(s))))[:20]]
