@@ -1,4 +1,6 @@
 """All positive content scores without a shuffle of scores."""
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -34,9 +36,19 @@ def test_no_users_or_no_movies(spark):
 
 def test_lists_leave_in_small_batches(monkeypatch):
     monkeypatch.setattr(scoring, "LIST_BATCH_IDS", 4)
-    lists = pa.array([[1, None], [], [2, 3, 4]], pa.list_(pa.int64()))
+    items = SimpleNamespace(lists=pa.array([[1, None], [2, 3, 4], [5]], pa.list_(pa.int64())), n_lists=np.array([1, 0, 2]), first_list=np.array([0, 1, 1]))
     rows, cols = np.array([0, 0, 0, 1, 1]), np.array([0, 1, 2, 2, 0])
-    found = list(scoring._with_lists(pa.array([7, None]), rows, cols, np.arange(5.0), lists))
-    assert [b.num_rows for b in found] != [5]
+    found = list(scoring._with_lists(pa.array([7, None]), rows, cols, np.arange(5.0), items))
+    assert len(found) > 1
     assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [
-        (7, 0.0, [1, None]), (7, 1.0, []), (7, 2.0, [2, 3, 4]), (None, 3.0, [2, 3, 4]), (None, 4.0, [1, None])]
+        (7, 0.0, [1, None]), (7, 2.0, [2, 3, 4]), (7, 2.0, [5]), (None, 3.0, [2, 3, 4]), (None, 3.0, [5]), (None, 4.0, [1, None])]
+
+
+def test_a_repeated_genre_counts_as_in_the_items_as_a_whole(spark, monkeypatch):
+    """How a repeated key counts depends on the share of the items that have it, which lists do not change."""
+    vectors = spark.createDataFrame([(m, g, 0.5) for m in range(12) for g in ("a", f"g{m}", *(["g3"] if m == 3 else []))], "movie_id long, genre string, weight double")
+    profiles = spark.createDataFrame([(u, g, 1.0) for u in range(3) for g in ("a", "g3")], "user_id long, genre string, weight double")
+    scores = lambda: sorted(map(tuple, content.cb_scores(profiles, vectors).select("user_id", "movie_id", "score").collect()))
+    want = scores()
+    monkeypatch.setattr(content, "MEMBERS", 1)
+    assert scores() == want and len(want) == 36
